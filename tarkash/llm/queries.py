@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tarkash.llm import bpe
+from tarkash.llm import bpe, similar
 from tarkash.sources import read_table
 
 
@@ -14,6 +14,17 @@ def p6_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode(read_table(spark, sf_dir, "documents"))
 
 
+PAIR_TEXTS = ["question_text", "answer_text"]
+
+
+def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return similar.similar_pairs(read_table(spark, sf_dir, "sub_questions"), "sub_question_id", PAIR_TEXTS)
+
+
+def p4_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return similar.similar_groups(read_table(spark, sf_dir, "sub_questions"), "sub_question_id", PAIR_TEXTS)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in globals().items() if name[:1] == "p" and name[1:2].isdigit()}
 
