@@ -28,9 +28,11 @@ from pyspark.sql import functions as F
 
 from tarkash.sources.tables import checkpoint
 
-WORDS = re.compile(r"[^\W_]+(?:[ऀ-෿]+)*[\wऀ-෿]*").findall
+# letters and digits with the vowel signs and joiners of Indic scripts, without the danda
+WORDS = re.compile(r"[^\W_][\w\u0900-\u0963\u0966-\u0dff\u200c\u200d]*").findall
 SEEDS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3, 0x589965CC75374CC3], dtype=np.uint64)
 CHUNK = 1 << 20
+PARITY_BITS = 384
 WORD_CACHE = 1_000_000
 
 
@@ -114,6 +116,17 @@ def _needed(sizes: np.ndarray, threshold: float) -> np.ndarray:
     return sizes - np.ceil(sizes * threshold - 1e-9).astype(np.int64) + 1
 
 
+def _parity(doc: np.ndarray, run: np.ndarray, docs: int) -> np.ndarray:
+    """Of each record the parity of its n-grams in PARITY_BITS bins.
+
+    The bins in which two records differ number at most the n-grams they do not share, so a
+    pair that differs in more bins than the threshold leaves is no pair; none is lost.
+    """
+    where = doc * PARITY_BITS + (run >> np.uint64(8)).astype(np.int64) % PARITY_BITS
+    odd = np.bincount(where, minlength=docs * PARITY_BITS).reshape(docs, PARITY_BITS) & 1
+    return np.packbits(odd.astype(np.uint8), axis=1).view(np.uint64)
+
+
 def _post(key: str, n: int, threshold: float, blocks: int, tile: int, levels):
     """Packed postings of each batch: per block the records, their sizes, and their n-grams with positions."""
 
@@ -129,6 +142,7 @@ def _post(key: str, n: int, threshold: float, blocks: int, tile: int, levels):
             order = np.lexsort((run_, level, doc))
             doc, run_, level = doc[order], run_[order], level[order]
             sizes = np.bincount(doc, minlength=len(ids))
+            parity = _parity(doc, run_, len(ids))
             starts = np.concatenate(([0], np.cumsum(sizes)[:-1]))
             at = np.arange(len(doc)) - starts[doc]
             keep = (at < _needed(sizes, threshold)[doc]) & (level > 0)
@@ -147,17 +161,18 @@ def _post(key: str, n: int, threshold: float, blocks: int, tile: int, levels):
             order = np.lexsort((doc, block))
             doc, run_, at, block = doc[order], run_[order], at[order], block[order]
             cuts = np.searchsorted(block, np.arange(blocks + 1))
-            out = {"block": [], "ids": [], "sizes": [], "many": [], "grams": [], "at": []}
+            out = {"block": [], "ids": [], "sizes": [], "parity": [], "many": [], "grams": [], "at": []}
             for b in np.flatnonzero(np.diff(cuts)):
                 lo, hi = cuts[b], cuts[b + 1]
                 own, many = np.unique(doc[lo:hi], return_counts=True)
                 out["block"].append(int(b))
                 out["ids"].append(ids[own].tobytes())
                 out["sizes"].append(sizes[own].astype(np.uint32).tobytes())
+                out["parity"].append(parity[own].tobytes())
                 out["many"].append(many.astype(np.uint32).tobytes())
                 out["grams"].append((run_[lo:hi] >> np.uint64(32)).astype(np.uint32).tobytes())
                 out["at"].append(at[lo:hi].astype(np.uint32).tobytes())
-            yield pa.RecordBatch.from_pydict(out, schema=pa.schema([("block", pa.int32())] + [(c, pa.binary()) for c in ("ids", "sizes", "many", "grams", "at")]))
+            yield pa.RecordBatch.from_pydict(out, schema=pa.schema([("block", pa.int32())] + [(c, pa.binary()) for c in ("ids", "sizes", "parity", "many", "grams", "at")]))
 
     return run
 
@@ -171,11 +186,13 @@ def _multiply(threshold: float, step: int = 2_000_000):
             return np.concatenate([np.frombuffer(x.as_py(), kind) for x in table.column(name)])
 
         many = joined("many", np.uint32)
+        parity = joined("parity", np.uint64).reshape(-1, PARITY_BITS // 64)
+        row = np.repeat(np.arange(len(many)), many)
         ids = np.repeat(joined("ids", np.int64), many)
         size = np.repeat(joined("sizes", np.uint32), many).astype(np.int64)
         gram, at = joined("grams", np.uint32), joined("at", np.uint32).astype(np.int64)
         order = np.lexsort((size, gram))
-        ids, size, gram, at = ids[order], size[order], gram[order], at[order]
+        ids, row, size, gram, at = ids[order], row[order], size[order], gram[order], at[order]
         # each posting meets those after it in its column whose size is at most size / threshold
         wide = int(size.max()) + 1 if len(size) else 1
         column = np.cumsum(np.concatenate(([0], gram[1:] != gram[:-1]))) if len(gram) else gram.astype(np.int64)
@@ -191,6 +208,8 @@ def _multiply(threshold: float, step: int = 2_000_000):
             b = a + 1 + np.arange(len(a)) - np.repeat(np.cumsum(count) - count, count)
             need = np.ceil(share * (size[a] + size[b]) - 1e-9)
             ok = (np.minimum(size[a] - at[a], size[b] - at[b]) >= need) & (ids[a] != ids[b])
+            a, b, apart = a[ok], b[ok], (size[a] + size[b] - 2 * need)[ok]
+            ok = np.bitwise_count(parity[row[a]] ^ parity[row[b]]).sum(axis=1) <= apart
             a, b = ids[a[ok]], ids[b[ok]]
             found.append(np.stack((np.minimum(a, b), np.maximum(a, b)), axis=1))
             lo = hi
@@ -254,7 +273,7 @@ def similar_classes(df: DataFrame, key: str, texts: list[str], *, n: int = 3, th
     own = [f"_t{i}" for i in range(len(texts))]
     blocks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), math.ceil(total * (1 - threshold) / block_grams))
     post = _post("class", n, threshold, blocks, tile, spark.sparkContext.broadcast(levels))
-    kept = "block int, ids binary, sizes binary, many binary, grams binary, at binary"
+    kept = "block int, ids binary, sizes binary, parity binary, many binary, grams binary, at binary"
     candidates = classes.select("class", *own).mapInArrow(post, kept).groupBy("block").applyInArrow(_multiply(threshold), "ka bigint, kb bigint").distinct()
     left = classes.select(F.col("class").alias("ka"), *[F.col(o).alias(f"l{o}") for o in own])
     right = classes.select(F.col("class").alias("kb"), *[F.col(o).alias(f"r{o}") for o in own])
