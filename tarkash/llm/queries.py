@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tarkash.llm import bpe, neighbours, similar
+from tarkash.llm import bpe, neighbours, pairs, similar
 from tarkash.sources import read_table
 
 
@@ -14,6 +14,10 @@ def p6_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode(read_table(spark, sf_dir, "documents"))
 
 
+def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pairs.defective_pairs(read_table(spark, sf_dir, "sub_questions"), "sub_question_id", "question_text", "answer_text")
+
+
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = read_table(spark, sf_dir, "sub_questions")
     return neighbours.mutual(neighbours.nearest(rows, "sub_question_id", "embedding", k=10, min_similarity=0.9))
