@@ -5,11 +5,26 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from tarkash.llm import bpe, neighbours, pairs, similar
+from tarkash.llm import bpe, languages, neighbours, pages, pairs, similar
 from tarkash.sources import read_table
 
 
+def _headers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    titles = read_table(spark, sf_dir, "parsed").select("doc_key", F.col("subject").alias("title"))
+    return pages.header_lines(read_table(spark, sf_dir, "blocks"), titles)
+
+
+def p5_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    blocks, columns, parsed = (read_table(spark, sf_dir, t) for t in ("blocks", "table_columns", "parsed"))
+    return languages.label_languages(blocks, columns, parsed, _headers(spark, sf_dir))
+
+
+def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return languages.wrong_labels(p5_labels(spark, sf_dir))
+
+
 def p6_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode(read_table(spark, sf_dir, "documents"))
 
