@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tarkash.llm import bpe, languages, neighbours, pages, pairs, similar
+from tarkash.llm import bpe, languages, neighbours, pages, pairs, persons, similar
 from tarkash.sources import read_table
 
 
@@ -53,6 +53,18 @@ def p4_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return similar.similar_groups(read_table(spark, sf_dir, "sub_questions"), "sub_question_id", PAIR_TEXTS)
 
 
+def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = read_table(spark, sf_dir, "documents")
+    field = spark.sparkContext.broadcast(persons.fit(documents))
+    return persons.mentions(documents, field).select("doc_id", "kind", "start_pos")
+
+
+def p8_redacted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = read_table(spark, sf_dir, "documents")
+    field = spark.sparkContext.broadcast(persons.fit(documents))
+    return persons.redacted(documents, field)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in globals().items() if name[:1] == "p" and name[1:2].isdigit()}
 
