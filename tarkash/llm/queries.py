@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tarkash.llm import bpe, languages, neighbours, pages, pairs, persons, similar
+from tarkash.llm import bpe, languages, neighbours, pages, pairs, persons, scans, similar
 from tarkash.sources import read_table
 
 
@@ -29,6 +29,14 @@ def p6_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode(read_table(spark, sf_dir, "documents"))
 
 
+def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scans.scan_defects(read_table(spark, sf_dir, "blocks"), read_table(spark, sf_dir, "page_routes"), _headers(spark, sf_dir))
+
+
+def p1_paragraphs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scans.paragraphs(read_table(spark, sf_dir, "blocks"), read_table(spark, sf_dir, "page_routes"), _headers(spark, sf_dir))
+
+
 def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pairs.defective_pairs(read_table(spark, sf_dir, "sub_questions"), "sub_question_id", "question_text", "answer_text")
 
