@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tarkash.sources.tables import checkpoint
+
 # Characters that scanning confuses, each with the one that stands for its class.
 CONFUSED = {"0": "o", "1": "l", "i": "l", "|": "l", "!": "l", "j": "l", "5": "s", "$": "s", "8": "b", "6": "b", "h": "b", "9": "g", "q": "g", "†": "t", "f": "t", "c": "e", "é": "e", "è": "e", "ë": "e", "ä": "a", "á": "a", "à": "a", "â": "a", "@": "a", "ö": "o", "ó": "o", "ò": "o", "ü": "u", "ú": "u", "û": "u", "í": "l", "ï": "l", "î": "l"}
 CONFUSED_RUNS = (("rn", "m"), ("ii", "u"), ("ll", "u"), ("el", "d"), ("vv", "w"))
@@ -29,10 +31,12 @@ def opening_lines(blocks: DataFrame) -> DataFrame:
 
     It is short, without a closing mark, and holds letters; a page number beside it is cut off.
     """
-    line = F.regexp_extract("text", r"^\s*([^\n\r]*)", 1)
-    line = F.trim(F.regexp_replace(F.regexp_replace(line, BESIDE, ""), r"\s+\.\s*$", ""))
-    rows = blocks.where("text IS NOT NULL AND doc_key IS NOT NULL").select("block_id", "doc_key", "page", line.alias("line"))
-    rows = rows.where(~F.col("line").rlike(NUMBER_LINE) & (F.length("line") <= 110) & F.col("line").rlike(r"\p{L}{3}") & ~F.col("line").rlike(r"[.।?!,;:]\s*$"))
+    rows = blocks.where("text IS NOT NULL AND doc_key IS NOT NULL").select("block_id", "doc_key", "page", F.trim(F.substring_index(F.regexp_replace(F.ltrim("text"), r"^\s+", ""), "\n", 1)).alias("line"))
+    rows = rows.where((F.length("line") <= 130) & ~F.substring("line", -1, 1).isin(*"।?!,;:") & F.col("line").rlike(r"\p{L}{3}") & ~F.col("line").rlike(r"\S\.\s*$"))
+    odd = F.col("line").rlike(r"[\d\])–—-]\s*$|^\s*[\d\[(pP–—-]")
+    line = F.when(odd, F.trim(F.regexp_replace("line", BESIDE, ""))).otherwise(F.col("line"))
+    rows = rows.withColumn("line", F.regexp_replace(line, r"\s+\.$", ""))
+    rows = rows.where((F.length("line") <= 110) & ~(odd & F.col("line").rlike(NUMBER_LINE)))
     return rows.withColumn("key", folded(F.col("line"))).where(F.length("key") >= 6)
 
 
@@ -45,7 +49,7 @@ def header_lines(blocks: DataFrame, titles: DataFrame, *, least_pages: int = 2,
     documents of one page. A line that is its document's title (`titles`: doc_key, title) is none.
     """
     titles = titles.select("doc_key", folded(F.col("title")).alias("title")).where("title <> ''").distinct()
-    lines = opening_lines(blocks).join(titles, "doc_key", "left")
+    lines = checkpoint(opening_lines(blocks)).join(titles, "doc_key", "left")  # short lines; read several times
     lines = lines.where(F.col("title").isNull() | (F.col("key") != F.col("title"))).drop("title").dropDuplicates(["block_id", "key"])
     pages = blocks.groupBy("doc_key").agg(F.countDistinct("page").alias("pages"))
     strong = lines.groupBy("doc_key", "key").agg(F.countDistinct("page").alias("n")).join(pages, "doc_key").where((F.col("n") >= least_pages) & (F.col("n") >= least_share * F.col("pages"))).select("doc_key", "key")
