@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tarkash.llm import bpe, languages, neighbours, pages, pairs, persons, scans, similar
+from tarkash.llm import bpe, languages, mixing, neighbours, pages, pairs, persons, scans, similar
 from tarkash.sources import read_table
 
 
@@ -61,6 +61,14 @@ def p4_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return similar.similar_groups(read_table(spark, sf_dir, "sub_questions"), "sub_question_id", PAIR_TEXTS)
 
 
+def p7_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(*(read_table(spark, sf_dir, t) for t in ("documents", "source_targets", "parsed")))
+
+
+def p7_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.shares(p7_mix(spark, sf_dir), read_table(spark, sf_dir, "source_targets"))
+
+
 def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents = read_table(spark, sf_dir, "documents")
     field = spark.sparkContext.broadcast(persons.fit(documents))
