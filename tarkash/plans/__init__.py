@@ -1 +1,5 @@
-MODULES = ()
+"""Queries by subject; each module has `queries()` and `oracle_sql()`."""
+
+from tarkash.plans import relational, retrieval
+
+MODULES = (retrieval, relational)
