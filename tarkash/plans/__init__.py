@@ -1,5 +1,5 @@
 """Queries by subject; each module has `queries()` and `oracle_sql()`."""
 
-from tarkash.plans import relational, retrieval
+from tarkash.plans import relational, retrieval, texts
 
-MODULES = (retrieval, relational)
+MODULES = (retrieval, relational, texts)

@@ -42,6 +42,25 @@ def newest_per_key(df: DataFrame, keys: list[str], order: str = "loaded_at") ->
     return picked.select(*keys, *[F.col(f"_row.`{c}`").alias(c) for c in rest])
 
 
+def _loaded(order: str):
+    return F.coalesce(F.col(order).cast("timestamp"), F.timestamp_seconds(F.lit(0)))
+
+
+def newest_times(df: DataFrame, key: str, order: str = "loaded_at") -> DataFrame:
+    """Each key with the time `_at` at which it was loaded last; only two columns are read."""
+    return df.where(F.col(key).isNotNull()).groupBy(key).agg(F.max(_loaded(order)).alias("_at"))
+
+
+def newest_rows(df: DataFrame, key: str, columns: list[str], facts: DataFrame, order: str = "loaded_at") -> DataFrame:
+    """Rows of `df` loaded last, joined with `facts` (the key, `_at` and more).
+
+    For wide columns: rows are shuffled once and not sorted, as the narrow side is hashed.
+    Rows that tie in key and time all come out.
+    """
+    wide = df.select(key, _loaded(order).alias("_mine"), *columns)
+    return wide.join(facts.hint("shuffle_hash"), key).where("_mine = _at").drop("_mine", "_at")
+
+
 def checkpoint(df: DataFrame) -> DataFrame:
     """`df` written once to the shared checkpoint folder, its lineage cut.
 
