@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import re
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -17,30 +21,68 @@ NUMBER_LINE = rf"^\s*(?:{NUMBER}|\d{{1,5}})\s*$"
 BESIDE = rf"(?:(?<=[^\s/])\s{{3,}}\d{{1,5}}\s*$|\s{{2,}}{NUMBER}\s*$|^\s*(?:{NUMBER}|\d{{1,5}})\s{{3,}})"
 
 
-def folded(line) -> F.Column:
+_FOLD = str.maketrans(CONFUSED)
+_NUMBERED = re.compile(r"\S*\d[\d/.,-]*\d\S*|\b[sS]?-?\d+\b")
+_OTHER, _NUMBERS = re.compile(r"[^\w#\u0900-\u0dff]+|_+"), re.compile(r"(?:\s*#)+")
+_NUMBER_LINE, _BESIDE, _DOT = re.compile(NUMBER_LINE), re.compile(BESIDE), re.compile(r"\s+\.$")
+
+
+def folded(line: str) -> str:
     """Letters of a line by class of confusion; runs of digits are #."""
-    s = F.lower(F.regexp_replace(line, r"\S*\d[\d/.,-]*\d\S*|\b[sS]?-?\d+\b", "#"))
-    s = F.translate(s, "".join(CONFUSED), "".join(CONFUSED.values()))
+    s = _NUMBERED.sub("#", line).lower().translate(_FOLD)
     for a, b in CONFUSED_RUNS:
-        s = F.regexp_replace(s, a, b)
-    return F.trim(F.regexp_replace(F.regexp_replace(s, r"[^\p{L}\p{M}#]+", " "), r"(?:\s*#)+", " #"))
+        s = s.replace(a, b)
+    return _NUMBERS.sub(" #", _OTHER.sub(" ", s)).strip()
 
 
-def opening_lines(blocks: DataFrame) -> DataFrame:
-    """`block_id`, `doc_key`, `page`, `line`, `key`: the first line of each block that could be a header.
+def opening_line(text: str) -> str | None:
+    """The first line of a text if it could be a header, without a page number beside it.
 
-    It is short, without a closing mark, and holds letters; a page number beside it is cut off.
+    It is short, without a closing mark, holds letters, and is more than a page number.
     """
-    rows = blocks.where("text IS NOT NULL AND doc_key IS NOT NULL").select("block_id", "doc_key", "page", F.trim(F.substring_index(F.regexp_replace(F.ltrim("text"), r"^\s+", ""), "\n", 1)).alias("line"))
-    rows = rows.where((F.length("line") <= 130) & ~F.substring("line", -1, 1).isin(*"।?!,;:") & F.col("line").rlike(r"\p{L}{3}") & ~F.col("line").rlike(r"\S\.\s*$"))
-    odd = F.col("line").rlike(r"[\d\])–—-]\s*$|^\s*[\d\[(pP–—-]")
-    line = F.when(odd, F.trim(F.regexp_replace("line", BESIDE, ""))).otherwise(F.col("line"))
-    rows = rows.withColumn("line", F.regexp_replace(line, r"\s+\.$", ""))
-    rows = rows.where((F.length("line") <= 110) & ~(odd & F.col("line").rlike(NUMBER_LINE)))
-    return rows.withColumn("key", folded(F.col("line"))).where(F.length("key") >= 6)
+    line = text.lstrip().split("\n", 1)[0].strip()
+    if len(line) > 130 or line[-1:] in "।?!,;:" or (line[-1:] == "." and line[-2:-1] != " "):
+        return None
+    if not _NUMBER_LINE.match(line):
+        line = _DOT.sub("", _BESIDE.sub("", line).strip())
+        if len(line) <= 110 and sum(map(str.isalpha, line)) >= 3:
+            return line
+    return None
+
+
+def opening_lines(blocks: DataFrame) -> DataFrame:
+    """`block_id`, `doc_key`, `page`, `key`: the first line of each block that could be a header, by class of confusion."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keys = [folded(x) if x else "" for x in map(opening_line, batch.column(3).to_pylist())]
+            kept = pa.array([len(k) >= 6 for k in keys])
+            yield pa.RecordBatch.from_arrays([c.filter(kept) for c in (*batch.columns[:3], pa.array(keys, pa.string()))], names=["block_id", "doc_key", "page", "key"])
+
+    kinds = dict(blocks.dtypes)
+    line = F.when(F.col("text").startswith("\n") | F.col("text").startswith("\r"), F.regexp_replace("text", r"^\s+", "")).otherwise(F.ltrim("text"))
+    rows = blocks.where("text IS NOT NULL AND doc_key IS NOT NULL").select("block_id", "doc_key", "page", F.substring_index(line, "\n", 1).alias("text")).where(F.length("text") <= 130)
+    return rows.mapInArrow(run, f"block_id {kinds['block_id']}, doc_key string, page {kinds['page']}, key string")
+
+
+def _shaped(lines: DataFrame, common: frozenset) -> DataFrame:
+    """`lines` with `shape`, the key with runs of other than common words as _."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            shapes = []
+            for key in batch.column(batch.schema.get_field_index("key")).to_pylist():
+                out: list[str] = []
+                for w in key.split(" "):
+                    if w in common or out[-1:] != ["_"]:
+                        out.append(w if w in common else "_")
+                shapes.append(" ".join(out))
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(shapes, pa.string())], names=[*batch.schema.names, "shape"])
+
+    return lines.mapInArrow(run, ", ".join(f"{c} {t}" for c, t in lines.dtypes) + ", shape string")
 
 
-def header_lines(blocks: DataFrame, titles: DataFrame, *, least_pages: int = 2, least_share: float = 0.15, common: float = 0.005) -> DataFrame:
+def header_lines(blocks: DataFrame, titles: DataFrame, *, least_pages: int = 2, least_share: float = 0.15, common: float = 0.001) -> DataFrame:
     """`block_id`: the blocks whose first line is a printed header of their document.
 
     A line is a header if, by class of confusion, it opens blocks on at least `least_pages`
@@ -48,19 +90,22 @@ def header_lines(blocks: DataFrame, titles: DataFrame, *, least_pages: int = 2,
     or if its pattern (rare words left out) is that of headers in several documents, as in
     documents of one page. A line that is its document's title (`titles`: doc_key, title) is none.
     """
-    titles = titles.select("doc_key", folded(F.col("title")).alias("title")).where("title <> ''").distinct()
-    lines = checkpoint(opening_lines(blocks)).join(titles, "doc_key", "left")  # short lines; read several times
-    lines = lines.where(F.col("title").isNull() | (F.col("key") != F.col("title"))).drop("title").dropDuplicates(["block_id", "key"])
-    pages = blocks.groupBy("doc_key").agg(F.countDistinct("page").alias("pages"))
-    strong = lines.groupBy("doc_key", "key").agg(F.countDistinct("page").alias("n")).join(pages, "doc_key").where((F.col("n") >= least_pages) & (F.col("n") >= least_share * F.col("pages"))).select("doc_key", "key")
-    marks = strong.groupBy("doc_key").agg(F.collect_set("key").alias("marks"))  # at most 1 / least_share keys a page
-    close = F.exists("marks", lambda m: (m == F.col("key")) | (F.levenshtein(m, F.col("key")) <= 0.25 * F.length(m)) | ((F.length("key") >= 14) & m.startswith(F.col("key"))))
-    lines = lines.join(marks, "doc_key", "left").withColumn("own", F.coalesce(close, F.lit(False)))
-    words = lines.select("doc_key", F.explode(F.array_distinct(F.split("key", " "))).alias("w")).distinct().groupBy("w").count()
-    total = blocks.agg(F.approx_count_distinct("doc_key")).first()[0]  # one number
-    kept = [r.w for r in words.where(F.col("count") >= max(3, common * total)).select("w").collect()]  # at most (words a document) / common
-    shape = F.array_join(F.transform(F.split("key", " "), lambda w: F.when(F.array_contains(F.lit(kept), w), w).otherwise("_")), " ") if kept else F.lit("_")
-    lines = lines.withColumn("shape", F.regexp_replace(shape, r"_( _)+", "_"))
-    long = lines.join(pages, "doc_key").where("pages >= 3").groupBy("shape").agg(F.countDistinct("doc_key").alias("docs"), F.countDistinct(F.when(F.col("own"), F.col("doc_key"))).alias("with"))
+    lines = counted = checkpoint(opening_lines(blocks))  # short lines; read several times
+    pages = blocks.where("doc_key IS NOT NULL").groupBy("doc_key").agg(F.countDistinct("page").alias("pages"))
+    often = lines.groupBy("doc_key", "key").agg(F.countDistinct("page").alias("n")).where(F.col("n") >= least_pages)
+    strong = often.join(pages, "doc_key").where(F.col("n") >= least_share * F.col("pages")).groupBy("doc_key").agg(F.collect_set("key").alias("marks"))  # at most 1 / least_share keys a page
+    fold = F.udf(folded, "string")
+    known = titles.where("doc_key IS NOT NULL AND title IS NOT NULL").select("doc_key", "title").distinct().groupBy("doc_key").agg(F.collect_set(fold("title")).alias("titles"))
+    documents = pages.join(strong, "doc_key", "left").join(known, "doc_key", "left")
+    none = F.array().cast("array<string>")
+    documents = documents.select("doc_key", "pages", F.array_except(F.coalesce("marks", none), F.coalesce("titles", none)).alias("marks"), F.coalesce("titles", none).alias("titles"))
+    key = F.col("key")
+    close = F.exists("marks", lambda m: (m == key) | ((F.abs(F.length(m) - F.length(key)) <= 0.25 * F.length(m)) & F.levenshtein(m, key, 27).between(0, 0.25 * F.length(m))) | ((F.length(key) >= 14) & m.startswith(key)))
+    lines = lines.join(documents, "doc_key").where(~F.array_contains("titles", key)).select("block_id", "doc_key", "key", close.alias("own"), (F.col("pages") >= 3).alias("long"))
+    n = counted.count()
+    words = counted.select(F.explode(F.array_distinct(F.split("key", " "))).alias("w")).groupBy("w").count()
+    kept = frozenset(r.w for r in words.where(F.col("count") >= max(8, common * n)).select("w").collect())  # at most (words a line) / common
+    lines = checkpoint(_shaped(lines, kept).drop("key"))
+    long = lines.where("long").groupBy("shape").agg(F.countDistinct("doc_key").alias("docs"), F.countDistinct(F.when(F.col("own"), F.col("doc_key"))).alias("with"))
     headers = long.where("with >= 2 AND with >= 0.4 * docs AND shape <> '_'").select("shape", F.lit(True).alias("usual"))
     return lines.join(headers, "shape", "left").where(F.col("own") | F.col("usual")).select("block_id").distinct()
