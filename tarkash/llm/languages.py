@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 
 from tarkash.llm.pages import BESIDE, NUMBER_LINE
 from tarkash.llm.similar import WORDS
-from tarkash.sources.tables import checkpoint, newest_per_key
+from tarkash.sources.tables import checkpoint, newest_per_key, newest_rows, newest_times
 
 SAMPLE_ROWS = 4000
 VOCABULARY_CHARS = 60_000
@@ -142,6 +142,7 @@ class Model:
                     size += len(word) + 1
                 self.automata[script][language] = Automaton(" " + " ".join(text) + " ")
         self.values = {s: _Values(self, s) for s in SCRIPTS}
+        self.other = _Other(self, "latin")
 
     def __getstate__(self) -> dict:
         return {"counts": self.counts}
@@ -192,12 +193,33 @@ class _Values(dict):
         return packed
 
 
+class _Other(dict):
+    """Whether a word speaks for another language of the script than the first."""
+
+    def __init__(self, model: Model, script: str):
+        super().__init__()
+        self.model, self.script = model, script
+
+    def __missing__(self, word: str) -> int:
+        if len(self) > 500_000:
+            self.clear()
+        phrases = self.model.word(self.script, word)
+        self[word] = out = int(min(phrases[1:]) < phrases[0])
+        return out
+
+
 def segments_of(model: Model, text: str, least_words: int = 3) -> list[tuple[str, int, float]]:
     """Runs of sentences in one language: language, characters, confidence.
 
     Sentences of fewer than `least_words` words, or without a clear winner, go with their
     neighbours of the same script, or with those before them.
     """
+    if text.isascii():  # without as many words for another language as a sentence has, it is in the first
+        words = WORDS(text.lower())
+        if len(words) >= least_words and sum(map(model.other.__getitem__, words)) < least_words:
+            _, language, sure, _ = model.judge(text)
+            if language == SCRIPTS["latin"][0]:
+                return [(language, len(text), min(1.0, 0.5 + sure))]
     judged = [(p, *model.judge(p)) for p in pieces_of(text)]
     clear: dict[str, Counter] = defaultdict(Counter)
     for p, script, language, sure, words in judged:
@@ -248,7 +270,7 @@ def name_language(model: Model, name: str) -> tuple[str | None, float]:
 
 def normal_label(label) -> F.Column:
     """A stored label as one of the languages; NULL if it is missing, itself in lower case if it is none of them."""
-    low = F.regexp_replace(F.lower(F.trim(label)), r"[-_].*$", "")
+    low = F.substring_index(F.substring_index(F.lower(F.trim(label)), "-", 1), "_", 1)
     out = F.when(low.isin(*MISSING), F.lit(None))
     for language, spellings in LABELS.items():
         out = out.when(low.isin(*spellings), language)
@@ -261,12 +283,16 @@ def fit(blocks: DataFrame, columns: DataFrame | None = None, sample_rows: int =
     for df, key, text in ((blocks, "block_id", "text"), (columns, "column_id", "name")):
         if df is None:
             continue
-        rows = df.select(normal_label(F.col("language")).alias("label"), F.col(key).alias("key"), F.col(text).alias("text")).where(F.col("label").isin("en", "hi", "bn", "ne", "mr"))
-        counts = {r.label: r["count"] for r in rows.groupBy("label").count().collect()}  # five rows
+        labels = df.groupBy("language").count().select("language", normal_label(F.col("language")).alias("label"), "count")
+        spelled = labels.where(F.col("label").isin("en", "hi", "bn", "ne", "mr")).collect()  # the spellings of five labels
+        counts: Counter = Counter()
+        for r in spelled:
+            counts[r.label] += r["count"]
         take = F.lit(False)
         for label, n in sorted(counts.items()):
-            take = take | ((F.col("label") == label) & (F.pmod(F.xxhash64("key", F.lit(11)), F.lit(1_000_000)) < int(1_000_000 * min(1.0, sample_rows / n))))
-        sample = rows.where(take & (F.length("text") < 20_000)).orderBy("key", "text").collect()  # at most about five times sample_rows
+            take = take | (F.col("language").isin(*[r.language for r in spelled if r.label == label]) & (F.pmod(F.xxhash64(key, F.lit(11)), F.lit(1_000_000)) < int(1_000_000 * min(1.0, sample_rows / n))))
+        picked = df.where(take & (F.length(text) < 20_000)).select(normal_label(F.col("language")).alias("label"), F.col(key).alias("key"), F.col(text).alias("text"))
+        sample = picked.orderBy("key", "text").collect()  # at most about five times sample_rows
         for r in sample:
             sentences += [(r.label, piece) for piece in (pieces_of(r.text) if text == "text" else [r.text])]
     return Model(sentences)
@@ -288,14 +314,15 @@ def block_languages(blocks: DataFrame, headers: DataFrame, model) -> DataFrame:
     """`block_id`, `doc_key`, `stored`, `language`, `confidence`, `segments` of each block with running text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        judge = model.value
+        judge, seen = model.value, set()  # a block's rows meet in one partition: those that tie are dropped here
         kind = pa.list_(pa.struct([("language", pa.string()), ("chars", pa.int64()), ("confidence", pa.float64())]))
         for batch in batches:
             out: dict[str, list] = {"block_id": [], "doc_key": [], "stored": [], "language": [], "confidence": [], "segments": []}
             for i, doc, stored, text, headed in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                runs = segments_of(judge, running_text(text, bool(headed)))
+                runs = segments_of(judge, running_text(text, bool(headed))) if i not in seen else None
                 if not runs:
                     continue
+                seen.add(i)
                 names = {r[0] for r in runs}
                 out["block_id"].append(i)
                 out["doc_key"].append(doc)
@@ -306,8 +333,8 @@ def block_languages(blocks: DataFrame, headers: DataFrame, model) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(out["block_id"], batch.schema.field(0).type), pa.array(out["doc_key"], pa.string()), pa.array(out["stored"], pa.string()), pa.array(out["language"], pa.string()), pa.array(out["confidence"], pa.float64()), pa.array(out["segments"], kind)], names=list(out))
 
     kind = blocks.schema["block_id"].dataType.simpleString()
-    rows = newest_per_key(blocks.select("block_id", "doc_key", "language", "text", "loaded_at").where("block_id IS NOT NULL"), ["block_id"]).where("text IS NOT NULL")
-    rows = rows.join(headers.select("block_id", F.lit(True).alias("headed")), "block_id", "left")
+    facts = newest_times(blocks, "block_id").join(headers.select("block_id", F.lit(True).alias("headed")), "block_id", "left")
+    rows = newest_rows(blocks, "block_id", ["doc_key", "language", "text"], facts).where("text IS NOT NULL")
     return rows.select("block_id", "doc_key", normal_label(F.col("language")).alias("stored"), "text", "headed").mapInArrow(run, f"block_id {kind}, doc_key string, stored string, language string, confidence double, segments array<struct<language: string, chars: bigint, confidence: double>>")
 
 
@@ -352,4 +379,4 @@ def label_languages(blocks: DataFrame, columns: DataFrame, documents: DataFrame,
 
 def wrong_labels(labels: DataFrame) -> DataFrame:
     """`record_level`, `record_id`, `language` where the stored label is missing or wrong, and of every segment."""
-    return labels.where((F.col("record_level") == "segment") | F.col("stored").isNull() | (F.col("stored") != F.col("language"))).select("record_level", "record_id", "language")
+    return labels.where((F.col("record_level") == "segment") | F.col("stored").isNull() | (F.col("stored") != F.col("language"))).select("record_level", "record_id", "language").distinct()
