@@ -1,5 +1,5 @@
 """Queries by subject; each module has `queries()` and `oracle_sql()`."""
 
-from tarkash.plans import relational, retrieval, texts
+from tarkash.plans import relational, retrieval, structures, texts
 
-MODULES = (retrieval, relational, texts)
+MODULES = (retrieval, relational, texts, structures)
