@@ -69,12 +69,12 @@ def grid_stitch(spark, sf_dir):
     lines = read_table(spark, sf_dir, "lineitem").where("l_linenumber <= 6")
     row = F.array(F.when(F.col("l_linenumber") % 2 == 1, F.col("l_linenumber").cast("string")).otherwise(""), F.col("l_returnflag"), F.concat(F.lit(" "), F.col("l_linestatus"), F.lit("  ")))
     made = lines.groupBy("l_orderkey").agg(F.array_sort(F.collect_list(F.struct("l_linenumber", row.alias("row")))).alias("r"))
-    grid = F.concat(F.array(F.array(F.lit("no"), F.lit("flag"), F.lit("status"))), F.transform("r", lambda x: x["row"]))
-    done = grids.render(grids.stitch_wrapped(grids.drop_legends(grids.drop_empty_rows(grids.clean_cells(grid)))))
+    body = grids.stitch_wrapped(grids.drop_legends(grids.drop_empty_rows(grids.clean_cells(F.transform("r", lambda x: x["row"])))))
+    done = grids.render(F.concat(F.array(F.array(F.lit("no"), F.lit("flag"), F.lit("status"))), body))
     return made.select("l_orderkey", F.array_join(done, " | ").alias("lines"))
 
 
-SQL["grid_stitch"] = "WITH l AS (SELECT *, sum(l_linenumber % 2) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber) AS k FROM lineitem WHERE l_linenumber <= 6), g AS (SELECT l_orderkey, k, CASE WHEN k > 0 THEN 'no: ' || min(l_linenumber) || '; ' ELSE '' END AS n, string_agg(l_returnflag, ' ' ORDER BY l_linenumber) AS f, string_agg(l_linestatus, ' ' ORDER BY l_linenumber) AS s FROM l GROUP BY 1, 2) SELECT l_orderkey, string_agg(n || 'flag: ' || f || '; status: ' || s, ' | ' ORDER BY k) AS lines FROM g GROUP BY 1"
+SQL["grid_stitch"] = "WITH l AS (SELECT *, sum(l_linenumber % 2) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_returnflag, l_linestatus ROWS UNBOUNDED PRECEDING) AS k FROM lineitem WHERE l_linenumber <= 6), g AS (SELECT l_orderkey, k, CASE WHEN k > 0 THEN 'no: ' || min(l_linenumber) || '; ' ELSE '' END AS n, string_agg(l_returnflag, ' ' ORDER BY l_linenumber, l_returnflag, l_linestatus) AS f, string_agg(l_linestatus, ' ' ORDER BY l_linenumber, l_returnflag, l_linestatus) AS s FROM l GROUP BY 1, 2) SELECT l_orderkey, string_agg(n || 'flag: ' || f || '; status: ' || s, ' | ' ORDER BY k) AS lines FROM g GROUP BY 1"
 
 
 def nested_round_trip(spark, sf_dir):
