@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from tarkash.functions.text import bind
+
 
 def clean_cells(grid: Column) -> Column:
     """Cells with white space collapsed; NULL cells are empty."""
@@ -17,9 +19,13 @@ def drop_empty_rows(grid: Column) -> Column:
 
 def drop_empty_columns(grid: Column) -> Column:
     """Columns in which no row has text are left out; short rows count as blank there."""
-    width = F.array_max(F.transform(grid, F.size))
-    kept = F.filter(F.sequence(F.lit(0), F.greatest(width - 1, F.lit(0))), lambda i: F.exists(grid, lambda r: F.coalesce(F.get(r, i), F.lit("")) != ""))
-    return F.when(F.size(grid) > 0, F.transform(grid, lambda r: F.transform(kept, lambda i: F.coalesce(F.get(r, i), F.lit(""))))).otherwise(grid)
+
+    def run(grid: Column) -> Column:
+        width = F.array_max(F.transform(grid, F.size))
+        kept = F.filter(F.sequence(F.lit(0), F.greatest(width - 1, F.lit(0))), lambda i: F.exists(grid, lambda r: F.coalesce(F.get(r, i), F.lit("")) != ""))
+        return F.when(F.size(grid) > 0, bind(kept, lambda k: F.transform(grid, lambda r: F.transform(k, lambda i: F.coalesce(F.get(r, i), F.lit("")))))).otherwise(grid)
+
+    return bind(grid, run)
 
 
 def is_legend(row: Column) -> Column:
@@ -40,15 +46,19 @@ def stitch_wrapped(grid: Column) -> Column:
         n = F.size(acc)
         return F.when((n > 0) & wraps(row), F.concat(F.slice(acc, 1, F.greatest(n - 1, F.lit(0))), F.array(joined(F.get(acc, n - 1), row)))).otherwise(F.concat(acc, F.array(row)))
 
-    return F.aggregate(grid, F.slice(grid, 1, 0), add)
+    return bind(grid, lambda g: F.aggregate(g, F.slice(g, 1, 0), add))
 
 
 def render(grid: Column) -> Column:
     """Body rows as `header: cell; ...` lines by the first row's names; nameless columns are `(col N)`."""
-    header, body = F.get(grid, F.lit(0)), F.slice(grid, 2, F.greatest(F.size(grid) - 1, F.lit(0)))
-    name = lambda i: F.coalesce(F.nullif(F.get(header, i), F.lit("")), F.concat(F.lit("(col "), (i + 1).cast("string"), F.lit(")")))
-    line = lambda r: F.array_join(F.filter(F.transform(r, lambda c, i: F.when(c != "", F.concat(name(i), F.lit(": "), c))), lambda x: x.isNotNull()), "; ")
-    return F.transform(body, line)
+
+    def run(grid: Column) -> Column:
+        header, body = F.get(grid, F.lit(0)), F.slice(grid, 2, F.greatest(F.size(grid) - 1, F.lit(0)))
+        name = lambda i: F.coalesce(F.nullif(F.get(header, i), F.lit("")), F.concat(F.lit("(col "), (i + 1).cast("string"), F.lit(")")))
+        line = lambda r: F.array_join(F.filter(F.transform(r, lambda c, i: F.when(c != "", F.concat(name(i), F.lit(": "), c))), lambda x: x.isNotNull()), "; ")
+        return F.transform(body, line)
+
+    return bind(grid, run)
 
 
 def richness(grid: Column) -> Column:

@@ -95,8 +95,9 @@ def fuse(lists: dict[str, DataFrame], k: int = 60, weights: dict[str, float] | N
         *[F.min(F.when(F.col("retriever") == name, F.col("rank"))).alias(f"{name}_rank") for name in lists],
         F.countDistinct("retriever").alias("found_by"),
     )
-    fired = hits.agg(F.countDistinct("retriever").alias("fired"))
-    return fused.crossJoin(F.broadcast(fired)).withColumn("agreement", F.round(F.col("found_by") / F.greatest(F.lit(1), F.col("fired")), 3)).drop("fired")
+    whole = Window.partitionBy(F.lit(1))  # at most k rows a list
+    fired = reduce(lambda x, y: x + y, [F.max(F.col(f"{name}_rank").isNotNull().cast("int")).over(whole) for name in lists])
+    return fused.withColumn("agreement", F.round(F.col("found_by") / F.greatest(F.lit(1), fired), 3))
 
 
 def fusion_stats(fused: DataFrame, tau: float = 0.015, delta: float = 0.0015) -> DataFrame:

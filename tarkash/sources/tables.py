@@ -61,6 +61,15 @@ def newest_rows(df: DataFrame, key: str, columns: list[str], facts: DataFrame, o
     return wide.join(facts.hint("shuffle_hash"), key).where("_mine = _at").drop("_mine", "_at")
 
 
+def spread(df: DataFrame, key: str) -> DataFrame:
+    """`df` over all cores by a key of many values, if its scan has no more than half as many partitions.
+
+    For work in Python on few or unsplittable files; inputs of many partitions stay as they are.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores, key) if 2 * df._jdf.rdd().getNumPartitions() <= cores else df
+
+
 def checkpoint(df: DataFrame) -> DataFrame:
     """`df` written once to the shared checkpoint folder, its lineage cut.
 
