@@ -17,6 +17,8 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
+from tarkash.sources.tables import spread
+
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 # Fixed value: the pre-token pattern published with the vocabulary.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -142,7 +144,7 @@ def encode(df: DataFrame, key: str = "doc_id", text: str = "text", vocabulary: s
             yield pa.RecordBatch.from_arrays([batch.column(0), ids], names=[key, "ids"])
 
     kind = df.schema[key].dataType.simpleString()
-    return df.select(key, text).mapInArrow(run, f"`{key}` {kind}, ids array<int>")
+    return spread(df.select(key, text), key).mapInArrow(run, f"`{key}` {kind}, ids array<int>")
 
 
 def count_tokens(df: DataFrame, keep: list[str], text: str = "text", vocabulary: str = VOCABULARY, pattern: str = PATTERN) -> DataFrame:
@@ -156,4 +158,4 @@ def count_tokens(df: DataFrame, keep: list[str], text: str = "text", vocabulary:
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(n, pa.int64())], names=[*keep, "tokens"])
 
     fields = ", ".join(f"`{c}` {df.schema[c].dataType.simpleString()}" for c in keep)
-    return df.select(*keep, text).mapInArrow(run, f"{fields}, tokens bigint")
+    return spread(df.select(*keep, text), keep[0]).mapInArrow(run, f"{fields}, tokens bigint")

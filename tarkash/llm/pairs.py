@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tarkash.llm.similar import WORDS
-from tarkash.sources.tables import checkpoint
+from tarkash.sources.tables import checkpoint, spread
 
 # Function words that tell languages of one script apart.
 FUNCTION_WORDS = {
@@ -227,6 +227,7 @@ def defective_pairs(df: DataFrame, key: str, question: str, answer: str, *, newe
     """
     at = F.col(newest).cast("timestamp") if newest else F.lit(None).cast("timestamp")
     rows = df.select(F.col(key).cast("string").alias("id"), at.alias("at"), F.col(question).alias("q"), F.col(answer).alias("a")).where("id IS NOT NULL")
+    rows = spread(rows, "id")
     judged = rows.mapInArrow(_judge(newest), "id string, at timestamp, defect string, text string, length bigint, open boolean, cut boolean, keys array<string>")
     state = F.struct("defect", "text", "length", "open", "cut", "keys")
     state = judged.groupBy("id").agg(F.max_by(state, F.coalesce("at", F.timestamp_seconds(F.lit(0)))).alias("s")).select("id", "s.*")

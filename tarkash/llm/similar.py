@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tarkash.sources.tables import checkpoint
+from tarkash.sources.tables import checkpoint, spread
 
 # letters and digits with the vowel signs and joiners of Indic scripts, without the danda
 WORDS = re.compile(r"[^\W_][\w\u0900-\u0963\u0966-\u0dff\u200c\u200d]*").findall
@@ -77,7 +77,7 @@ def _columns(batch: pa.RecordBatch, first: int) -> list[list[str]]:
     return [words_of(*row) for row in zip(*texts, strict=True)]
 
 
-def counting_sketch(df: DataFrame, texts: list[str], n: int, bits: int) -> tuple[np.ndarray, int]:
+def counting_sketch(df: DataFrame, key: str, texts: list[str], n: int, bits: int) -> tuple[np.ndarray, int]:
     """How often n-grams fall into each of 2**bits counters, on a log scale, and their total.
 
     One uint8 a counter, whatever the corpus: 16 MB at 24 bits. A level of 0 means that
@@ -104,7 +104,7 @@ def counting_sketch(df: DataFrame, texts: list[str], n: int, bits: int) -> tuple
         return pa.table({"chunk": table.column("chunk")[:1], "packed": [zlib.compress(level.tobytes(), 1)], "total": pa.array([sum(table.column("total").to_pylist())], pa.int64())})
 
     schema = "chunk int, packed binary, total bigint"
-    rows = df.select(*texts).mapInArrow(part, schema).groupBy("chunk").applyInArrow(add, schema).collect()  # 2**bits bytes at most
+    rows = spread(df.select(key, *texts), key).select(*texts).mapInArrow(part, schema).groupBy("chunk").applyInArrow(add, schema).collect()  # 2**bits bytes at most
     levels = np.zeros(width, np.uint8)
     for r in rows:
         levels[r.chunk * CHUNK : r.chunk * CHUNK + CHUNK] = np.frombuffer(zlib.decompress(r.packed), np.uint8)
@@ -268,7 +268,7 @@ def similar_classes(df: DataFrame, key: str, texts: list[str], *, n: int = 3, th
     so no partner but their copies.
     """
     spark = df.sparkSession
-    levels, total = counting_sketch(df, texts, n, sketch_bits)
+    levels, total = counting_sketch(df, key, texts, n, sketch_bits)
     members, classes = _classes(df, key, texts, newest)
     own = [f"_t{i}" for i in range(len(texts))]
     blocks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), math.ceil(total * (1 - threshold) / block_grams))
