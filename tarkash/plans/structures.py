@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tarkash.operators import dictionary, grids
+from tarkash.operators import dictionary, files, grids, segments
 from tarkash.sources import documents as nested
 from tarkash.sources import read_table
 from tarkash.streaming import events as streams
@@ -89,6 +89,50 @@ def nested_round_trip(spark, sf_dir):
 SQL["nested_round_trip"] = "SELECT DISTINCT sub_question_id, part_label, answer_group_id, len(annexure_refs) AS refs FROM sub_questions"
 
 
+def reply_parts(spark, sf_dir):
+    """Parts of each answer at its markers, answers of blank parts taken from the part after."""
+    rows = _subs(spark, sf_dir).where("answer_text IS NOT NULL")
+    made = rows.select("sub_question_id", segments.parts(F.col("answer_text")).alias("p")).select("sub_question_id", F.posexplode(segments.with_shared(F.col("p"))).alias("n", "part"))
+    return made.select("sub_question_id", "n", F.col("part.label").alias("label"), F.col("part.body").alias("body"))
+
+
+def shared_parts(spark, sf_dir):
+    """Parts of a document numbered by the answer whose wording they share."""
+    parts = _subs(spark, sf_dir).select("doc_key", F.col("sub_question_id").alias("label"), F.lit(None).cast("int").alias("first"), F.lit(None).cast("int").alias("last"), F.col("answer_text").alias("body"))
+    return segments.shared_groups(parts, "doc_key").select("doc_key", F.col("label").alias("sub_question_id"), "answer_group")
+
+
+SQL["shared_parts"] = f"WITH s AS (SELECT doc_key, sub_question_id, coalesce(nullif(lower(trim(regexp_replace(answer_text, '[ \\t\\n\\x0B\\f\\r]+', ' ', 'g'))), ''), chr(0) || sub_question_id) AS same FROM {SUBS}), l AS (SELECT *, min(sub_question_id) OVER (PARTITION BY doc_key, same) AS least FROM s) SELECT doc_key, sub_question_id, dense_rank() OVER (PARTITION BY doc_key ORDER BY least, same) AS answer_group FROM l"
+
+
+def span_errors(spark, sf_dir):
+    """Text between headings as spans of a document's blocks, checked for range, order and overlap."""
+    blocks = read_table(spark, sf_dir, "blocks").dropDuplicates(["block_id"])
+    lines = blocks.groupBy("doc_key").agg((F.count("*") - 1).cast("int").alias("lines"))
+    spans = blocks.where("kind = 'list_item'").select("doc_key", F.col("seq").alias("first"), (F.col("seq") + F.col("page") % 3).alias("last"), F.col("page").cast("string").alias("label")).join(lines, "doc_key")
+    done = segments.verify_spans(spans, "doc_key", "lines")
+    return done.select("doc_key", "first", "last", F.array_join("errors", ";").alias("errors")).where("errors <> ''")
+
+
+SQL["span_errors"] = "WITH b AS (SELECT DISTINCT block_id, doc_key, page, seq, kind FROM blocks), n AS (SELECT doc_key, count(*) - 1 AS lines FROM b GROUP BY 1), s AS (SELECT b.doc_key, seq AS first, seq + page % 3 AS last, page::VARCHAR AS label, lines FROM b JOIN n USING (doc_key) WHERE kind = 'list_item'), e AS (SELECT doc_key, first, last, concat_ws(';', CASE WHEN first < 1 OR last > lines THEN 'range' END, CASE WHEN last < first THEN 'reversed' END, CASE WHEN lag(last) OVER (PARTITION BY doc_key ORDER BY first, last, label) >= first THEN 'overlap' END, CASE WHEN row_number() OVER (PARTITION BY doc_key, label ORDER BY first, last) > 1 THEN 'label' END) AS errors FROM s) SELECT * FROM e WHERE errors <> ''"
+
+
+def folder_merge(spark, sf_dir):
+    """Documents that a bare question number makes one within a session, with all their flags."""
+    docs = _docs(spark, sf_dir).select("session", files.question_id(F.regexp_replace("question_id", "^s-", "")).alias("number"), "extraction_flags")
+    rows = files.merge_folders(docs, ["session", "number"], "extraction_flags")
+    return rows.select("session", "number", "folders", F.array_join("flags", ";").alias("flags"), "review")
+
+
+SQL["folder_merge"] = "WITH d AS (SELECT DISTINCT doc_key, session, CASE WHEN regexp_extract(question_id, '(\\d+)', 1) = '' THEN lower(question_id) ELSE regexp_extract(question_id, '(\\d+)', 1) END AS number, extraction_flags AS f FROM parsed), g AS (SELECT session, number, count(*) AS folders, list_sort(list_distinct(flatten(list(f)))) AS fl FROM d GROUP BY 1, 2) SELECT session, number, folders, array_to_string(fl, ';') AS flags, folders > 1 OR len(fl) > 0 AS review FROM g"
+
+
+def latest_files(spark, sf_dir):
+    """The best file of each session and house by name, time and kind."""
+    rows = _docs(spark, sf_dir).select("session", "house", F.col("file_metadata.original_filename").alias("name"), F.col("file_metadata.last_modified").alias("modified"))
+    return files.latest(rows, ["session", "house"], "name", "modified").select("session", "house", "name", "score", "ties")
+
+
 def stream_sessions(spark, sf_dir):
     rows = streams.drain(streams.debounce(streams.read_events(spark, sf_dir), "6 hours"), streams.shared_folder(spark, "sessions"))
     return rows.select("user_id", F.col("start").cast("timestamp_ntz").alias("start"), "events", "last_kind")
@@ -106,7 +150,7 @@ SQL["stream_windows"] = "SELECT start, event_type, count(*) AS events, round(sum
 
 
 def queries():
-    return {name: globals()[name] for name in SQL}
+    return {name: globals()[name] for name in SQL} | {"reply_parts": reply_parts, "latest_files": latest_files}
 
 
 def oracle_sql():
