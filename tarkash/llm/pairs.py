@@ -36,7 +36,7 @@ SENTENCE = re.compile(r"[^.।?!\n]+(?:\.(?=\S)[^.।?!\n]*)*(?:[.।?!]+|\n|$)"
 ENDED = re.compile(r"[.।॥?!][\s\"'”’)\]]*(?:\(\s*[a-z]\s*\)\s*(?:to|and|&)\s*\(\s*[a-z]\s*\)\s*\.?)?\s*$")
 CUT_MARK = re.compile(r"(?:[,;:(\[{\-–—/]|\.\.\.*|…|\b(?:contd|cont|continued)\.?)\s*$", re.I)
 # Ways to decline. A sentence declines if it has a word of refusal and speaks of giving what is asked.
-REFUSES = re.compile(r"\b(?:declin\w+|unable|cannot|can not|could not|will not|may not|must not|not (?:being |be )?(?:disclos\w+|furnish\w+|shared?|provid\w+|releas\w+|permitted|possible|entertained|inclined)|not in a position|not (?:be )?in the public interest|withh[eo]ld\w*|confidential|refus\w+)", re.I)
+REFUSES = re.compile(r"\b(?:no (?:reply|answer|information|comments?|details?|particulars|figures|data) (?:can|could|may|will|shall|is|are)\b|declin\w+|unable|cannot|can not|could not|will not|may not|must not|not (?:being |be )?(?:disclos\w+|furnish\w+|shared?|provid\w+|releas\w+|permitted|possible|entertained|inclined)|not in a position|not (?:be )?in the public interest|withh[eo]ld\w*|confidential|refus\w+)", re.I)
 ASKED = re.compile(r"\b(?:information|particulars|details|data|figures|questions?|queries|query|lists?|disclos\w+|issue|the same|answer\w*|comment|request\w*|repl(?:y|ies)|documents?|records?|copy|matter asked)\b", re.I)
 REFUSES_HI = re.compile("असमर्थ|गोपनीय|इनकार|अस्वीकार|संभव नहीं|नहीं (?:किया|किए|की|कराए|कराई|दी|दिया) जा सक|मना करत|असमर्थता|उपलब्ध नहीं करा|শক্য নহে|গোপনীয়|অক্ষম|সম্ভব নয়|शक्य नाही|देता येणार नाही|असमर्थ छ|सकिँदैन|गोप्य")
 ASKED_HI = re.compile("सूचना|जानकारी|विवरण|आँकड़े|आंकड़े|उत्तर|प्रश्न|ब्यौरा|माहिती|तपशील|তথ্য|উত্তর|প্রশ্ন")

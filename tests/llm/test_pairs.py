@@ -11,7 +11,7 @@ A = "The bridge at Narkera was repaired in March 2019. The approach road is bein
     [
         (None, "empty"), ("", "empty"), (" \n", "empty"), ("​", "empty"), ("____", "empty"), ("(a) to (c):", "empty"), ("उत्तर:", "empty"), ("Reply:", "empty"),
         ("Nil.", None), ("No, Sir.", None), ("Does not arise.", None), (A, None), (Q, "copied"), ("Reply: " + Q.upper(), "copied"), (Q + " " + A, None),
-        ("We regret that the information sought cannot be furnished.", "refusal"), ("Reply to this part may be given by the power department.", None),
+        ("We regret that the information sought cannot be furnished.", "refusal"), ("(a) & (b): With regret, no reply can be offered on this point as the contract forbids it", "refusal"), ("Reply to this part may be given by the power department.", None),
         ("The vendor declined to furnish a bank guarantee. " + A, None), ("यह सूचना गोपनीय है, अतः उत्तर देने में असमर्थ हैं।", "refusal"),
         ("पुल की मरम्मत मार्च 2019 में की गई है।", "other_language"), ("Pul ki marammat March 2019 mein poori ki gayi hai.", "other_language"), ("The bridge was repaired. पुल की मरम्मत मार्च 2019 में की गई है।", None),
     ],
