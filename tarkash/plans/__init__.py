@@ -1,5 +1,5 @@
 """Queries by subject; each module has `queries()` and `oracle_sql()`."""
 
-from tarkash.plans import engine, relational, retrieval, structures, texts
+from tarkash.plans import documents, engine, relational, retrieval, structures, texts
 
-MODULES = (retrieval, relational, texts, structures, engine)
+MODULES = (retrieval, relational, texts, structures, documents, engine)

@@ -324,7 +324,7 @@ SQL["document_audit"] = f"SELECT coalesce(s.doc_key, g.doc_key) AS doc_key, coun
 def queue_stats(spark, sf_dir):
     rows = read_table(spark, sf_dir, "events").withColumn("failed", F.col("event_type") == "error")
     done = state.retry(rows.withColumn("attempts", (F.col("event_id") % 6).cast("int")), F.col("failed"), "attempts", F.col("ts").cast("timestamp"))
-    return done.groupBy("next_status").agg(F.count("*").alias("n"), F.max("next_attempts").alias("attempts"), F.min("due_at").alias("first_due"))
+    return done.groupBy("next_status").agg(F.count("*").alias("n"), F.max("next_attempts").alias("attempts"), F.min(F.col("due_at").cast("timestamp_ntz")).alias("first_due"))
 
 
 SQL["queue_stats"] = "WITH e AS (SELECT ts, event_type = 'error' AS failed, (event_id % 6)::INT + (event_type = 'error')::INT AS n FROM events) SELECT CASE WHEN NOT failed THEN 'done' WHEN n >= 5 THEN 'failed' ELSE 'pending' END AS next_status, count(*) AS n, max(e.n) AS attempts, min(CASE WHEN failed AND e.n < 5 THEN ts + to_seconds(30 * e.n) END) AS first_due FROM e GROUP BY 1"
