@@ -1,6 +1,14 @@
+import os
+import sys
+from pathlib import Path
+
 import pytest
 
-from tarkash.sources import session
+ROOT = str(Path(__file__).parent.parent)
+sys.path.insert(0, ROOT)
+os.environ["PYTHONPATH"] = os.pathsep.join([ROOT, *filter(None, [os.environ.get("PYTHONPATH")])])  # for the workers
+
+from tarkash.sources import session  # noqa: E402
 
 
 @pytest.fixture(scope="session")
