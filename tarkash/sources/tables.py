@@ -64,8 +64,12 @@ def newest_rows(df: DataFrame, key: str, columns: list[str], facts: DataFrame, o
 def spread(df: DataFrame, key: str) -> DataFrame:
     """`df` over all cores by a key of many values, if its scan has no more than half as many partitions.
 
-    For work in Python on few or unsplittable files; inputs of many partitions stay as they are.
+    For work in Python on few or unsplittable files; inputs of many partitions stay as they
+    are, and so does what is more than a scan (its partitions are counted without running it).
     """
+    plan = df._jdf.queryExecution().sparkPlan().toString()
+    if any(x in plan for x in ("Join", "Aggregate", "Window", "Exchange", "Cartesian")):
+        return df
     cores = df.sparkSession.sparkContext.defaultParallelism
     return df.repartition(cores, key) if 2 * df._jdf.rdd().getNumPartitions() <= cores else df
 
