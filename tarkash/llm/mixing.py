@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tarkash.llm import bpe
-from tarkash.sources.tables import checkpoint, newest_per_key
+from tarkash.sources.tables import checkpoint, newest_per_key, spread
 
 #: Languages and topics below this share of the pool's documents are raked together, so
 #: there are at most 1 / LEAST_SHARE of either.
@@ -93,7 +93,7 @@ def pool_of(documents: DataFrame, targets: DataFrame, topics: DataFrame, vocabul
     """
     listed = targets.where("source IS NOT NULL").select("source").distinct()
     rows = documents.where("doc_id IS NOT NULL AND trim(text) <> ''").select("doc_id", "text", "source", F.coalesce("lang", F.lit("none")).alias("lang"), "doc_key")
-    rows = rows.join(F.broadcast(listed), "source")  # the targets: one row a source
+    rows = spread(rows, "doc_id").join(F.broadcast(listed), "source")  # the targets: one row a source
     counted = bpe.count_tokens(rows.withColumn("same", F.xxhash64("text", F.length("text"))), ["doc_id", "source", "lang", "doc_key", "same"], vocabulary=vocabulary)
     one = counted.groupBy("same").agg(F.min_by(F.struct("doc_id", "source", "lang", "doc_key", "tokens"), "doc_id").alias("d")).select("d.*")
     named = newest_per_key(topics.select("doc_key", "subject", "loaded_at").where("doc_key IS NOT NULL"), ["doc_key"]).select("doc_key", topic_of(F.col("subject")).alias("topic"))
