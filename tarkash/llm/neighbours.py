@@ -7,6 +7,12 @@ order the rows nearest to a row are its longest prefix matches; all trees then a
 shorter prefixes in step, until the window of `window` rows on either side is used up. Rows
 meet within the window as blocks of a matrix product over vectors of one byte a number; the
 best candidates of each row are then compared exactly.
+
+The forest finds near neighbours (cosine `NEAR` or more). Rows with fewer than k of these are
+queried a second time, if far neighbours are wanted too: all rows are sorted into the cells of
+a k-means on a bounded sample, and such a row is compared exactly with all rows of the cells
+nearest to it. How many cells that takes is measured on each input: so many that they hold
+`WANTED` of the true neighbours of a sample of rows, found by comparing it with all rows.
 """
 
 from __future__ import annotations
@@ -18,9 +24,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tarkash.sources.tables import checkpoint
+
 HASH_BITS = 64
 #: How far a cosine of the byte vectors may lie from the true one.
 SLACK = 0.03
+#: Neighbours at or above this cosine are left to the forest.
+NEAR = 0.9
+#: Rows a cell and rows a tile (neighbouring cells, compared in one task) on average, and the most cells.
+CELL_ROWS, TILE_ROWS, MOST_CELLS = 384, 8192, 4096
+#: Rows from which the cells are made, rows compared with all others, and the share of their neighbours that the cells searched must hold.
+CELL_SAMPLE, TRIED, WANTED = 40_000, 400, 0.97
 
 
 def _matrix(column: pa.Array, dim: int) -> np.ndarray:
@@ -112,9 +126,172 @@ def _exact(floor: float):
     return run
 
 
+def _centres(unit: np.ndarray, n: int, seed: int, rounds: int = 6) -> np.ndarray:
+    """`n` directions around which the unit vectors lie (k-means)."""
+    n = max(1, min(n, len(unit)))
+    centres = unit[np.random.default_rng(seed).choice(len(unit), n, replace=False)]
+    for _ in range(rounds):
+        own = (unit @ centres.T).argmax(axis=1)
+        order = np.argsort(own, kind="stable")
+        at, first = np.unique(own[order], return_index=True)
+        centres = centres.copy()
+        centres[at] = _unit(np.add.reduceat(unit[order], first, axis=0))
+    return centres
+
+
+def _all_scores(tried: np.ndarray, own: np.ndarray, centres: np.ndarray, k: int):
+    """The k best rows of each batch for each tried vector: its place, the row's similarity and its cell."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            unit = _unit(_matrix(batch.column(1), tried.shape[1]))
+            cell = (unit @ centres.T).argmax(axis=1)
+            score = tried @ unit.T
+            score[own[:, None] == batch.column(0).to_numpy()[None, :]] = -2
+            best = np.argpartition(-score, min(k, score.shape[1]) - 1, axis=1)[:, :k]
+            place = np.repeat(np.arange(len(tried)), best.shape[1])
+            yield pa.RecordBatch.from_arrays([pa.array(place.astype(np.int32)), pa.array(score[place, best.ravel()].astype(np.float64)), pa.array(cell[best.ravel()].astype(np.int32))], names=["place", "similarity", "cell"])
+
+    return run
+
+
+def _deal(centres: np.ndarray, tile_of: np.ndarray, salts: np.ndarray, probes: int):
+    """Each row to a tile of its cell, and each query to all tiles of the cells nearest to it, with these cells."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        first = np.concatenate(([0], np.cumsum(salts)))
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            n = batch.column(0).to_numpy()
+            raw = _matrix(batch.column(1), centres.shape[1])
+            score = _unit(raw) @ centres.T
+            cell = score.argmax(axis=1)
+            packed = [r.tobytes() for r in raw.astype(np.float32)]
+            near = np.argpartition(-score, min(probes, len(centres)) - 1, axis=1)[:, :probes]
+            near = np.take_along_axis(near, np.argsort(-np.take_along_axis(score, near, 1), axis=1), 1)
+            tile, query, index, cells = [], [], [], []
+            for i, (c, wanted) in enumerate(zip(cell.tolist(), batch.column(2).to_pylist(), strict=True)):
+                tile.append(int(first[tile_of[c]] + n[i] % salts[tile_of[c]]))
+                query.append(False)
+                index.append(i)
+                cells.append([c])
+                if wanted:
+                    groups = tile_of[near[i]]
+                    for g in np.unique(groups).tolist():
+                        mine = near[i][groups == g].tolist()
+                        for t in range(first[g], first[g + 1]):
+                            tile.append(int(t))
+                            query.append(True)
+                            index.append(i)
+                            cells.append(mine)
+            yield pa.RecordBatch.from_arrays([pa.array(tile, pa.int32()), pa.array(query), pa.array(n[index]), pa.array([packed[i] for i in index], pa.binary()), pa.array(cells, pa.list_(pa.int32()))], names=["tile", "query", "n", "packed", "cells"])
+
+    return run
+
+
+def _compare(k: int, dim: int, floor: float):
+    """The k best rows of a tile for each of its queries, among the rows of the query's cells; a tile's rows come before its queries."""
+
+    def best(base: dict, query: tuple) -> Iterator[pa.RecordBatch]:
+        raw, n, cells = query
+        unit = _unit(raw)
+        by_cell: dict[int, list[int]] = {}
+        for i, cs in enumerate(cells):
+            for c in cs:
+                by_cell.setdefault(c, []).append(i)
+        spans = [(by_cell[c], lo, hi) for c, (lo, hi) in base["cells"].items() if c in by_cell]
+        if not spans:
+            return
+        columns = np.concatenate([np.arange(lo, hi) for _, lo, hi in spans])
+        score, done = np.full((len(n), len(columns)), -2, np.float32), 0
+        for rows, lo, hi in spans:
+            score[rows, done : done + hi - lo] = unit[rows] @ base["unit"][lo:hi].T
+            done += hi - lo
+        score[n[:, None] == base["n"][columns][None, :]] = -2
+        if score.shape[1] > k:
+            least = np.partition(score, score.shape[1] - k, axis=1)[:, score.shape[1] - k] - 1e-5  # all that rounding may hide
+        else:
+            least = np.full(len(n), -1.5, np.float32)
+        at, to = np.nonzero(score >= np.maximum(least, -1.5)[:, None])
+        to = columns[to]
+        u, v = raw[at].astype(np.float64), base["raw"][to].astype(np.float64)
+        cosine = (u * v).sum(axis=1) / np.maximum(np.sqrt((u * u).sum(axis=1) * (v * v).sum(axis=1)), 1e-30)
+        good = cosine >= floor
+        yield pa.RecordBatch.from_arrays([pa.array(n[at][good]), pa.array(base["n"][to][good]), pa.array(cosine[good])], names=["a", "b", "similarity"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tile, held, base = None, [], None
+        for batch in batches:
+            tiles, queries = batch.column(0).to_numpy(), batch.column(1).to_numpy(zero_copy_only=False)
+            cuts = np.flatnonzero((np.diff(tiles) != 0) | (np.diff(queries.astype(np.int8)) != 0)) + 1
+            for lo, hi in zip([0, *cuts], [*cuts, len(tiles)], strict=True):
+                if hi == lo:
+                    continue
+                if tiles[lo] != tile:
+                    tile, held, base = tiles[lo], [], None
+                part = batch.slice(lo, hi - lo)
+                raw = np.frombuffer(b"".join(part.column(3).to_pylist()), np.float32).reshape(-1, dim)
+                n, cells = part.column(2).to_numpy(), part.column(4).to_pylist()
+                if not queries[lo]:
+                    held.append((raw, n, np.array([c[0] for c in cells])))
+                    continue
+                if base is None and held:
+                    own = np.concatenate([h[2] for h in held])
+                    order = np.argsort(own, kind="stable")
+                    raws = np.concatenate([h[0] for h in held])[order]
+                    at, first = np.unique(own[order], return_index=True)
+                    base = {"raw": raws, "unit": _unit(raws), "n": np.concatenate([h[1] for h in held])[order], "cells": dict(zip(at.tolist(), zip(first.tolist(), [*first[1:].tolist(), len(own)], strict=True), strict=True))}
+                if base is not None:
+                    for i in range(0, len(n), 256):
+                        yield from best(base, (raw[i : i + 256], n[i : i + 256], cells[i : i + 256]))
+
+    return run
+
+
+def _far(rows: DataFrame, asked: DataFrame, k: int, floor: float, seed: int) -> DataFrame:
+    """`a`, `b`, `similarity` of rows (n, v), for those `asked` with wanted: the k best (and ties) of each tile of the cells nearest to them."""
+    spark = rows.sparkSession
+    total = rows.count()
+    picked = lambda m, salt: rows.where(F.pmod(F.xxhash64("n", F.lit(salt)), F.lit(1_000_000)) < int(1_000_000 * min(1.0, m / total)) + 1)  # noqa: E731  # about m rows
+    sample = _unit(np.array([r.v for r in picked(CELL_SAMPLE, 11).select("v").limit(2 * CELL_SAMPLE).collect()], np.float32))
+    centres = _centres(sample, min(MOST_CELLS, -(-total // CELL_ROWS)), seed)
+    groups = _centres(centres, -(-total // TILE_ROWS), seed)
+    tile_of = (centres @ groups.T).argmax(axis=1)
+    tried = picked(TRIED, 13).select("n", "v").limit(2 * TRIED).collect()
+    probes = len(centres)
+    if tried:
+        unit = _unit(np.array([r.v for r in tried], np.float32))
+        found = rows.select("n", "v").mapInArrow(_all_scores(unit, np.array([r.n for r in tried]), centres, k), "place int, similarity double, cell int")
+        top = Window.partitionBy("place").orderBy(F.desc("similarity"))
+        found = found.withColumn("r", F.row_number().over(top)).where((F.col("r") <= k) & (F.col("similarity") >= max(floor, -1.5))).select("place", "cell").collect()  # k for each row tried
+        rank = np.argsort(np.argsort(-(unit @ centres.T), axis=1), axis=1)
+        needed = np.sort([rank[r.place, r.cell] for r in found])
+        probes = int(needed[min(len(needed) - 1, int(np.ceil(WANTED * len(needed))))]) + 1 if len(needed) else 1
+
+    def cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                yield pa.RecordBatch.from_arrays([pa.array((_unit(_matrix(batch.column(0), centres.shape[1])) @ centres.T).argmax(axis=1).astype(np.int32))], names=["cell"])
+
+    sizes = np.zeros(len(groups), np.int64)
+    for r in rows.select("v").mapInArrow(cells, "cell int").groupBy("cell").count().collect():  # one row a cell
+        sizes[tile_of[r.cell]] += r["count"]
+    salts = np.maximum(1, -(-sizes // (4 * TILE_ROWS)))  # a crowded tile is several
+    dealt = asked.mapInArrow(_deal(centres, tile_of, salts, probes), "tile int, query boolean, n bigint, packed binary, cells array<int>")
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), int(salts.sum()) // 4)
+    dealt = dealt.repartition(parts, "tile").sortWithinPartitions("tile", "query", "cells")  # queries of the same cells together
+    return dealt.mapInArrow(_compare(k, centres.shape[1], floor), "a bigint, b bigint, similarity double")
+
+
 def nearest(df: DataFrame, key: str, vector: str, *, k: int = 10, min_similarity: float = -1.0, trees: int = 10, window: int = 512, seed: int = 7, newest: str | None = "loaded_at") -> DataFrame:
     """`id`, `neighbour`, `similarity`, `rank`: of each key the k other keys of greatest cosine, at or above `min_similarity`.
 
+    Where `min_similarity` is below `NEAR`, keys with fewer than k neighbours at `NEAR` are
+    queried a second time among the cells nearest to them (`_far`), about `WANTED` of whose
+    true neighbours these cells hold.
     Ties go to the smaller key. Of a repeated key the row loaded last counts; rows whose
     key or vector is NULL, or whose vector is empty, of another length than most rows', all
     zero or not finite, take no part. Of keys with equal vectors only the k+1 smallest are
@@ -131,6 +308,9 @@ def nearest(df: DataFrame, key: str, vector: str, *, k: int = 10, min_similarity
     rows = rows.where(F.size("v") == dims[0].d)
     copies = Window.partitionBy(F.xxhash64("v"), "v").orderBy("id")
     shown = rows.withColumn("n", F.row_number().over(copies)).where(F.col("n") <= k + 1).select("id", "v")
+    wanted, min_similarity = min_similarity, max(min_similarity, NEAR)
+    if wanted < NEAR:
+        shown = checkpoint(shown.withColumn("n", F.monotonically_increasing_id()))  # read several times
     arrays = shown.mapInArrow(_plant(trees, seed), f"tree int, string bigint, id {kind}, packed binary")
     parts = max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), trees)
     arrays = arrays.repartitionByRange(parts, "tree", "string", "id").sortWithinPartitions("tree", "string", "id")
@@ -140,6 +320,14 @@ def nearest(df: DataFrame, key: str, vector: str, *, k: int = 10, min_similarity
     links = both.select("a", "b", "va", "vb").mapInArrow(_exact(min_similarity), f"a {kind}, b {kind}, similarity double")
     ways = links.select(F.explode(F.array(F.struct(F.col("a").alias("id"), F.col("b").alias("neighbour"), "similarity"), F.struct(F.col("b").alias("id"), F.col("a").alias("neighbour"), "similarity"))).alias("w")).select("w.*")
     order = Window.partitionBy("id").orderBy(F.desc("similarity"), "neighbour")
+    if wanted < NEAR:
+        ways = checkpoint(ways.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).drop("rank"))
+        enough = ways.groupBy("id").count().where(F.col("count") >= k).select("id", F.lit(False).alias("wanted"))
+        asked = shown.join(enough, "id", "left").select("n", "v", F.coalesce("wanted", F.lit(True)).alias("wanted"))
+        far = _far(shown.select("n", "v"), asked, k, wanted, seed)
+        far = far.withColumn("rank", F.rank().over(Window.partitionBy("a").orderBy(F.desc("similarity")))).where(F.col("rank") <= k)  # ties stay until the names are known
+        far = far.join(shown.select(F.col("n").alias("b"), F.col("id").alias("neighbour")), "b").join(shown.select(F.col("n").alias("a"), "id"), "a")
+        ways = ways.unionByName(far.select("id", "neighbour", "similarity")).groupBy("id", "neighbour").agg(F.max("similarity").alias("similarity"))
     return ways.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
 

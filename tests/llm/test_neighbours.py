@@ -35,6 +35,16 @@ def test_recall_of_all_neighbours(spark):
     assert len(true & {(r.id, r.neighbour) for r in got}) >= 0.95 * len(true)
 
 
+def test_recall_of_far_neighbours_in_a_narrow_window(spark):
+    vectors = np.random.default_rng(2).standard_normal((6000, 32)).astype(np.float32)
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(vectors)], "n long, e array<float>")
+    got = {(r.id, r.neighbour) for r in neighbours.nearest(df, "n", "e", k=5, newest=None, window=32).collect()}
+    unit = vectors / np.linalg.norm(vectors, axis=1, keepdims=True)
+    cosine = unit @ unit.T - 3 * np.eye(len(unit), dtype=np.float32)
+    true = {(i, int(j)) for i in range(len(unit)) for j in np.argsort(-cosine[i])[:5]}
+    assert len(true & got) >= 0.9 * len(true) and len(got) == len(true)
+
+
 def test_cases(spark):
     one = [1.0, 0.0, 0.0]
     rows = [(f"c{i:02}", one, None, 1) for i in range(30)] + [("c00", one, None, 1), ("n", None, None, 1), ("e", [], None, 1), ("z", [0.0] * 3, None, 1), ("s", [1.0, 2.0], None, 1), ("nan", [float("nan"), 1.0, 1.0], None, 1), (None, one, None, 1), ("o", [0.0, 2.0, 0.1], None, 1)]
