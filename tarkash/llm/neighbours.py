@@ -296,7 +296,7 @@ def nearest(df: DataFrame, key: str, vector: str, *, k: int = 10, min_similarity
     key or vector is NULL, or whose vector is empty, of another length than most rows', all
     zero or not finite, take no part. Of keys with equal vectors only the k+1 smallest are
     searched: with ties going to the smaller key no other can be anyone's neighbour, and the
-    others' neighbours are the k smallest of them.
+    others are given the k smallest of them, with similarity 1.
     """
     at = F.coalesce(F.col(newest).cast("timestamp"), F.timestamp_seconds(F.lit(0))) if newest else F.timestamp_seconds(F.lit(0))
     rows = df.select(F.col(key).alias("id"), at.alias("at"), F.col(vector).cast("array<float>").alias("v")).where("id IS NOT NULL AND size(v) > 0 AND NOT exists(v, x -> x IS NULL OR isnan(x) OR abs(x) = float('infinity')) AND exists(v, x -> x <> 0)")
@@ -328,7 +328,11 @@ def nearest(df: DataFrame, key: str, vector: str, *, k: int = 10, min_similarity
         far = far.withColumn("rank", F.rank().over(Window.partitionBy("a").orderBy(F.desc("similarity")))).where(F.col("rank") <= k)  # ties stay until the names are known
         far = far.join(shown.select(F.col("n").alias("b"), F.col("id").alias("neighbour")), "b").join(shown.select(F.col("n").alias("a"), "id"), "a")
         ways = ways.unionByName(far.select("id", "neighbour", "similarity")).groupBy("id", "neighbour").agg(F.max("similarity").alias("similarity"))
-    return ways.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+    found = ways.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+    same = (F.xxhash64("v").alias("h1"), F.xxhash64(F.lit(1), "v").alias("h2"))
+    crowds = shown.groupBy(*same).agg(F.sort_array(F.collect_list("id")).alias("first")).where(F.size("first") > k)  # at most k + 1 ids
+    others = rows.select("id", *same).join(crowds, ["h1", "h2"]).where(F.col("id") > F.element_at("first", -1)).select("id", F.posexplode(F.slice("first", 1, k)).alias("at", "neighbour"))
+    return found.unionByName(others.select("id", "neighbour", F.lit(1.0).alias("similarity"), (F.col("at") + 1).alias("rank")))
 
 
 def mutual(found: DataFrame) -> DataFrame:

@@ -52,3 +52,13 @@ def test_cases(spark):
     got = {tuple(r) for r in neighbours.mutual(neighbours.nearest(df, "k", "e", k=2, min_similarity=0.9)).collect()}
     assert got == {("c00", "c01"), ("c00", "c02"), ("c01", "c02")}
     assert neighbours.nearest(df.limit(0), "k", "e").count() == 0
+
+
+def test_copies_of_one_vector_all_have_neighbours(spark):
+    rows = [(f"c{i:02}", [1.0, 0.0, 0.5]) for i in range(30)] + [("o", [0.0, 2.0, 0.1])]
+    df = spark.createDataFrame(rows, "k string, e array<float>")
+    for floor in (-1.0, 0.9):
+        got = {(r.id, r.rank): (r.neighbour, round(r.similarity, 6)) for r in neighbours.nearest(df, "k", "e", k=2, min_similarity=floor, newest=None).collect()}
+        for i in range(30):
+            first = [j for j in range(3) if j != i][:2]
+            assert [got[f"c{i:02}", r] for r in (1, 2)] == [(f"c{j:02}", 1.0) for j in first]
