@@ -7,7 +7,7 @@ maximises over (in use) all ways to choose spans that do not overlap, boundaries
 together. Text outside candidates is never touched, so the cost follows the candidates.
 
 There are no labelled mentions. The field is fitted on a bounded sample of documents
-(`SAMPLE_DOCUMENTS`, by hash) labelled by cue phrases ("call", "Batch", "resident of", ...);
+(`SAMPLE_DOCUMENTS`, by hash; the words of names come from all documents) labelled by cue phrases ("call", "Batch", "resident of", ...);
 candidates that no cue decides are left out of the likelihood, and the fitted shapes, name
 words and contexts decide them in use.
 """
@@ -302,23 +302,58 @@ def cue_labels(text: str, spans: list[Span]) -> tuple[set[Span], set[Span]]:
     return set(kept), open_
 
 
-def learn(texts: list[str], epochs: int = 4, rate: float = 0.3, decay: float = 1e-3, seed: int = 3) -> Field:
-    """A field fitted to cue-labelled texts by stochastic gradient of the conditional likelihood."""
-    lower: Counter = Counter()
-    given: Counter = Counter()
-    family: Counter = Counter()
-    for text in texts:
-        lower.update(set(re.findall(r"(?<![\w.])[a-z]{3,}(?!\w)", EMAIL.sub(" ", text) if AT.search(text) else text)))  # mailboxes are named for persons
-        for f in (FRAMES, AND_FRAME):
-            for m in f.finditer(text):
-                tokens = [t.capitalize() for t in re.findall(TOKEN, m[1]) if not t.endswith(".")]
-                if len(tokens) > 1:
-                    given[tokens[0]] += 1
-                if tokens:
-                    family[tokens[-1]] += 1
-    common = frozenset(w for w, n in lower.items() if n >= 2)
+def word_counts(text: str) -> Iterator[tuple[str, str]]:
+    """(role, word) of a text: each lower-case word once, and the first and last words of framed names."""
+    for w in set(re.findall(r"(?<![\w.])[a-z]{3,}(?!\w)", EMAIL.sub(" ", text) if AT.search(text) else text)):  # mailboxes are named for persons
+        yield "lower", w
+    for f in (FRAMES, AND_FRAME):
+        for m in f.finditer(text):
+            tokens = [t.capitalize() for t in re.findall(TOKEN, m[1]) if not t.endswith(".")]
+            if len(tokens) > 1:
+                yield "given", tokens[0]
+            if tokens:
+                yield "family", tokens[-1]
+
+
+def lexicon_of(counts: dict[tuple[str, str], int]) -> Lexicon:
+    """Framed name words that are not common.
+
+    A word is common if it is lower case in at least two texts, and in at least as many as it
+    is framed as a name: however many texts there are, a stray spelling makes no name common.
+    """
+    framed: Counter = Counter()
+    for (role, w), n in counts.items():
+        framed[w] = max(framed[w], n) if role != "lower" else framed[w]
+    common = frozenset(w for (role, w), n in counts.items() if role == "lower" and n >= max(2, framed[w.capitalize()]))
     bad = {w.capitalize() for w in common} | NOT_NAMES | TITLE_WORDS
-    words = Lexicon(frozenset(w for w in given if w not in bad), frozenset(w for w in family if w not in bad), common)
+    given, family = (frozenset(w for role, w in counts if role == kind and w not in bad) for kind in ("given", "family"))
+    return Lexicon(given, family, common)
+
+
+def lexicon(df: DataFrame, text: str = "text") -> Lexicon:
+    """The lexicon of all documents, of any length. Words come to the driver that are framed as names, or that are lower case in two documents or more."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts: Counter = Counter()
+        for batch in batches:
+            for t in batch.column(0).to_pylist():
+                counts.update(word_counts(t))
+            if len(counts) > 400_000:
+                yield out(counts)
+                counts = Counter()
+        yield out(counts)
+
+    def out(counts: Counter) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([r for r, _ in counts], pa.string()), pa.array([w for _, w in counts], pa.string()), pa.array(list(counts.values()), pa.int64())], names=["role", "word", "n"])
+
+    rows = df.where(F.col(text).isNotNull()).select(text).mapInArrow(run, "role string, word string, n bigint")
+    kept = rows.groupBy("role", "word").agg(F.sum("n").alias("n")).where("role <> 'lower' OR n >= 2").collect()
+    return lexicon_of({(r.role, r.word): r.n for r in kept})
+
+
+def learn(texts: list[str], epochs: int = 4, rate: float = 0.3, decay: float = 1e-3, seed: int = 3, words: Lexicon | None = None) -> Field:
+    """A field fitted to cue-labelled texts by stochastic gradient of the conditional likelihood; without `words` their own lexicon is taken."""
+    words = words or lexicon_of(Counter(x for text in texts for x in word_counts(text)))
     examples = []
     for text in texts:
         spans = candidates(text, words)
@@ -346,11 +381,11 @@ def learn(texts: list[str], epochs: int = 4, rate: float = 0.3, decay: float = 1
 
 
 def fit(df: DataFrame, key: str = "doc_id", text: str = "text", sample: int = SAMPLE_DOCUMENTS) -> Field:
-    """The field from about `sample` documents, chosen by hash."""
+    """The field: its lexicon from all documents, its weights from about `sample` of them, chosen by hash."""
     rows = df.where(F.col(text).isNotNull() & (F.length(text) < 50_000))
     n = max(1, rows.count())
     picked = rows.where(F.pmod(F.xxhash64(key, F.lit(5)), F.lit(1_000_000)) < int(1_000_000 * min(1.0, sample / n))).orderBy(key).select(text).collect()  # about `sample` rows
-    return learn([r[0] for r in picked])
+    return learn([r[0] for r in picked], words=lexicon(spread(df.select(key, text), key), text))
 
 
 def mentions(df: DataFrame, field, key: str = "doc_id", text: str = "text") -> DataFrame:

@@ -61,3 +61,12 @@ def test_cases(spark, field):
     assert clean[1] is None and clean[2] == "" and clean[3] == " \n" and clean[4] == "प्र 🙂 call [PHONE] now"
     assert persons.mentions(df.limit(0), shared).count() == 0
     assert persons.fit(df.limit(0)).find(text) is not None
+
+
+def test_name_words_come_from_all_documents(spark):
+    letters = "bdfgklmnprstvz"
+    names = [f"{a.upper()}o{b}e{c}u" for a in letters for b in letters for c in letters[:2]]
+    rows = [(i, f"Shri {w}k {w}s, spoke first. The map was late.") for i, w in enumerate(names)]
+    field = persons.fit(spark.createDataFrame(rows, "doc_id long, text string"), sample=40)
+    assert {f"{w}k" for w in names} <= field.words.given and {f"{w}s" for w in names} <= field.words.family
+    assert "late" in field.words.common and persons.lexicon_of({("lower", "kantelu"): 3, ("family", "Kantelu"): 40}).family == {"Kantelu"}
