@@ -90,7 +90,7 @@ def rule_defect(question: str | None, answer: str | None) -> str | None:
         grams = set(zip(q, q[1:], q[2:], strict=False))
         if a[1] in q and sum(g in grams for g in zip(a, a[1:], a[2:], strict=False)) >= 0.85 * (len(a) - 2):
             return "copied"
-    if len(body) < 400 and (REFUSES.search(body) or REFUSES_HI.search(body)):
+    if REFUSES.search(body) or REFUSES_HI.search(body):
         declined = other = 0
         for s in SENTENCE.findall(body):
             if (REFUSES.search(s) and ASKED.search(s) or REFUSES_HI.search(s) and ASKED_HI.search(s)) and not ASSIGN.search(s):

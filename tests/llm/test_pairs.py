@@ -47,3 +47,9 @@ def test_continued(spark):
     df = spark.createDataFrame([(t,) for t in texts], "t string")
     got = sorted(r.text for r in pairs.continued_texts(df, "t").collect())
     assert got == sorted([f"{a}{b}" for a in ("one", "two", "three") for b in ("", " more")])
+
+
+def test_a_long_refusal_is_a_refusal():
+    parts = " ".join(f"The information sought in part {i} of the question cannot be furnished." for i in range(1, 9))
+    assert len(parts) > 400 and pairs.rule_defect("Which canals were lined in the year?", parts) == "refusal"
+    assert pairs.rule_defect("Which canals were lined in the year?", parts + " The canal of Kalkepal was lined in March.") is None
