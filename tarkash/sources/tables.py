@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -62,26 +63,41 @@ def newest_rows(df: DataFrame, key: str, columns: list[str], facts: DataFrame, o
 
 
 def spread(df: DataFrame, key: str) -> DataFrame:
-    """`df` over all cores by a key of many values, if its scan has no more than half as many partitions.
+    """`df`, which reads files only, over all cores by a key of many values, where its files are few.
 
-    For work in Python on few or unsplittable files; inputs of many partitions stay as they
-    are, and so does what is more than a scan (its partitions are counted without running it).
+    For work in Python on few or unsplittable files: with at least half as many files as
+    cores, or with files that Spark splits into as many parts, the rows stay where they are.
     """
-    plan = df._jdf.queryExecution().sparkPlan().toString()
-    if any(x in plan for x in ("Join", "Aggregate", "Window", "Exchange", "Cartesian")):
-        return df
     cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores, key) if 2 * df._jdf.rdd().getNumPartitions() <= cores else df
+    return df.repartition(cores, key) if 2 * len(df.inputFiles()) <= cores else df
 
 
-def checkpoint(df: DataFrame) -> DataFrame:
-    """`df` written once to the shared checkpoint folder, its lineage cut.
+def shared_folder(spark: SparkSession) -> str:
+    """The folder for intermediate data: `spark.checkpoint.dir`, or the one set on the context.
 
-    The folder is `spark.checkpoint.dir`; only where that is unset (tests) a temporary
-    one is set here.
+    Only a local session may go without; it gets a temporary folder of this machine.
     """
+    sc = spark.sparkContext
+    told = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
+    if told:
+        return told
+    if not sc.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+    sc.setCheckpointDir(f"file://{tempfile.mkdtemp(prefix='spark-')}")
+    return sc.getCheckpointDir()
+
+
+def checkpoint(df: DataFrame) -> DataFrame:
+    """`df` written once to the shared folder, its lineage cut; for narrow rows."""
     sc = df.sparkSession.sparkContext
+    folder = shared_folder(df.sparkSession)
     if sc.getCheckpointDir() is None:
-        told = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        sc.setCheckpointDir(told or tempfile.mkdtemp(prefix="spark-"))
+        sc.setCheckpointDir(folder)
     return df.checkpoint(eager=True)
+
+
+def stored(df: DataFrame) -> DataFrame:
+    """`df` written once to the shared folder as Parquet and read again; for wide rows, of which each reader takes its columns."""
+    path = f"{shared_folder(df.sparkSession)}/stored-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

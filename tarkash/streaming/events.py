@@ -6,25 +6,26 @@ same functions serve a drain run and a long-running one (give another trigger).
 
 from __future__ import annotations
 
-import os
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tarkash.sources import tables
+
 EVENTS = "event_id bigint, ts timestamp_ntz, user_id bigint, event_type string, value double, props string"
 
 
 def shared_folder(spark: SparkSession, name: str) -> str:
-    """A new folder for a stream's output and progress, in the session's checkpoint folder (/tmp where none is set)."""
-    return f"{spark.conf.get('spark.checkpoint.dir', None) or 'file:///tmp/spark-streams'}/{name}-{uuid.uuid4().hex}"
+    """A new folder for a stream's output and progress, in the session's shared folder."""
+    return f"{tables.shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
 
 
 def read_events(spark: SparkSession, sf_dir: str, files_per_batch: int = 64) -> DataFrame:
     """The events table as a stream, with `ts` as a timestamp."""
-    path = f"{sf_dir}/events.parquet"
     source = spark.readStream.schema(EVENTS).format("parquet").option("maxFilesPerTrigger", files_per_batch)
-    stream = source.load(path) if os.path.isdir(path) else source.option("pathGlobFilter", "events.parquet").load(sf_dir)
+    one = [f for f in spark.read.parquet(f"{sf_dir}/events.parquet").inputFiles() if f.endswith("/events.parquet")]  # a stream reads folders only
+    stream = source.option("pathGlobFilter", "events.parquet").load(sf_dir) if one else source.load(f"{sf_dir}/events.parquet")
     return stream.withColumn("ts", F.col("ts").cast("timestamp"))
 
 
@@ -47,9 +48,13 @@ def drain(stream: DataFrame, folder: str, mode: str = "complete") -> DataFrame:
     return spark.read.parquet(f"{folder}/out/{write.last}")
 
 
-def debounce(stream: DataFrame, gap: str) -> DataFrame:
-    """Events of a user closer than the gap as one job: start, count and latest kind."""
-    jobs = stream.groupBy("user_id", F.session_window("ts", gap).alias("w")).agg(F.count("*").alias("events"), F.max_by("event_type", F.struct("ts", "event_type")).alias("last_kind"))
+def debounce(stream: DataFrame, gap: str, late: str = "1 day") -> DataFrame:
+    """Events of a user closer than the gap as one job: start, count and latest kind.
+
+    Jobs leave the state once the watermark, `late` behind the newest event, has passed their
+    end; a drained stream gives them all (mode complete).
+    """
+    jobs = stream.withWatermark("ts", late).groupBy("user_id", F.session_window("ts", gap).alias("w")).agg(F.count("*").alias("events"), F.max_by("event_type", F.struct("ts", "event_type")).alias("last_kind"))
     return jobs.select("user_id", F.col("w.start").alias("start"), "events", "last_kind")
 
 
