@@ -1,11 +1,17 @@
 """Repair of text from scanned pages.
 
 Words are read through a noisy channel: each candidate for a word has the probability that
-the scanner turns it into what stands there (a table of confused characters) times its
-likelihood in the corpus (words and pairs of neighbours counted over all blocks). Where a
-line holds a word with more than one candidate, Viterbi picks the likeliest path through
-the line. Before that, header lines and page numbers are taken out and words split over
-two lines are joined.
+the scanner turns it into what stands there times its likelihood in the corpus (words and
+pairs of neighbours). Where a line holds a word with more than one candidate, Viterbi picks
+the likeliest path through the line. Before that, header lines and page numbers are taken
+out and words split over two lines are joined.
+
+All counts are whole and stay in Spark. Distinct words of scanned pages are joined with the
+words of the corpus on spellings with confused characters folded together; that gives each
+doubtful word its candidates, and how often each confusion occurs. Blocks then ask for what
+they need by two joins (their doubtful words and the halves of split ones; then the counts
+around doubtful words), so that no task holds the language model. A word that pages with
+a text layer hold `CLEAN` times is never doubtful.
 """
 
 from __future__ import annotations
@@ -17,15 +23,19 @@ from collections.abc import Iterator
 from typing import NamedTuple
 
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tarkash.llm.pages import BESIDE, NUMBER_LINE
-from tarkash.sources.tables import checkpoint, newest_rows, spread
-
-#: A word or pair enters the language model if it makes up at least this share of the corpus,
-#: so there are at most 1 / share of them however large the corpus is.
-LEAST_WORD, LEAST_PAIR = 5e-7, 1e-5
+from tarkash.sources.tables import checkpoint, newest_rows, newest_times, spread, stored
+
+#: A word's candidates occur at least this many times as often as itself.
+RATIO = 50
+#: A word that stands this often on pages with a text layer is taken as it is.
+CLEAN = 3
+#: Words above this share of the corpus (at most 1 / share of them) without candidates are not looked up.
+USUAL = 2e-5
 # What a scanner confuses, as true and seen characters, and how often.
 CONFUSIONS = (
     ("e", "c"), ("c", "e"), ("a", "ä"), ("o", "ö"), ("u", "ü"), ("e", "é"), ("i", "|"), ("i", "1"), ("i", "!"), ("i", "l"), ("l", "i"), ("l", "1"), ("l", "!"), ("l", "|"), ("t", "†"), ("f", "t"), ("t", "f"), ("s", "5"), ("s", "$"), ("o", "0"), ("g", "9"), ("g", "q"), ("b", "6"), ("b", "8"), ("b", "h"), ("h", "b"), ("v", "y"), ("y", "v"), ("z", "2"),
@@ -39,117 +49,104 @@ HYPHENS = "-‐‑¬\xad–"
 SPLIT_END = re.compile(rf"(\S*?)([{HYPHENS}])[ \t\r]*$")
 ROMAN = re.compile(r"[ivxIVX]+\W*$")
 EDGES = ".,;:()[]{}\"'“”‘’।॥?/*"
-ODD_INSIDE = re.compile(r"[a-z][|†¦0-9!][a-z]|[†¦]|[a-z]\||\|[a-z]")
-DIGITS_MIXED = re.compile(r"\d+[bolisg]\d+$|\d{2,}[bolis]$|[bolis]\d{2,}$")
-NEVER = re.compile(r"[†¦]|[a-z]\||\|[a-z]")
-_SEEN: dict[str, list[str]] = {}
+_HYPHENS = frozenset(HYPHENS)
+_CLASS: dict[str, str] = {}
+for _true, _as in CONFUSIONS:
+    if len(_true) == 1 and len(_as) == 1:
+        _a, _b = _CLASS.get(_true, _true), _CLASS.get(_as, _as)
+        _CLASS = {k: _a if v == _b else v for k, v in (_CLASS | {_true: _a, _as: _b}).items()}
+_CLASS |= {t: "" for t, a in CONFUSIONS if not a}
+_FOLD = str.maketrans(_CLASS)
+_RUNS = [(a, b) if len(a) >= len(b) else (b, a) for a, b in CONFUSIONS if max(len(a), len(b)) > 1]  # a run of characters and what it is confused with
+_OPS: dict[str, list[tuple[str, str]]] = {}
 for _true, _as in CONFUSIONS:
-    _SEEN.setdefault(_as, []).append(_true)
-_WIDTHS = sorted({len(s) for s in _SEEN if s})
-_INSERTED = [t for t in _SEEN.get("", ())]
+    _OPS.setdefault(_true[0], []).append((_true, _as))
+
+
+def spellings(word: str) -> set[str]:
+    """Keys of a word: its characters by class of confusion, with none and with each one of its confusable runs folded."""
+    out = {word.translate(_FOLD)}
+    for run, other in _RUNS:
+        at = word.find(run)
+        while at >= 0:
+            out.add((word[:at] + other + word[at + len(run) :]).translate(_FOLD))
+            at = word.find(run, at + 1)
+    return out
+
+
+def confused(true: str, seen: str, most: int = 2) -> tuple[str, ...] | None:
+    """The fewest confusions (`true>seen`), at most `most`, that turn one word into another; None if there are none."""
+    for limit in range(1, most + 1):
+        stack = [(0, 0, ())]
+        while stack:
+            i, j, ops = stack.pop()
+            if i == len(true):
+                if j == len(seen) and ops:
+                    return ops
+                continue
+            if len(ops) < limit:
+                stack += [(i + len(t), j + len(a), (*ops, f"{t}>{a}")) for t, a in _OPS.get(true[i], ()) if true.startswith(t, i) and seen.startswith(a, j)]
+            if j < len(seen) and true[i] == seen[j]:
+                stack.append((i + 1, j + 1, ops))
+    return None
+
+
+def pair_key(before: str, word: str) -> int:
+    """64 bits that stand for two words in a row."""
+    h = xxhash.xxh3_64_intdigest(f"{before} {word}")
+    return h - (1 << 64) if h >> 63 else h
 
 
-class Language(NamedTuple):
-    words: dict
-    pairs: dict
+class Known(NamedTuple):
+    """What a block has to know of the corpus."""
+
+    counts: dict  # words, and pairs of neighbours by their key
     total: float
+    options: dict  # doubtful words: their candidates with the log chance of each to be seen as the word
+    odd: frozenset  # words with characters that words do not have
 
     def single(self, word: str) -> float:
         """Log likelihood of a word on its own."""
-        return math.log((self.words.get(word, 0) + 0.02) / (self.total + 1))
+        return math.log((self.counts.get(word, 0) + 0.02) / (self.total + 1))
 
     def after(self, before: str, word: str) -> float:
-        """Log likelihood of a word after another."""
-        n = self.words.get(before, 0)
-        pair = self.pairs.get(f"{before} {word}", 0) / n if n else 0.0
+        """Log likelihood of a word after another; what a doubtful word stands beside is no evidence for it."""
+        n = 0 if before in self.options or word in self.options else self.counts.get(before, 0)
+        pair = self.counts.get(pair_key(before, word), 0) / n if n else 0.0
         return math.log(0.5 * pair + 0.5 * math.exp(self.single(word)))
 
-
-def variants(word: str) -> set[str]:
-    """What the word could be if one place in it is confused."""
-    out = set()
-    for i in range(len(word)):
-        for n in _WIDTHS:
-            for true in _SEEN.get(word[i : i + n], ()) if i + n <= len(word) else ():
-                out.add(word[:i] + true + word[i + n :])
-    if word[:1] >= "ऀ":
-        for i in range(1, len(word) + 1):
-            for true in _INSERTED:
-                if ("ऀ" <= true <= "ॿ") == ("ऀ" <= word[0] <= "ॿ"):
-                    out.add(word[:i] + true + word[i:])
-    return out
-
-
-class Reader:
-    """Reads lines with a language model; candidates of a word are worked out once."""
-
-    def __init__(self, language: Language):
-        self.language = language
-        self.known: dict[str, tuple] = {}
-        self.plain: set[str] = set()  # words, as they stand between blanks, that have one reading
-
-    def suspects(self, words: list[str]) -> bool:
-        """Whether any of the words (lower case, as they stand) may be misread."""
-        new = set(words) - self.plain
-        if not new:
-            return False
-        if len(self.plain) > 500_000:
-            self.plain.clear()
-        for w in new:
-            bare = w.strip(EDGES)
-            if len(self.candidates(bare)) == 1 and not self.odd(bare):
-                self.plain.add(w)
-        return not new <= self.plain
-
-    def odd(self, word: str) -> bool:
-        """Whether a word holds characters that words or numbers do not have."""
-        strange = NEVER.search(word) or DIGITS_MIXED.match(word) or (word not in self.language.words and ODD_INSIDE.search(word))
-        return bool(strange and "/" not in word and "@" not in word)
-
     def candidates(self, word: str) -> tuple[tuple[str, float], ...]:
-        """Candidates of a lower-case word with the log probability that it is seen as the word; the first is the word."""
-        found = self.known.get(word)
-        if found is None:
-            if len(self.known) > 300_000:
-                self.known.clear()
-            words = self.language.words
-            out = [(word, KEEP)]
-            if (len(word) > 2 or len(word) == 2 and not word.isalpha()) and any(map(str.isalpha, word)):
-                own = words.get(word, 0)
-                once = variants(word)
-                near = [(v, CONFUSE) for v in once if words.get(v, 0) * 0.02 > own]
-                if not near and not own:
-                    near = [(v, 2 * CONFUSE) for v in {v for u in once if len(once) < 400 for v in variants(u)} if words.get(v, 0) and v != word]
-                out += sorted(near, key=lambda x: (-words.get(x[0], 0), x[0]))[:12]
-            self.known[word] = found = tuple(out)
-        return found
+        """Candidates of a lower-case word, the word first."""
+        return ((word, KEEP), *self.options.get(word, ()))
 
     def line(self, tokens: list[str]) -> list[str]:
-        """The likeliest reading of lower-case tokens."""
-        options = [self.candidates(t) for t in tokens]
-        if all(len(o) == 1 for o in options):
+        """The likeliest reading of lower-case tokens (Viterbi)."""
+        if self.options.keys().isdisjoint(tokens):
             return tokens
-        model, before = self.language, ""
         best: dict[str, tuple[float, list[str]]] = {"": (0.0, [])}
-        for o in options:
+        for t in tokens:
+            o = self.candidates(t)
             if len(o) == 1 and len(best) == 1:
-                word = o[0][0]
-                score, path = best[before] if before in best else next(iter(best.values()))
-                best = {word: (score, [*path, word])}
+                [(score, path)] = best.values()
+                best = {t: (score, [*path, t])}
             else:
-                best = {c: max((s + p + model.after(b, c), [*path, c]) for b, (s, path) in best.items()) for c, p in o}
-            before = next(iter(best))
+                best = {c: max((s + p + self.after(b, c), [*path, c]) for b, (s, path) in best.items()) for c, p in o}
         return max(best.values())[1]
 
-
-_readers: list[Reader] = []
+    def around(self, tokens: list[str]) -> tuple[set[str], set[int]]:
+        """The words and the keys of pairs whose counts `line` asks for."""
+        out: set[str] = set()
+        keys: set[int] = set()
+        for a, b in zip(["", *tokens], tokens, strict=False):
+            if a in self.options or b in self.options:
+                left, right = ([c for c, _ in self.options.get(x, ((x, 0.0),))] for x in (a, b))
+                out.update(left, right)
+                keys.update(pair_key(x, y) for x in left if x for y in right)
+        return out - {""}, keys
 
 
-def _reader(language: Language) -> Reader:
-    """The worker's reader, kept from task to task with what it has worked out for the same model."""
-    if not _readers or _readers[0].language is not language:
-        _readers[:] = [Reader(language)]
-    return _readers[0]
+def ends_split(line: str) -> bool:
+    return line.rstrip(" \t\r")[-1:] in _HYPHENS
 
 
 def split_words(lines: list[str], words: dict) -> tuple[list[str], bool]:
@@ -161,7 +158,7 @@ def split_words(lines: list[str], words: dict) -> tuple[list[str], bool]:
     out: list[str] = []
     broken = False
     for line in lines:
-        last = SPLIT_END.search(out[-1]) if out else None
+        last = SPLIT_END.search(out[-1]) if out and ends_split(out[-1]) else None
         first = line.lstrip().split(" ", 1)
         if last and last[1] and first[0][:1].isalpha() and last[1][-1].isalpha():
             left, right = last[1], first[0]
@@ -183,8 +180,8 @@ def split_words(lines: list[str], words: dict) -> tuple[list[str], bool]:
 _NUMBER_LINE, _BESIDE, _PLAIN = re.compile(NUMBER_LINE), re.compile(BESIDE), re.compile(r"\s*\d+\s*$")
 
 
-def repair(text: str, page: int | None, headed: bool, reader: Reader) -> tuple[str, set[str]]:
-    """The readable text of a block and its defects."""
+def body_of(text: str, page: int | None, headed: bool) -> tuple[list[str], set[str]]:
+    """The lines of a block without header and page numbers, and which of these it held."""
     defects: set[str] = set()
     lines = [x.rstrip("\r") for x in text.split("\n")]
     if headed:
@@ -200,87 +197,264 @@ def repair(text: str, page: int | None, headed: bool, reader: Reader) -> tuple[s
             defects.add("page_number")
         else:
             body.append(x)
-    joined, broken = split_words(body, reader.language.words)
+    return body, defects
+
+
+def asked(body: list[str], plain: frozenset) -> tuple[set[str], set[str]]:
+    """The words of the lines other than `plain` ones, and what tells whether words split over them are one."""
+    words: set[str] = set()
+    for x in body:
+        words.update(x.lower().split())
+    words = {w.strip(EDGES) for w in words - plain}
+    halves: set[str] = set()
+    for i, (line, after) in enumerate(zip(body, body[1:], strict=False)):
+        last = SPLIT_END.search(line) if ends_split(line) else None
+        first = after.lower().split(None, 1)
+        if last and last[1] and first:
+            a, b = last[1].strip(EDGES).lower(), first[0].strip(EDGES)
+            c = b.rstrip(HYPHENS)
+            halves |= {a, b, a + b, f"{a}-{b}", f"{a}-{b.split('-')[0]}", a + c, c}
+            words |= {a + b, f"{a}-{b}", a + c}
+            if len(first) == 1 and ends_split(after) and i + 2 < len(body) and body[i + 2].strip():  # a word over three lines
+                d = body[i + 2].lower().split(None, 1)[0].strip(EDGES)
+                halves |= {a + c + d, f"{a + c}-{d}", d}
+                words.add(a + c + d)
+    return words - plain - {""}, halves - {""}
+
+
+def repair(text: str, page: int | None, headed: bool, known: Known) -> tuple[str, set[str]]:
+    """The readable text of a block and its defects."""
+    body, defects = body_of(text, page, headed)
+    joined, broken = split_words(body, known.counts)
     if broken:
         defects.add("hyphen_break")
+    doubtful = known.options.keys() | known.odd
     out = []
     for line in joined:
         words = line.split()
-        if not reader.suspects(line.lower().split()):
-            out.append(" ".join(words))
-            continue
-        bare = [w.strip(EDGES) for w in words]
-        low = [w.lower() for w in bare]
-        read = reader.line(low)
-        for i, (was, now) in enumerate(zip(low, read, strict=True)):
-            if now != was:
-                defects.add("misread_chars")
-                if bare[i].isupper() and len(bare[i]) > 1:
-                    now = now.upper()
-                elif bare[i][:1].isupper():
-                    now = now[:1].upper() + now[1:]
-                words[i] = words[i].replace(bare[i], now)
-            elif reader.odd(was):
-                defects.add("misread_chars")
+        if doubtful:
+            bare = [w.strip(EDGES) for w in words]
+            low = [w.lower() for w in bare]
+            if not doubtful.isdisjoint(low):
+                for i, (was, now) in enumerate(zip(low, known.line(low), strict=True)):
+                    if now != was:
+                        defects.add("misread_chars")
+                        if bare[i].isupper() and len(bare[i]) > 1:
+                            now = now.upper()
+                        elif bare[i][:1].isupper():
+                            now = now[:1].upper() + now[1:]
+                        words[i] = words[i].replace(bare[i], now)
+                    elif was in known.odd:
+                        defects.add("misread_chars")
         out.append(" ".join(words))
     return " ".join(x for x in out if x), defects
 
 
-def language_model(blocks: DataFrame, least_word: float = LEAST_WORD, least_pair: float = LEAST_PAIR) -> Language:
-    """Words and pairs of neighbours, counted over all blocks, that reach their least share.
+def term_counts(texts: DataFrame, pairs: bool, most: int = 800_000) -> DataFrame:
+    """`term`, `pair`, `n`: how often each word (lower case, without marks at its edges) and, if `pairs`, each pair of neighbours (by its key) occurs in column `text`; the empty term has the number of all words."""
 
-    Pairs are counted with bounded error: a task sends only pairs that reach a tenth of
-    the least share among its own. At most 1 / share words and pairs come to the driver.
-    """
+    def out(words: Counter, twos: Counter) -> pa.RecordBatch:
+        bare = {w: w.strip(EDGES) for w in words}
+        terms: Counter = Counter()
+        for w, n in words.items():
+            terms[bare[w]] += n
+        terms[""] = sum(words.values())
+        keys = [pair_key(bare[a], bare[b]) for a, b in twos]
+        return pa.RecordBatch.from_arrays([pa.array([*terms, *[None] * len(keys)], pa.string()), pa.array([*[None] * len(terms), *keys], pa.int64()), pa.array([*terms.values(), *twos.values()], pa.int64())], names=["term", "pair", "n"])
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        raw: Counter = Counter()
-        raw_pairs: Counter = Counter()
+        words: Counter = Counter()
+        twos: Counter = Counter()
         for batch in batches:
             for text in batch.column(0).to_pylist():
                 low = text.lower().split()
-                raw.update(low)
-                raw_pairs.update(zip(low, low[1:], strict=False))
-        total = sum(raw.values())
-        words: Counter = Counter()
-        for w, n in raw.items():
-            words[w.strip(EDGES)] += n
-        pairs: Counter = Counter()
-        for (a, b), n in raw_pairs.items():
-            if n > 1 and n >= 0.1 * least_pair * total:
-                pairs[f"{a.strip(EDGES)} {b.strip(EDGES)}"] += n
-        sent = [(w, n) for w, n in words.items() if w and not w.isdigit()] + list(pairs.items())
-        sent.append((" ", total))
-        yield pa.RecordBatch.from_arrays([pa.array([s[0] for s in sent], pa.string()), pa.array([s[1] for s in sent], pa.int64())], names=["term", "n"])
-
-    counts = spread(blocks.where("text IS NOT NULL").select("block_id", "text"), "block_id").select("text").mapInArrow(count, "term string, n bigint").groupBy("term").agg(F.sum("n").alias("n"))
-    counts = checkpoint(counts)
-    total = counts.where("term = ' '").agg(F.coalesce(F.sum("n"), F.lit(1))).first()[0]  # one number
-    rows = counts.where("term <> ' '").where(F.col("n") >= F.when(F.instr("term", " ") > 0, least_pair * total).otherwise(least_word * total)).collect()
-    pairs = {r.term: r.n for r in rows if " " in r.term}
-    words = {r.term: r.n for r in rows if " " not in r.term}
-    return Language(words, pairs, float(total))
-
-
-def _rows(blocks: DataFrame, routes: DataFrame, headers: DataFrame, scanned: bool = False) -> DataFrame:
-    """Blocks, newest of each id, with what is known of their page and whether a header opens them."""
-    types = routes.where("doc_key IS NOT NULL AND page IS NOT NULL").groupBy("doc_key", "page").agg(F.max(F.col("page_type").isin("scanned", "image_based")).alias("scanned"))
-    at = F.coalesce(F.col("loaded_at").cast("timestamp"), F.timestamp_seconds(F.lit(0)))
-    keys = blocks.where("block_id IS NOT NULL").groupBy("block_id").agg(F.max(at).alias("_at"), F.max_by(F.struct("doc_key", "page"), at).alias("k")).select("block_id", "_at", "k.*")
-    facts = keys.join(types, ["doc_key", "page"], "inner" if scanned else "left").join(headers.select("block_id", F.lit(True).alias("headed")), "block_id", "left")
-    facts = facts.select("block_id", "_at", "doc_key", "page", F.coalesce("scanned", F.lit(False)).alias("scanned"), F.coalesce("headed", F.lit(False)).alias("headed"))
-    return newest_rows(blocks, "block_id", ["seq", "kind", "text"], facts.where("scanned") if scanned else facts)
+                words.update(low)
+                if pairs:
+                    twos.update(zip(low, low[1:], strict=False))
+            if len(words) + len(twos) > most:
+                yield out(words, twos)
+                words, twos = Counter(), Counter()
+        yield out(words, twos)
+
+    return texts.select("text").mapInArrow(count, "term string, pair bigint, n bigint").groupBy("term", "pair").agg(F.sum("n").alias("n"))
+
+
+def _keyed(words: DataFrame, column: str) -> DataFrame:
+    """`words` with a row for each spelling `key` of the column."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keys = [spellings(w) for w in batch.column(column).to_pylist()]
+            at = pa.array([i for i, k in enumerate(keys) for _ in k], pa.int64())
+            yield pa.RecordBatch.from_arrays([*(c.take(at) for c in batch.columns), pa.array([k for ks in keys for k in ks], pa.string())], names=[*batch.schema.names, "key"])
+
+    return words.mapInArrow(run, ", ".join(f"{c} {t}" for c, t in words.dtypes) + ", key string")
+
+
+def _aligned(pairs: DataFrame) -> DataFrame:
+    """Of (word, n, other, m) those that confusions explain, with these: `ops`."""
 
-def _repaired(rows: DataFrame, model) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        reader = _reader(model.value)
         for batch in batches:
-            done = [repair(t, p, h, reader) if s and t else (t, set()) for t, p, h, s in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True)]
-            yield pa.RecordBatch.from_arrays([*batch.columns[4:], pa.array([d[0] for d in done], pa.string()), pa.array([sorted(d[1]) for d in done], pa.list_(pa.string()))], names=["block_id", "doc_key", "seq", "kind", "repaired", "defects"])
+            ops = [confused(v, w) for w, v in zip(batch.column("word").to_pylist(), batch.column("other").to_pylist(), strict=True)]
+            kept = pa.array([o is not None for o in ops], pa.bool_())
+            yield pa.RecordBatch.from_arrays([*(c.filter(kept) for c in batch.columns), pa.array([list(o) for o in ops if o is not None], pa.list_(pa.string()))], names=[*batch.schema.names, "ops"])
 
-    kind = rows.schema["block_id"].dataType.simpleString()
-    return rows.select("text", "page", "headed", "scanned", "block_id", "doc_key", "seq", "kind").mapInArrow(run, f"block_id {kind}, doc_key string, seq int, kind string, repaired string, defects array<string>")
+    return pairs.mapInArrow(run, ", ".join(f"{c} {t}" for c, t in pairs.dtypes) + ", ops array<string>")
+
+
+def doubtful_words(words: DataFrame) -> DataFrame:
+    """`word`, `n`, `odd`, `options` (other, m, ops) of the words that may be misread, from `word`, `n`, `clean` and `scanned` counts.
+
+    Candidates are `RATIO` times as frequent and one or two confusions away; where one
+    confusion explains the word, those of two are left out.
+    """
+    plain = F.col("word").rlike(r"[†¦]|[a-z]\||\|[a-z]|^(?:\d+[bolisg]\d+$|\d{2,}[bolis]$|[bolis]\d{2,}$)") | ((F.col("clean") < CLEAN) & F.col("word").rlike(r"[a-z][|†¦0-9!][a-z]"))
+    odd = words.where((F.col("scanned") > 0) & plain & ~F.col("word").contains("/") & ~F.col("word").contains("@")).select("word", "n", F.lit(True).alias("odd"))
+    word = F.col("word")
+    asks = words.where((F.col("scanned") > 0) & (F.col("clean") < CLEAN) & ((F.length(word) > 2) | ((F.length(word) == 2) & ~word.rlike(r"^\p{L}+$"))) & word.rlike(r"\p{L}")).select("word", "n")
+    gives = words.where(F.col("n") > RATIO).select(F.col("word").alias("other"), F.col("n").alias("m"))  # no word is rarer than once
+    met = _keyed(asks, "word").join(_keyed(gives, "other"), "key").where((F.col("m") > RATIO * F.col("n")) & (F.col("word") != F.col("other"))).select("word", "n", "other", "m").distinct()
+    found = _aligned(met).groupBy("word", "n").agg(F.collect_list(F.struct("other", "m", "ops")).alias("o"), F.min(F.size("ops")).alias("least"))
+    options = found.select("word", "n", F.filter("o", lambda x: F.size(x["ops"]) == F.col("least")).alias("options"))
+    return odd.join(options, ["word", "n"], "full").select("word", "n", F.coalesce("odd", F.lit(False)).alias("odd"), F.coalesce("options", F.array().cast("array<struct<other:string,m:bigint,ops:array<string>>>")).alias("options"))
+
+
+def channel(doubtful: DataFrame, words: DataFrame) -> dict[str, float]:
+    """Log chance of each confusion, from how often the doubtful words with one candidate show it; a few dozen rows.
+
+    A confusion of mean frequency has the chance 0.03; none is more than five times rarer or more frequent.
+    """
+    spots = {t: F.sum(F.col("scanned") * (F.length("word") - F.length(F.replace("word", F.lit(t)))) / len(t)).alias(f"s{i}") for i, t in enumerate(dict.fromkeys(t for t, _ in CONFUSIONS))}
+    there = words.where("scanned > 0").agg(*spots.values()).first()
+    held = {t: there[f"s{i}"] or 0.0 for i, t in enumerate(spots)}
+    one = doubtful.where(F.size("options") == 1).select(F.explode(F.col("options")[0]["ops"]).alias("op")).groupBy("op").count().collect()
+    rates = {r.op: r["count"] / max(1.0, held[r.op.split(">")[0]]) for r in one}
+    mean = sum(rates.values()) / len(rates) if rates else 1.0
+    return {f"{t}>{a}": CONFUSE + max(-math.log(5), min(math.log(5), math.log(rates.get(f"{t}>{a}", 0) / mean + 1e-9))) for t, a in CONFUSIONS}
+
+
+def _postings(rows: DataFrame, usual, most: int = 1_000_000) -> DataFrame:
+    """`term`, `use`, `blocks`: which blocks ask for a word, as one that may be misread (`word`) or for halves of a split one (`half`), and which have a defect whatever the answer (`defect`)."""
+
+    def out(held: dict) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([t for t, _ in held], pa.string()), pa.array([u for _, u in held], pa.string()), pa.array(list(held.values()), pa.list_(pa.int64()))], names=["term", "use", "blocks"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        plain, n, held = usual.value, 0, {}
+        for batch in batches:
+            for i, text, page, headed in zip(*(batch.column(c).to_pylist() for c in ("n", "text", "page", "headed")), strict=True):
+                body, defects = body_of(text, page, headed)
+                words, halves = asked(body, plain)
+                if halves and split_words(body, {})[1]:  # where the corpus knows neither half
+                    defects.add("hyphen_break")
+                for use, terms in (("word", words), ("half", halves), ("defect", defects)):
+                    for t in terms:
+                        held.setdefault((t, use), []).append(i)
+                        n += 1
+                if n > most:
+                    yield out(held)
+                    n, held = 0, {}
+        yield out(held)
+
+    return rows.select("n", "text", "page", "headed").mapInArrow(run, "term string, use string, blocks array<bigint>")
+
+
+def _known(facts: list | None, around: list | None, total: float, chances: dict[str, float]) -> Known:
+    counts, options, odd = {}, {}, set()
+    for f in facts or ():
+        if f["n"] is not None:
+            counts[f["term"]] = f["n"]
+        if f["odd"]:
+            odd.add(f["term"])
+        if f["options"]:
+            counts |= {o["other"]: o["m"] for o in f["options"]}
+            options[f["term"]] = tuple(sorted((o["other"], sum(map(chances.__getitem__, o["ops"]))) for o in f["options"]))
+    counts |= {x["pair"] if x["term"] is None else x["term"]: x["n"] for x in around or ()}
+    return Known(counts, total, options, frozenset(odd))
+
+
+def _around(rows: DataFrame, model) -> DataFrame:
+    """`n`, `term`, `pair`: the counts that blocks with doubtful words ask for."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids, terms, keys = [], [], []
+            for i, text, page, headed, facts in zip(*(batch.column(c).to_pylist() for c in ("n", "text", "page", "headed", "facts")), strict=True):
+                known = _known(facts, None, *model.value)
+                wanted: set[str] = set()
+                pairs: set[int] = set()
+                for line in split_words(body_of(text, page, headed)[0], known.counts)[0]:
+                    tokens = [w.strip(EDGES) for w in line.lower().split()]
+                    if not known.options.keys().isdisjoint(tokens):
+                        more = known.around(tokens)
+                        wanted |= more[0]
+                        pairs |= more[1]
+                wanted -= known.counts.keys()
+                ids += [i] * (len(wanted) + len(pairs))
+                terms += [*wanted, *[None] * len(pairs)]
+                keys += [*[None] * len(wanted), *pairs]
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(terms, pa.string()), pa.array(keys, pa.int64())], names=["n", "term", "pair"])
+
+    return rows.select("n", "text", "page", "headed", "facts").mapInArrow(run, "n bigint, term string, pair bigint")
+
+
+def _repaired(rows: DataFrame, model, texts: bool) -> DataFrame:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        plain = Known({}, model.value[0], {}, frozenset())
+        for batch in batches:
+            done = [repair(t, p, h, _known(f, a, *model.value) if f else plain) for t, p, h, f, a in zip(*(batch.column(c).to_pylist() for c in ("text", "page", "headed", "facts", "around")), strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column("n"), pa.array([d[0] if texts else None for d in done], pa.string()), pa.array([sorted(d[1]) for d in done], pa.list_(pa.string()))], names=["n", "repaired", "defects"])
+
+    return rows.select("n", "text", "page", "headed", "facts", "around").mapInArrow(run, "n bigint, repaired string, defects array<string>")
+
+
+def _rows(blocks: DataFrame, routes: DataFrame, headers: DataFrame) -> DataFrame:
+    """All rows of blocks on pages that are not known to have a text layer.
+
+    `scanned` says that the page is scanned or image_based, `headed` that a header opens
+    the block, `newest` that no row of the block was loaded later.
+    """
+    kind = F.col("page_type")
+    types = routes.where("doc_key IS NOT NULL AND page IS NOT NULL").groupBy("doc_key", "page").agg(F.max(kind.isin("scanned", "image_based")).alias("scanned"), F.min(F.coalesce(kind == "digital", F.lit(False))).alias("digital"))
+    at = F.coalesce(F.col("loaded_at").cast("timestamp"), F.timestamp_seconds(F.lit(0)))
+    keys = blocks.where("block_id IS NOT NULL").groupBy("block_id").agg(F.max(at).alias("_at"), F.max_by(F.struct("doc_key", "page"), at).alias("k")).select("block_id", "_at", "k.*")
+    facts = keys.join(types, ["doc_key", "page"], "left").where("NOT coalesce(digital, false)").join(headers.select("block_id", F.lit(True).alias("headed")), "block_id", "left")
+    facts = facts.select("block_id", "_at", "doc_key", "page", F.coalesce("scanned", F.lit(False)).alias("scanned"), F.coalesce("headed", F.lit(False)).alias("headed"))
+    wide = blocks.select("block_id", at.alias("_mine"), "seq", "kind", "text")
+    return wide.join(facts.hint("shuffle_hash"), "block_id").where("text IS NOT NULL").select("block_id", "doc_key", "page", "seq", "kind", "text", "scanned", "headed", (F.col("_mine") == F.col("_at")).alias("newest"))
+
+
+def _read(blocks: DataFrame, routes: DataFrame, headers: DataFrame, texts: bool = True) -> tuple[DataFrame, DataFrame]:
+    """The blocks on scanned pages (newest rows, numbered n) and what is read in them: `n`, `repaired` (if `texts`), `defects`; without texts only of blocks that have any."""
+    spark = blocks.sparkSession
+    rows = stored(_rows(blocks, routes, headers).withColumn("n", F.monotonically_increasing_id()))
+    whole = term_counts(spread(blocks.where("text IS NOT NULL").select("block_id", "text"), "block_id"), pairs=True)
+    dim = term_counts(rows, pairs=False).where("term <> ''").select("term", F.col("n").alias("dim"))
+    counts = stored(whole.where("pair IS NULL OR n > 1"))  # a pair seen once is no evidence
+    total = float(counts.where("term = ''").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0])  # one number
+    words = counts.where("term <> ''").join(dim, "term", "left").select(F.col("term").alias("word"), "n", F.coalesce("dim", F.lit(0)).alias("scanned"), (F.col("n") - F.coalesce("dim", F.lit(0))).alias("clean"))
+    words = checkpoint(words)
+    doubtful = checkpoint(doubtful_words(words))
+    model = spark.sparkContext.broadcast((total, channel(doubtful, words)))
+    usual = words.where(F.col("n") >= USUAL * total).select("word").join(doubtful.select("word"), "word", "left_anti").collect()  # at most 1 / USUAL words
+    scanned = rows.where("scanned AND newest").select("n", "text", "page", "headed")
+    asks = stored(_postings(scanned, spark.sparkContext.broadcast(frozenset(r.word for r in usual))))
+    told = words.select(F.col("word").alias("term"), "n").join(doubtful.select(F.col("word").alias("term"), "odd", "options"), "term", "left")
+    met = asks.where("use <> 'defect'").join(told, "term").where("use = 'half' OR odd OR size(options) > 0")
+    word = F.col("use") == "word"
+    facts = met.select(F.explode("blocks").alias("n_"), F.struct("term", "n", F.when(word, F.col("odd")).alias("odd"), F.when(word, F.col("options")).alias("options")).alias("f"))
+    facts = checkpoint(facts.groupBy(F.col("n_").alias("n")).agg(F.collect_list("f").alias("facts")))  # a block's words
+    asking = scanned.join(facts, "n", "left" if texts else "inner")
+    wanted = checkpoint(_around(asking.where("exists(facts, f -> size(f.options) > 0)"), model))
+    one = wanted.where("pair IS NULL").join(words.select(F.col("word").alias("term"), F.col("n").alias("m")), "term").select("n", "term", F.lit(None).cast("bigint").alias("pair"), "m")
+    two = wanted.where("pair IS NOT NULL").drop("term").join(counts.where("pair IS NOT NULL").select("pair", F.col("n").alias("m")), "pair").select("n", F.lit(None).cast("string").alias("term"), "pair", "m")
+    around = one.unionByName(two).groupBy("n").agg(F.collect_list(F.struct("term", "pair", F.col("m").alias("n"))).alias("around"))
+    read = _repaired(asking.join(around, "n", "left"), model, texts)
+    if texts:
+        return rows, read
+    sure = asks.where("use = 'defect'").select(F.explode("blocks").alias("n"), "term").join(facts.select("n"), "n", "left_anti").groupBy("n").agg(F.collect_set("term").alias("defects"))  # blocks that ask for nothing
+    return rows, read.select("n", "defects").unionByName(sure)
 
 
 def scan_defects(blocks: DataFrame, routes: DataFrame, headers: DataFrame) -> DataFrame:
@@ -289,22 +463,83 @@ def scan_defects(blocks: DataFrame, routes: DataFrame, headers: DataFrame) -> Da
     Defects: hyphen_break, misread_chars, running_header, page_number. Of repeated ids the
     row loaded last counts; NULL and blank texts and pages without a type have no defect.
     """
-    model = blocks.sparkSession.sparkContext.broadcast(language_model(blocks))
-    rows = _rows(blocks, routes, headers, scanned=True).where("text IS NOT NULL")
-    return _repaired(rows, model).select("block_id", F.explode("defects").alias("defect")).distinct()
+    rows, read = _read(blocks, routes, headers, texts=False)
+    found = read.where(F.size("defects") > 0).select("n", F.explode("defects").alias("defect"))
+    return rows.select("n", "block_id").join(found, "n").select("block_id", "defect").distinct()
 
 
-def paragraphs(blocks: DataFrame, routes: DataFrame, headers: DataFrame) -> DataFrame:
-    """`doc_key`, `seq`, `text`, `continues`: the readable text of each block in reading order.
+_CLOSED, _GOES_ON = re.compile(r"[.।?!:]\W*$"), re.compile(r"[a-zß-öø-ÿ]|[ऀ-৿]")
+
+
+def _open(before: str, kind: str | None, text: str) -> bool:
+    """Whether a text goes on in the next block's text."""
+    return kind != "heading" and not _CLOSED.search(before) and bool(_GOES_ON.match(text))
+
 
-    Headers and page numbers are gone, so blocks that held nothing else are left out, as are
-    blank ones. `continues` says that the sentence began in the block before (seq - 1);
-    blocks of pages that are not scanned come as they are, with lines joined.
+def _flow(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Blocks in reading order as paragraphs; the first and the last of a range are marked as its edges."""
+    from pyspark import TaskContext
+
+    part = TaskContext.get().partitionId()
+    names = ["doc_key", "seq", "blocks", "text", "kind", "part", "edge"]
+    now: list | None = None
+    first = True
+
+    def out(rows: list) -> pa.RecordBatch:
+        kinds = (pa.string(), pa.int32(), pa.int32(), pa.string(), pa.string(), pa.int32(), pa.int32())
+        return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)], names=names)
+
+    for batch in batches:
+        done = []
+        for doc, seq, kind, text in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
+            if now and now[0] == doc and doc is not None and _open(now[3][-1], now[4], text):
+                now[3].append(text)
+                now[2] += 1
+                now[4] = kind
+            else:
+                if now:
+                    done.append([*now[:3], " ".join(now[3]), now[4], part, 0 if first else None])
+                    first = False
+                now = [doc, seq, 1, [text], kind]
+        if done:
+            yield out(done)
+    if now:
+        yield out([[*now[:3], " ".join(now[3]), now[4], part, 0 if first else 1]])
+
+
+def _stitch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Edges in order, those that go on in the next one joined; one or two a range."""
+    now: list | None = None
+    done = []
+    for batch in batches:
+        for doc, seq, blocks, text, kind, part in zip(*(batch.column(i).to_pylist() for i in range(6)), strict=True):
+            if now and now[0] == doc and doc is not None and now[5] != part and _open(now[3], now[4], text):
+                now = [doc, now[1], now[2] + blocks, f"{now[3]} {text}", kind, part]
+            else:
+                done += [now] if now else []
+                now = [doc, seq, blocks, text, kind, part]
+    done += [now] if now else []
+    yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in done], k) for i, k in enumerate((pa.string(), pa.int32(), pa.int32(), pa.string()))], names=["doc_key", "seq", "blocks", "text"])
+
+
+def paragraphs(blocks: DataFrame, routes: DataFrame, headers: DataFrame) -> DataFrame:
+    """`doc_key`, `seq`, `blocks`, `text`: the paragraphs of each document in reading order.
+
+    `seq` is that of the paragraph's first block, `blocks` how many it runs over: a sentence
+    that no mark closes goes on in the next block with text, over page breaks, headers and
+    page numbers, if that starts in lower case (or in a script without case). Headers and
+    page numbers are gone, blank blocks left out; blocks of pages that are not scanned come
+    as they are, with lines joined. Ranges of blocks in order are read one by one, so no
+    document has to fit a task; the edges of the ranges are joined afterwards.
     """
-    model = blocks.sparkSession.sparkContext.broadcast(language_model(blocks))
-    rows = _repaired(_rows(blocks, routes, headers).where("text IS NOT NULL"), model).dropDuplicates(["block_id"])
-    text = F.trim(F.regexp_replace("repaired", r"\s+", " "))
-    rows = rows.select("doc_key", "seq", "kind", text.alias("text")).where("text <> ''")
-    before = rows.where(~F.col("text").rlike(r"[.।?!:]\W*$") & (F.col("kind") != "heading")).select("doc_key", (F.col("seq") + 1).alias("seq"), F.lit(True).alias("open"))
-    joined = rows.join(before.dropDuplicates(["doc_key", "seq"]), ["doc_key", "seq"], "left")
-    return joined.select("doc_key", "seq", "text", (F.coalesce("open", F.lit(False)) & F.col("text").rlike(r"^\p{Ll}|^[ऀ-৿]")).alias("continues"))
+    rows, read = _read(blocks, routes, headers)
+    repaired = rows.where("scanned AND newest").join(read, "n").select("block_id", "doc_key", "seq", "kind", F.col("repaired").alias("text"))
+    other = newest_rows(blocks, "block_id", ["doc_key", "seq", "kind", "text"], newest_times(blocks, "block_id")).where("text IS NOT NULL").join(rows.where("scanned").select("block_id"), "block_id", "left_anti")
+    texts = repaired.unionByName(other).withColumn("text", F.trim(F.regexp_replace("text", r"\s+", " "))).where("text <> ''").dropDuplicates(["block_id"])
+    texts = stored(texts)
+    order = ["doc_key", "seq", "block_id"]
+    parts = int(blocks.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    flow = stored(texts.repartitionByRange(parts, *order).sortWithinPartitions(*order).select("doc_key", "seq", "kind", "text").mapInArrow(_flow, "doc_key string, seq int, blocks int, text string, kind string, part int, edge int"))
+    inside = flow.where("edge IS NULL").select("doc_key", "seq", "blocks", "text")
+    edges = flow.where("edge IS NOT NULL").repartition(1).sortWithinPartitions("part", "edge")  # at most two a range
+    return inside.unionByName(edges.select("doc_key", "seq", "blocks", "text", "kind", "part").mapInArrow(_stitch, "doc_key string, seq int, blocks int, text string"))

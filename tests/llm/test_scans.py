@@ -4,39 +4,48 @@ from itertools import product
 from tarkash.llm import scans
 
 WORDS = {"the": 900, "power": 120, "house": 60, "station": 200, "panel": 300, "access": 150, "road": 200, "was": 700, "closed": 90, "long-term": 40, "long": 50, "term": 45, "stage-ii": 30, "run-of-river": 20, "under": 100, "clear": 40, "dear": 30, "कार्य": 300, "and": 500}
-LANGUAGE = scans.Language(WORDS, {"was closed": 60, "access road": 140, "the clear": 30}, 10_000.0)
+SEEN = ["p0wer", "pane!", "closecl", "acccss", "povver", "कास्य", "elear", "aeeess", "roacl", "wäs", "c1osed"]
+CHANCES = dict.fromkeys((f"{t}>{a}" for t, a in scans.CONFUSIONS), scans.CONFUSE)
+
+
+def options(word):
+    """The candidates of a word by trying all words."""
+    if any(c in word for c in "0123456789") and not any(map(str.isalpha, word)):
+        return ()
+    ops = {v: scans.confused(v, word) for v in WORDS if v != word and WORDS[v] > 0}
+    least = min((len(o) for o in ops.values() if o), default=0)
+    return tuple(sorted((v, sum(CHANCES[x] for x in o)) for v, o in ops.items() if o and len(o) == least))
 
 
 @pytest.fixture
-def reader():
-    return scans.Reader(LANGUAGE)
+def known():
+    pairs = {"was closed": 60, "access road": 140, "the clear": 30}
+    return scans.Known(WORDS | {scans.pair_key(*p.split()): n for p, n in pairs.items()}, 10_000.0, {w: options(w) for w in SEEN if options(w)}, frozenset())
 
 
 @pytest.mark.parametrize(("seen", "read"), [("p0wer", "power"), ("pane!", "panel"), ("closecl", "closed"), ("acccss", "access"), ("povver", "power"), ("कास्य", "कार्य"), ("power", "power"), ("narkera", "narkera"), ("2019", "2019"), ("", "")])
-def test_words(reader, seen, read):
-    assert reader.line(["the", seen, "was"])[1] == read
+def test_words(known, seen, read):
+    assert known.line(["the", seen, "was"])[1] == read
 
 
-def test_viterbi_equals_enumeration(reader):
+def test_viterbi_equals_enumeration(known):
     tokens = ["the", "elear", "aeeess", "roacl", "wäs", "c1osed"]
-    options = [reader.candidates(t) for t in tokens]
-
-    def score(path):
-        before, total = "", 0.0
-        for (word, p), o in zip(path, options, strict=True):
-            total += 0 if len(o) == 1 else p + LANGUAGE.after(before, word)
-            before = word
-        return total
 
     def full(path):
         before, total = "", 0.0
         for word, p in path:
-            total += p + LANGUAGE.after(before, word)
+            total += p + known.after(before, word)
             before = word
         return total
 
-    best = max(product(*options), key=full)
-    assert reader.line(tokens) == [w for w, _ in best] == ["the", "clear", "access", "road", "was", "closed"]
+    best = max(product(*map(known.candidates, tokens)), key=full)
+    assert known.line(tokens) == [w for w, _ in best] == ["the", "clear", "access", "road", "was", "closed"]
+
+
+@pytest.mark.parametrize(("true", "seen", "ops"), [("modern", "modem", ("rn>m",)), ("clear", "dear", ("cl>d",)), ("members", "mcmbcrs", ("e>c", "e>c")), ("कार्य", "कर्य", ("ा>",)), ("same", "same", None), ("road", "rope", None), ("seen", "sccn", ("e>c", "e>c"))])
+def test_confusions_and_spellings(true, seen, ops):
+    assert scans.confused(true, seen) == ops
+    assert ops is None or scans.spellings(true) & scans.spellings(seen)
 
 
 @pytest.mark.parametrize(
@@ -50,12 +59,37 @@ def test_split_words(lines, joined, broken):
     assert scans.split_words(lines, WORDS) == (joined, broken)
 
 
-def test_repair(reader):
+def test_repair(known):
     text = "Annexure to HOUSE diary 1   [3]\nThe p0wer sta-\n3\ntion was closed and the\naccess road\n- 3 -"
-    assert scans.repair(text, 3, True, reader) == ("The power station was closed and the access road", {"running_header", "page_number", "hyphen_break", "misread_chars"})
-    assert scans.repair("3", 3, False, reader) == ("", {"page_number"})
-    assert scans.repair("", 3, False, reader) == ("", set())
-    assert scans.repair("The road was closed under 2019.", None, False, reader) == ("The road was closed under 2019.", set())
+    assert scans.repair(text, 3, True, known) == ("The power station was closed and the access road", {"running_header", "page_number", "hyphen_break", "misread_chars"})
+    assert scans.repair("3", 3, False, known) == ("", {"page_number"})
+    assert scans.repair("", 3, False, known) == ("", set())
+    assert scans.repair("The road was closed under 2019.", None, False, known) == ("The road was closed under 2019.", set())
+
+
+def read(spark, blocks, parts=8):
+    spark.conf.set("spark.sql.shuffle.partitions", parts)
+    b = spark.createDataFrame(blocks, "block_id long, doc_key string, page int, seq int, kind string, text string, loaded_at timestamp").repartition(parts)
+    r = spark.createDataFrame([("d", 1, "scanned"), ("d", 2, "scanned"), *((f"c{i}", 1, "digital") for i in range(1000))], "doc_key string, page int, page_type string")
+    try:
+        return sorted(tuple(x) for x in scans.scan_defects(b, r, b.select("block_id").limit(0)).collect()), {x.seq: x.text for x in scans.paragraphs(b, r, b.select("block_id").limit(0)).where("doc_key = 'd'").collect()}
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", 8)
+
+
+def test_rare_words_seen_cleanly_stay_at_any_size(spark):
+    scan = [(1, "d", 1, 1, "text", "The dear was here.", None), (2, "d", 1, 2, "text", "The elear was here.", None)]
+    for n, parts in ((100, 2), (1000, 20)):
+        clean = [(100 + i, f"c{i}", 1, 1, "text", "The clear was clear. The clear was here." + (" A dear." if i < 3 else ""), None) for i in range(n)]
+        defects, texts = read(spark, clean + scan, parts)
+        assert defects == [(2, "misread_chars")] and texts == {1: "The dear was here.", 2: "The clear was here."}
+
+
+def test_a_paragraph_runs_over_pages_headers_and_numbers(spark):
+    clean = [(100 + i, f"c{i}", 1, 1, "text", "The road was closed and the power station was shut.", None) for i in range(50)]
+    scan = [(1, "d", 1, 1, "text", "The road was closed and the", None), (2, "d", 1, 2, "text", "- 2 -", None), (3, "d", 2, 3, "text", " \n", None), (4, "d", 2, 4, "text", "power station was shut.", None), (5, "d", 2, 5, "text", "The road was", None), (6, "d", 2, 6, "text", "closed.", None), (7, "d", 2, 7, "heading", "On the road", None), (8, "d", 2, 8, "text", "power was shut.", None)]
+    for parts in (1, 40):
+        assert read(spark, clean + scan, parts)[1] == {1: "The road was closed and the power station was shut.", 5: "The road was closed.", 7: "On the road", 8: "power was shut."}
 
 
 def test_cases(spark):
@@ -69,6 +103,6 @@ def test_cases(spark):
     none = b.select("block_id").limit(0)
     got = {tuple(x) for x in scans.scan_defects(b, r, none).collect()}
     assert got == {(1, "misread_chars"), (1, "hyphen_break"), (5, "page_number"), (8, "misread_chars")}
-    text = {(x.doc_key, x.seq): (x.text, x["continues"]) for x in scans.paragraphs(b, r, none).collect()}
-    assert text["d", 1] == ("The power station was closed", False) and text["d", 2] == ("and the road was closed.", True) and ("d", 5) not in text and text["d", 6][0] == "The p0wer station"
+    text = {(x.doc_key, x.seq): x.text for x in scans.paragraphs(b, r, none).collect()}
+    assert text["d", 1] == "The power station was closed and the road was closed." and ("d", 2) not in text and ("d", 5) not in text and text["d", 6] == "The p0wer station"
     assert scans.scan_defects(b.limit(0), r.limit(0), none).count() == 0
