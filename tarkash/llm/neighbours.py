@@ -1,12 +1,16 @@
 """The k most similar vectors of every vector, by a hash-prefix forest.
 
 Each tree gives a vector a long hash string: the signs of 64 random projections. A tree is
-the sorted array of these strings. Spark range-partitions and sorts all trees at once, on
-(tree, string, id), so no tree and no group of equal strings is bound to one task. In sorted
-order the rows nearest to a row are its longest prefix matches; all trees then ascend to
-shorter prefixes in step, until the window of `window` rows on either side is used up. Rows
-meet within the window as blocks of a matrix product over vectors of one byte a number; the
-best candidates of each row are then compared exactly.
+the sorted array of these strings, which Spark range-partitions and sorts for all trees at
+once, on (tree, string, n), so no tree and no group of equal strings is bound to one task.
+
+A row descends in every tree to the rows that share the longest prefix with it. All trees
+then ascend in step: the row's level is the longest prefix length at which the rows that
+share it, taken over all trees, number `ROWS` a tree. The level follows how crowded each row's
+surroundings are, and trees that match it deeper give it more rows. How many trees it takes
+follows from the number of rows (`trees_for`). Rows meet the rows of their level as blocks of
+a matrix product over vectors of one byte a number; ranges meet over their borders. What
+passes is compared exactly.
 
 The forest finds near neighbours (cosine `NEAR` or more). Rows with fewer than k of these are
 queried a second time, if far neighbours are wanted too: all rows are sorted into the cells of
@@ -17,16 +21,26 @@ nearest to it. How many cells that takes is measured on each input: so many that
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tarkash.sources.tables import checkpoint
+from tarkash.sources.tables import checkpoint, stored
 
 HASH_BITS = 64
+#: Rows a tree that a row meets at its level, and levels looked at around the usual one.
+ROWS, LEVELS = 1024, 14
+#: Of a prefix that more rows share, a row meets this many on either side in sorted order.
+REACH = 8192
+#: The share of neighbours at `NEAR` that the forest is laid out to find.
+RECALL = 0.98
+#: Rows of a range of the sorted arrays.
+RANGE_ROWS = 400_000
 #: How far a cosine of the byte vectors may lie from the true one.
 SLACK = 0.03
 #: Neighbours at or above this cosine are left to the forest.
@@ -37,6 +51,17 @@ CELL_ROWS, TILE_ROWS, MOST_CELLS = 384, 8192, 4096
 CELL_SAMPLE, TRIED, WANTED = 40_000, 400, 0.97
 
 
+def trees_for(rows: int) -> int:
+    """Trees that find a neighbour at `NEAR` with a chance of `RECALL`, where a row meets `ROWS` rows a tree.
+
+    Two vectors at that cosine share a bit with a chance of 1 - acos(NEAR) / pi, and evenly
+    spread rows are `ROWS` to a prefix of log2(rows / ROWS) bits.
+    """
+    bit = 1 - math.acos(NEAR) / math.pi
+    shared = bit ** max(1.0, math.log2(max(2, rows) / ROWS))
+    return max(4, math.ceil(math.log(1 - RECALL) / math.log(1 - shared)))
+
+
 def _matrix(column: pa.Array, dim: int) -> np.ndarray:
     return column.flatten().to_numpy(zero_copy_only=False).reshape(-1, dim)
 
@@ -46,8 +71,8 @@ def _unit(rows: np.ndarray) -> np.ndarray:
     return rows / np.maximum(np.sqrt((rows * rows).sum(axis=1, keepdims=True)), 1e-30)
 
 
-def _plant(trees: int, seed: int):
-    """(tree, string, id, bytes of the vector) for each vector and tree."""
+def _plant(trees: int, seed: int, wide: bool):
+    """(tree, string, n) for each vector and tree; `wide` adds its level and the bytes of the vector."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         planes = None
@@ -59,60 +84,129 @@ def _plant(trees: int, seed: int):
                 planes = np.random.default_rng(seed).standard_normal((dim, trees * HASH_BITS)).astype(np.float32)
             unit = _unit(_matrix(batch.column(1), dim))
             strings = np.packbits(unit @ planes > 0, axis=1).view(">u8").astype(np.uint64)
-            strings = (strings ^ np.uint64(1 << 63)).view(np.int64)
-            small = np.rint(unit * (127 / np.maximum(np.abs(unit).max(axis=1, keepdims=True), 1e-30))).astype(np.int8)
-            packed = pa.array([r.tobytes() for r in small], pa.binary())
+            strings = (strings ^ np.uint64(1 << 63)).view(np.int64)  # signed order is that of the bits
+            more, names = [], ["tree", "string", "n"]
+            if wide:
+                small = np.rint(unit * (127 / np.maximum(np.abs(unit).max(axis=1, keepdims=True), 1e-30))).astype(np.int8)
+                more, names = [batch.column(2), pa.array([r.tobytes() for r in small], pa.binary())], [*names, "level", "packed"]
             for t in range(trees):
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(unit), t, np.int32)), pa.array(strings[:, t].copy()), batch.column(0), packed], names=["tree", "string", "id", "packed"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(unit), t, np.int32)), pa.array(strings[:, t].copy()), batch.column(0), *more], names=names)
 
     return run
 
 
-def _climb(k: int, floor: float, window: int):
-    """Candidates of one range of sorted arrays: each row's best within its window."""
+def _ranges(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, pa.Table]]:
+    """The trees in a range of the sorted arrays."""
+    held = [b for b in batches if b.num_rows]
+    if held:
+        table = pa.Table.from_batches(held).combine_chunks()
+        trees = table.column("tree").to_numpy()
+        cuts = [0, *(np.flatnonzero(np.diff(trees)) + 1), len(trees)]
+        for lo, hi in zip(cuts, cuts[1:], strict=False):
+            yield int(trees[lo]), table.slice(lo, hi - lo)
 
-    def meet(rows: tuple, before: tuple | None) -> Iterator[pa.RecordBatch]:
-        ids, unit = rows
-        if before is not None:
-            ids, unit = pa.concat_arrays([before[0], ids]), np.concatenate((before[1], unit))
-        own = np.arange(len(ids) - len(rows[0]), len(ids))
-        score = rows[1] @ unit.T
-        score[np.arange(len(own)), own] = -2
-        for block, left in ((score, own), (score[:, : own[0]].T, np.arange(own[0]))):
-            if not block.size:
-                continue
-            at, to = np.nonzero(block >= floor)
-            if len(at) > 2 * k * len(left) or (len(at) and np.bincount(at).max() > 2 * k):
-                best = np.argpartition(-block, min(2 * k, block.shape[1] - 1), axis=1)[:, : 2 * k]
-                at, to = np.repeat(np.arange(len(left)), best.shape[1]), best.ravel()
-                good = block[at, to] >= floor
-                at, to = at[good], to[good]
-            if len(at):
-                right = to if block is score else own[to]
-                yield pa.RecordBatch.from_arrays([ids.take(pa.array(left[at])), ids.take(pa.array(right))], names=["a", "b"])
+
+def _bits(table: pa.Table) -> np.ndarray:
+    return table.column("string").to_numpy().astype(np.int64).view(np.uint64) ^ np.uint64(1 << 63)
+
+
+def _crowds(first: int):
+    """How many rows of a tree share the first `first`, `first` + 1, ... bits with each row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tree, before = None, None
-        for batch in batches:
-            trees = batch.column(0).to_numpy()
-            cuts = np.flatnonzero(np.diff(trees)) + 1
-            for lo, hi in zip([0, *cuts], [*cuts, len(trees)], strict=True):
-                if hi == lo:
-                    continue
-                if trees[lo] != tree:
-                    tree, before = trees[lo], None
-                for at in range(lo, hi, window):
-                    part = batch.slice(at, min(window, hi - at))
-                    vectors = np.frombuffer(b"".join(part.column(3).to_pylist()), np.int8).reshape(part.num_rows, -1)
-                    rows = (part.column(2), _unit(vectors))
-                    yield from meet(rows, before)
-                    if before is not None and part.num_rows < window:  # a short tile: keep the window full
-                        rows = (pa.concat_arrays([before[0], rows[0]]), np.concatenate((before[1], rows[1])))
-                    before = (rows[0][-window:], rows[1][-window:])
+        for _, table in _ranges(batches):
+            bits = _bits(table)
+            apart = bits[1:] ^ bits[:-1]
+            out = [table.column("n").combine_chunks()]
+            for level in range(first, first + LEVELS):
+                new = apart >> np.uint64(HASH_BITS - level) != 0 if level else np.zeros(len(apart), bool)
+                group = np.concatenate(([0], np.cumsum(new)))
+                out.append(pa.array(np.bincount(group)[group].astype(np.int32)))
+            yield pa.RecordBatch.from_arrays(out, names=["n", *(f"s{i}" for i in range(LEVELS))])
 
     return run
 
 
+def _best(k: int, floor: float, own: np.ndarray, ids: np.ndarray, rows: np.ndarray, others: np.ndarray, names: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of each row (ids) the others (names) at the floor, the 2k best where there are more."""
+    score = rows @ others.T
+    score[ids[:, None] == names[None, :]] = -2
+    at, to = np.nonzero(score >= floor)
+    if len(at) and np.bincount(at).max() > 2 * k:
+        best = np.argpartition(-score, min(2 * k, score.shape[1]) - 1, axis=1)[:, : 2 * k]
+        at, to = np.repeat(own, best.shape[1]), best.ravel()
+        good = score[at, to] >= floor
+        at, to = at[good], to[good]
+    return ids[at], names[to]
+
+
+def _meet(k: int, floor: float, edge: int, tile: int = 512):
+    """Candidates (a, b) in each range of the sorted arrays, and the rows at its edges, for its neighbours."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
+
+        part = TaskContext.get().partitionId()
+        kinds = (("a", pa.int64()), ("b", pa.int64()), ("border", pa.int64()), ("right", pa.bool_()), ("packed", pa.binary()))
+
+        def out(**columns) -> pa.RecordBatch:
+            n = len(next(iter(columns.values())))
+            return pa.RecordBatch.from_arrays([pa.array(columns[c], k) if c in columns else pa.nulls(n, k) for c, k in kinds], names=[c for c, _ in kinds])
+
+        for tree, table in _ranges(batches):
+            bits, ids, packed = _bits(table), table.column("n").to_numpy(), table.column("packed").combine_chunks()
+            unit = _unit(np.frombuffer(b"".join(packed.to_pylist()), np.int8).reshape(len(ids), -1))
+            rest = np.uint64(HASH_BITS) - table.column("level").to_numpy().astype(np.uint64)
+            low = np.where(rest < HASH_BITS, bits >> np.minimum(rest, 63) << np.minimum(rest, 63), 0).astype(np.uint64)
+            high = np.where(rest < HASH_BITS, low + ((np.uint64(1) << np.minimum(rest, 63)) - np.uint64(1)), np.uint64((1 << 64) - 1))
+            place = np.arange(len(ids))
+            start = np.maximum(np.searchsorted(bits, low), place - REACH)
+            end = np.minimum(np.searchsorted(bits, high, side="right"), place + REACH + 1)
+            for at in range(0, len(ids), tile):
+                mine = slice(at, min(at + tile, len(ids)))
+                lo, hi = int(start[mine].min()), int(end[mine].max())
+                a, b = _best(k, floor, np.arange(mine.stop - at), ids[mine], unit[mine], unit[lo:hi], ids[lo:hi])
+                if len(a):
+                    yield out(a=a, b=b)
+            for right, some in ((True, slice(0, edge)), (False, slice(max(0, len(ids) - edge), len(ids)))):
+                yield out(a=ids[some], border=np.full(len(ids[some]), ((part - right) << 20) + tree), right=np.full(len(ids[some]), right), packed=packed.take(pa.array(place[some])))
+
+    return run
+
+
+def _over_borders(k: int, floor: float):
+    """Candidates of which one is at the end of a range and the other at the start of the next."""
+
+    def run(table: pa.Table) -> pa.Table:
+        unit = _unit(np.frombuffer(b"".join(table.column("packed").to_pylist()), np.int8).reshape(table.num_rows, -1))
+        ids, right = table.column("a").to_numpy(), table.column("right").to_numpy(zero_copy_only=False)
+        left = ~right
+        pairs = [_best(k, floor, np.arange(int(x.sum())), ids[x], unit[x], unit[y], ids[y]) for x, y in ((left, right), (right, left)) if x.any() and y.any()]
+        return pa.table({"a": pa.array(np.concatenate([p[0] for p in pairs] or [ids[:0]])), "b": pa.array(np.concatenate([p[1] for p in pairs] or [ids[:0]]))})
+
+    return run
+
+
+def _forest(rows: DataFrame, total: int, k: int, floor: float, trees: int | None, seed: int) -> DataFrame:
+    """`a`, `b` (a < b): candidate pairs of rows (n, v) of one length."""
+    trees = trees or trees_for(total)
+    shuffles = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    parts = max(shuffles, math.ceil(total * trees / RANGE_ROWS))
+    usual = int(math.log2(max(1, total / ROWS)))
+    first = max(0, min(HASH_BITS - LEVELS, usual - 5))
+    order = ("tree", "string", "n")
+    lines = rows.mapInArrow(_plant(trees, seed, False), "tree int, string bigint, n bigint").repartitionByRange(parts, *order).sortWithinPartitions(*order)
+    sizes = lines.mapInArrow(_crowds(first), "n bigint, " + ", ".join(f"s{i} int" for i in range(LEVELS)))
+    sums = sizes.groupBy("n").agg(*[F.sum(f"s{i}").alias(f"s{i}") for i in range(LEVELS)])
+    level = reduce(lambda c, i: c.when(F.col(f"s{i}") >= ROWS * trees, first + i), range(LEVELS - 1, 0, -1), F.when(F.lit(False), 0)).otherwise(first)
+    planted = rows.join(sums.select("n", level.cast("int").alias("level")), "n").select("n", "v", "level")
+    arrays = planted.mapInArrow(_plant(trees, seed, True), "tree int, string bigint, n bigint, level int, packed binary").repartitionByRange(parts, *order).sortWithinPartitions(*order)
+    met = checkpoint(arrays.mapInArrow(_meet(k, floor, ROWS), "a bigint, b bigint, border bigint, right boolean, packed binary"))
+    across = met.where("border IS NOT NULL").groupBy("border").applyInArrow(_over_borders(k, floor), "a bigint, b bigint")  # at most 2 * ROWS rows a border
+    both = met.where("border IS NULL").select("a", "b").unionByName(across)
+    return both.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+
+
 def _exact(floor: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -286,53 +380,58 @@ def _far(rows: DataFrame, asked: DataFrame, k: int, floor: float, seed: int) ->
     return dealt.mapInArrow(_compare(k, centres.shape[1], floor), "a bigint, b bigint, similarity double")
 
 
-def nearest(df: DataFrame, key: str, vector: str, *, k: int = 10, min_similarity: float = -1.0, trees: int = 10, window: int = 512, seed: int = 7, newest: str | None = "loaded_at") -> DataFrame:
+def _near(rows: DataFrame, total: int, k: int, floor: float, trees: int | None, seed: int) -> DataFrame:
+    """`n`, `other`, `similarity`, both ways: what rows (n, v) of one length find in the forest."""
+    met = _forest(rows, total, k, floor - SLACK, trees, seed)
+    both = met.join(rows.select(F.col("n").alias("a"), F.col("v").alias("va")), "a").join(rows.select(F.col("n").alias("b"), F.col("v").alias("vb")), "b")
+    links = both.select("a", "b", "va", "vb").mapInArrow(_exact(floor), "a bigint, b bigint, similarity double")
+    ways = F.array(F.struct(F.col("a").alias("n"), F.col("b").alias("other"), "similarity"), F.struct(F.col("b").alias("n"), F.col("a").alias("other"), "similarity"))
+    return links.select(F.explode(ways).alias("w")).select("w.*")
+
+
+def nearest(df: DataFrame, key: str, vector: str, *, k: int = 10, min_similarity: float = -1.0, trees: int | None = None, seed: int = 7, newest: str | None = "loaded_at") -> DataFrame:
     """`id`, `neighbour`, `similarity`, `rank`: of each key the k other keys of greatest cosine, at or above `min_similarity`.
 
     Where `min_similarity` is below `NEAR`, keys with fewer than k neighbours at `NEAR` are
     queried a second time among the cells nearest to them (`_far`), about `WANTED` of whose
     true neighbours these cells hold.
     Ties go to the smaller key. Of a repeated key the row loaded last counts; rows whose
-    key or vector is NULL, or whose vector is empty, of another length than most rows', all
-    zero or not finite, take no part. Of keys with equal vectors only the k+1 smallest are
-    searched: with ties going to the smaller key no other can be anyone's neighbour, and the
-    others are given the k smallest of them, with similarity 1.
+    key or vector is NULL, or whose vector is empty, all zero or not finite, take no part.
+    Vectors of different lengths are never compared; each length is searched on its own.
+    Of keys with equal vectors only the k+1 smallest are searched: with ties going to the
+    smaller key no other can be anyone's neighbour, and the others are given the k smallest
+    of them, with similarity 1.
     """
     at = F.coalesce(F.col(newest).cast("timestamp"), F.timestamp_seconds(F.lit(0))) if newest else F.timestamp_seconds(F.lit(0))
+    kind = df.schema[key].dataType.simpleString()
     rows = df.select(F.col(key).alias("id"), at.alias("at"), F.col(vector).cast("array<float>").alias("v")).where("id IS NOT NULL AND size(v) > 0 AND NOT exists(v, x -> x IS NULL OR isnan(x) OR abs(x) = float('infinity')) AND exists(v, x -> x <> 0)")
     rows = rows.groupBy("id").agg(F.max_by("v", "at").alias("v"))
-    dims = rows.groupBy(F.size("v").alias("d")).count().orderBy(F.desc("count"), "d").limit(1).collect()  # one row
-    if not dims:
-        return df.sparkSession.createDataFrame([], f"id {df.schema[key].dataType.simpleString()}, neighbour {df.schema[key].dataType.simpleString()}, similarity double, rank int")
-    kind = df.schema[key].dataType.simpleString()
-    rows = rows.where(F.size("v") == dims[0].d)
-    copies = Window.partitionBy(F.xxhash64("v"), "v").orderBy("id")
-    shown = rows.withColumn("n", F.row_number().over(copies)).where(F.col("n") <= k + 1).select("id", "v")
-    wanted, min_similarity = min_similarity, max(min_similarity, NEAR)
-    if wanted < NEAR:
-        shown = checkpoint(shown.withColumn("n", F.monotonically_increasing_id()))  # read several times
-    arrays = shown.mapInArrow(_plant(trees, seed), f"tree int, string bigint, id {kind}, packed binary")
-    parts = max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), trees)
-    arrays = arrays.repartitionByRange(parts, "tree", "string", "id").sortWithinPartitions("tree", "string", "id")
-    met = arrays.mapInArrow(_climb(k, min_similarity - SLACK, window), f"a {kind}, b {kind}")
-    met = met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    both = met.join(shown.select(F.col("id").alias("a"), F.col("v").alias("va")), "a").join(shown.select(F.col("id").alias("b"), F.col("v").alias("vb")), "b")
-    links = both.select("a", "b", "va", "vb").mapInArrow(_exact(min_similarity), f"a {kind}, b {kind}, similarity double")
-    ways = links.select(F.explode(F.array(F.struct(F.col("a").alias("id"), F.col("b").alias("neighbour"), "similarity"), F.struct(F.col("b").alias("id"), F.col("a").alias("neighbour"), "similarity"))).alias("w")).select("w.*")
-    order = Window.partitionBy("id").orderBy(F.desc("similarity"), "neighbour")
-    if wanted < NEAR:
-        ways = checkpoint(ways.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).drop("rank"))
-        enough = ways.groupBy("id").count().where(F.col("count") >= k).select("id", F.lit(False).alias("wanted"))
-        asked = shown.join(enough, "id", "left").select("n", "v", F.coalesce("wanted", F.lit(True)).alias("wanted"))
-        far = _far(shown.select("n", "v"), asked, k, wanted, seed)
-        far = far.withColumn("rank", F.rank().over(Window.partitionBy("a").orderBy(F.desc("similarity")))).where(F.col("rank") <= k)  # ties stay until the names are known
-        far = far.join(shown.select(F.col("n").alias("b"), F.col("id").alias("neighbour")), "b").join(shown.select(F.col("n").alias("a"), "id"), "a")
-        ways = ways.unionByName(far.select("id", "neighbour", "similarity")).groupBy("id", "neighbour").agg(F.max("similarity").alias("similarity"))
-    found = ways.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
     same = (F.xxhash64("v").alias("h1"), F.xxhash64(F.lit(1), "v").alias("h2"))
-    crowds = shown.groupBy(*same).agg(F.sort_array(F.collect_list("id")).alias("first")).where(F.size("first") > k)  # at most k + 1 ids
-    others = rows.select("id", *same).join(crowds, ["h1", "h2"]).where(F.col("id") > F.element_at("first", -1)).select("id", F.posexplode(F.slice("first", 1, k)).alias("at", "neighbour"))
-    return found.unionByName(others.select("id", "neighbour", F.lit(1.0).alias("similarity"), (F.col("at") + 1).alias("rank")))
+    copies = Window.partitionBy("h1", "h2").orderBy("id")
+    rows = stored(rows.select("id", "v", *same).withColumn("copy", F.row_number().over(copies)).withColumn("n", F.monotonically_increasing_id()))
+    sizes = rows.where(F.col("copy") <= k + 1).groupBy(F.size("v").alias("d")).agg(F.count("*").alias("m")).orderBy("d").collect()  # one row a length
+    if not sizes:
+        return df.sparkSession.createDataFrame([], f"id {kind}, neighbour {kind}, similarity double, rank int")
+    names = rows.select("n", "id")
+    found = None
+    for d, total in sizes:
+        shown = rows.where((F.col("copy") <= k + 1) & (F.size("v") == d)).select("n", "v")
+        ways = _near(shown, total, k, max(min_similarity, NEAR), trees, seed)
+        if min_similarity < NEAR:
+            best = Window.partitionBy("n").orderBy(F.desc("similarity"))
+            ways = checkpoint(ways.withColumn("r", F.rank().over(best)).where(F.col("r") <= k).drop("r"))  # ties stay until the names are known
+            enough = ways.groupBy("n").count().where(F.col("count") >= k).select("n", F.lit(False).alias("wanted"))
+            asked = shown.join(enough, "n", "left").select("n", "v", F.coalesce("wanted", F.lit(True)).alias("wanted"))
+            far = _far(shown, asked, k, min_similarity, seed).withColumnsRenamed({"a": "n", "b": "other"})
+            far = far.withColumn("r", F.rank().over(best)).where(F.col("r") <= k).drop("r")
+            ways = ways.unionByName(far).groupBy("n", "other").agg(F.max("similarity").alias("similarity"))
+        found = ways if found is None else found.unionByName(ways)
+    named = found.join(names, "n").join(names.select(F.col("n").alias("other"), F.col("id").alias("neighbour")), "other")
+    order = Window.partitionBy("id").orderBy(F.desc("similarity"), "neighbour")
+    top = named.select("id", "neighbour", "similarity").withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+    crowds = rows.where(F.col("copy") <= k + 1).groupBy("h1", "h2").agg(F.sort_array(F.collect_list("id")).alias("first")).where(F.size("first") > k)  # at most k + 1 ids
+    others = rows.where(F.col("copy") > k + 1).select("id", "h1", "h2").join(crowds, ["h1", "h2"]).select("id", F.posexplode(F.slice("first", 1, k)).alias("at", "neighbour"))
+    return top.unionByName(others.select("id", "neighbour", F.lit(1.0).alias("similarity"), (F.col("at") + 1).alias("rank")))
 
 
 def mutual(found: DataFrame) -> DataFrame:

@@ -28,17 +28,17 @@ def test_recall_of_all_neighbours(spark):
     centres = rng.standard_normal((60, 16))
     vectors = np.repeat(centres, 50, axis=0) + 0.5 * rng.standard_normal((3000, 16))
     df = spark.createDataFrame([(i, v.tolist(), "x") for i, v in enumerate(vectors)], "n long, e array<double>, id string")
-    got = neighbours.nearest(df, "n", "e", k=5, newest=None, window=256).collect()
+    got = neighbours.nearest(df, "n", "e", k=5, newest=None).collect()
     unit = vectors / np.linalg.norm(vectors, axis=1, keepdims=True)
     cosine = unit @ unit.T - 3 * np.eye(len(unit))
     true = {(i, int(j)) for i in range(len(unit)) for j in np.argsort(-cosine[i])[:5]}
     assert len(true & {(r.id, r.neighbour) for r in got}) >= 0.95 * len(true)
 
 
-def test_recall_of_far_neighbours_in_a_narrow_window(spark):
+def test_recall_of_far_neighbours(spark):
     vectors = np.random.default_rng(2).standard_normal((6000, 32)).astype(np.float32)
     df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(vectors)], "n long, e array<float>")
-    got = {(r.id, r.neighbour) for r in neighbours.nearest(df, "n", "e", k=5, newest=None, window=32).collect()}
+    got = {(r.id, r.neighbour) for r in neighbours.nearest(df, "n", "e", k=5, newest=None).collect()}
     unit = vectors / np.linalg.norm(vectors, axis=1, keepdims=True)
     cosine = unit @ unit.T - 3 * np.eye(len(unit), dtype=np.float32)
     true = {(i, int(j)) for i in range(len(unit)) for j in np.argsort(-cosine[i])[:5]}
@@ -62,3 +62,28 @@ def test_copies_of_one_vector_all_have_neighbours(spark):
         for i in range(30):
             first = [j for j in range(3) if j != i][:2]
             assert [got[f"c{i:02}", r] for r in (1, 2)] == [(f"c{j:02}", 1.0) for j in first]
+
+
+def test_each_length_is_searched(spark):
+    rows = [("a", [1.0, 0.1]), ("b", [1.0, 0.2]), ("c", [1.0, 0.1, 0.2]), ("d", [1.0, 0.1, 0.3]), ("e", [2.0, 0.2, 0.7])]
+    got = {(r.id, r.neighbour) for r in neighbours.nearest(spark.createDataFrame(rows, "k string, e array<float>"), "k", "e", k=1, newest=None).collect()}
+    assert got == {("a", "b"), ("b", "a"), ("c", "d"), ("d", "e"), ("e", "d")}
+
+
+def test_trees_grow_with_the_rows():
+    assert [neighbours.trees_for(n) for n in (0, 1000, 145_000, 2_000_000)] == sorted(neighbours.trees_for(n) for n in (0, 1000, 145_000, 2_000_000))
+    assert neighbours.trees_for(2_000_000) >= 18
+
+
+def test_rows_meet_over_the_borders_of_ranges(spark, monkeypatch):
+    """One tree in many ranges finds the pairs that one range finds, apart from those further from the border than its edge."""
+    rng = np.random.default_rng(4)
+    base = rng.standard_normal((2000, 24))
+    vectors = np.concatenate((base, base + 0.1 * rng.standard_normal(base.shape))).astype(np.float32)
+    rows = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(vectors)], "n long, v array<float>")
+    spark.conf.set("spark.sql.shuffle.partitions", 1)
+    one = {tuple(r) for r in neighbours._forest(rows, len(vectors), 5, 0.9, 3, 7).collect()}
+    spark.conf.set("spark.sql.shuffle.partitions", 16)
+    many = {tuple(r) for r in neighbours._forest(rows, len(vectors), 5, 0.9, 3, 7).collect()}
+    spark.conf.set("spark.sql.shuffle.partitions", 8)
+    assert len(many & one) >= 0.99 * len(one) > 1000
