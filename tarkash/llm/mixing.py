@@ -4,16 +4,19 @@ Tokens are counted per document with a public tokenizer. Iterative proportional
 rakes the weights of the cells source x language x topic: each source to its target, and
 languages and topics to their shares in the pool, with no weight above the source's cap on
 repeats; the sources come last in every round and are met exactly. Documents are then
-sampled with their cell's weight as expected number of uses, systematically within buckets
-of a source, so that no task gets a whole source and a bucket is off by less than one
-document.
+sampled with their cell's weight as expected number of uses, within buckets of a source, so
+that no task gets a whole source: along a bucket's documents, ordered by cell, tokens owed
+are carried on and a document is used once more when it pays half of itself; what is left
+at the end is settled by the documents that fit it best.
 """
 
 from __future__ import annotations
 
 from collections import defaultdict
 
-from pyspark.sql import DataFrame, Window
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tarkash.llm import bpe
@@ -100,8 +103,37 @@ def pool_of(documents: DataFrame, targets: DataFrame, topics: DataFrame, vocabul
     return one.where("tokens > 0").join(named, "doc_key", "left").select("doc_id", "source", "lang", F.coalesce("topic", F.lit("none")).alias("topic"), "tokens")
 
 
-def mix(documents: DataFrame, targets: DataFrame, topics: DataFrame, *, bucket: int = 2000, seed: int = 17, vocabulary: str = bpe.VOCABULARY) -> DataFrame:
-    """`doc_id`, `source`, `tokens`, `weight`, `repeats` of each document that is used."""
+def deal(tokens: np.ndarray, weight: np.ndarray, most_turns: int = 50) -> np.ndarray:
+    """Uses of documents in order: each its weight, rounded down or up, so that the tokens used come as near to those owed as whole documents can."""
+    uses = np.floor(weight + 1e-9).astype(np.int64)
+    part = np.maximum(0.0, weight - uses)
+    part[part < 1e-9] = 0
+    owed, more = 0.0, np.zeros(len(uses), bool)
+    for i in np.flatnonzero(part):
+        owed += part[i] * tokens[i]
+        if owed >= tokens[i] / 2:
+            more[i] = True
+            owed -= tokens[i]
+    free = np.flatnonzero(part)
+    for _ in range(most_turns if len(free) else 0):
+        left = np.abs(owed + np.where(more[free], tokens[free], -tokens[free]))
+        best = int(left.argmin())
+        if left[best] >= abs(owed):
+            break
+        i = free[best]
+        owed += tokens[i] if more[i] else -tokens[i]
+        more[i] = not more[i]
+    return uses + more
+
+
+def _dealt(table: pa.Table) -> pa.Table:
+    table = table.sort_by([("lang", "ascending"), ("topic", "ascending"), ("draw", "ascending"), ("doc_id", "ascending")])
+    uses = deal(table.column("tokens").to_numpy().astype(np.float64), table.column("weight").to_numpy())
+    return table.select(["doc_id", "source", "lang", "topic", "tokens", "weight"]).append_column("repeats", pa.array(uses.astype(np.int32)))
+
+
+def weigh(documents: DataFrame, targets: DataFrame, topics: DataFrame, vocabulary: str = bpe.VOCABULARY) -> tuple[DataFrame, dict[str, int]]:
+    """The pool with the `weight` of each document, and how many documents each source has in it."""
     spark = documents.sparkSession
     pool = checkpoint(pool_of(documents, targets, topics, vocabulary))
     pool = _grouped(_grouped(pool, "lang"), "topic")
@@ -109,17 +141,36 @@ def mix(documents: DataFrame, targets: DataFrame, topics: DataFrame, *, bucket:
     goals = targets.where("source IS NOT NULL").groupBy("source").agg(F.max("target_share").alias("share"), F.max("max_repeats").alias("cap")).collect()  # one row a source
     weight, _ = rake({(c.source, c.lang, c.topic): float(c.tokens) for c in cells}, {g.source: float(g.cap or 0) for g in goals}, {g.source: float(g.share or 0) for g in goals})
     table = spark.createDataFrame([(*c, w) for c, w in weight.items()], "source string, lang string, topic string, weight double")
-    rows = pool.join(F.broadcast(table), ["source", "lang", "topic"])
-    sizes = defaultdict(int)
+    sizes: dict[str, int] = defaultdict(int)
     for c in cells:
         sizes[c.source] += c.n
-    parts = spark.createDataFrame([(s, max(1, n // bucket)) for s, n in sizes.items()], "source string, parts int")
-    rows = rows.join(F.broadcast(parts), "source").withColumn("part", F.pmod(F.xxhash64("doc_id", F.lit(seed)), F.col("parts")))
-    order = Window.partitionBy("source", "part").orderBy("lang", "topic", "tokens", "doc_id")
-    start = F.pmod(F.xxhash64("source", "part", F.lit(seed)), F.lit(1_000_003)) / 1_000_003
-    upto = F.sum(F.col("weight") - F.floor("weight")).over(order) + start
-    extra = F.floor(F.round(upto, 9)) - F.floor(F.round(upto - (F.col("weight") - F.floor("weight")), 9))
-    return rows.select("doc_id", "source", "tokens", "weight", (F.floor("weight") + extra).cast("int").alias("repeats")).where("repeats > 0")
+    return pool.join(F.broadcast(table), ["source", "lang", "topic"]), sizes
+
+
+def mix(documents: DataFrame, targets: DataFrame, topics: DataFrame, *, bucket: int = 2000, seed: int = 17, vocabulary: str = bpe.VOCABULARY) -> DataFrame:
+    """`doc_id`, `source`, `lang`, `topic`, `tokens`, `weight`, `repeats` of each document that is used.
+
+    `lang` and `topic` are as they were raked: values below `LEAST_SHARE` are `other`.
+    """
+    rows, sizes = weigh(documents, targets, topics, vocabulary)
+    parts = documents.sparkSession.createDataFrame([(s, max(1, n // bucket)) for s, n in sizes.items()], "source string, parts int")
+    rows = rows.join(F.broadcast(parts), "source").withColumn("draw", F.xxhash64("doc_id", F.lit(seed))).withColumn("part", F.pmod("draw", F.col("parts")))
+    kind = rows.schema["doc_id"].dataType.simpleString()
+    chosen = rows.select("doc_id", "source", "lang", "topic", F.col("tokens").cast("bigint").alias("tokens"), "weight", "draw", "part").groupBy("source", "part").applyInArrow(_dealt, f"doc_id {kind}, source string, lang string, topic string, tokens bigint, weight double, repeats int")  # about `bucket` rows
+    return chosen.where("repeats > 0")
+
+
+def axis_shares(documents: DataFrame, mixed: DataFrame, targets: DataFrame, topics: DataFrame, vocabulary: str = bpe.VOCABULARY) -> DataFrame:
+    """`axis` (lang, topic), `value`, `pool_share`, `actual_share`: the pool's share of tokens that each language and topic was raked to, and the share reached."""
+    pool, _ = weigh(documents, targets, topics, vocabulary)
+    axes = F.array(*[F.struct(F.lit(a).alias("axis"), F.col(a).alias("value")) for a in ("lang", "topic")])
+
+    def part(rows: DataFrame, tokens, name: str) -> DataFrame:
+        sums = rows.select(F.explode(axes).alias("x"), tokens.alias("t")).groupBy("x.axis", "x.value").agg(F.sum("t").alias("t"))
+        return sums.join(F.broadcast(sums.groupBy("axis").agg(F.sum("t").alias("all"))), "axis").select("axis", "value", (F.col("t") / F.col("all")).alias(name))
+
+    rows = part(pool, F.col("tokens"), "pool_share").join(part(mixed, F.col("tokens") * F.col("repeats"), "actual_share"), ["axis", "value"], "left")
+    return rows.select("axis", "value", "pool_share", F.coalesce("actual_share", F.lit(0.0)).alias("actual_share"))
 
 
 def shares(mixed: DataFrame, targets: DataFrame) -> DataFrame:

@@ -69,6 +69,11 @@ def p7_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.shares(p7_mix(spark, sf_dir), read_table(spark, sf_dir, "source_targets"))
 
 
+def p7_axis_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents, targets, parsed = (read_table(spark, sf_dir, t) for t in ("documents", "source_targets", "parsed"))
+    return mixing.axis_shares(documents, mixing.mix(documents, targets, parsed), targets, parsed)
+
+
 def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents = read_table(spark, sf_dir, "documents")
     field = spark.sparkContext.broadcast(persons.fit(documents))
