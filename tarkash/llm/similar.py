@@ -31,7 +31,11 @@ from tarkash.sources.tables import checkpoint, spread
 # letters and digits with the vowel signs and joiners of Indic scripts, without the danda
 WORDS = re.compile(r"[^\W_][\w\u0900-\u0963\u0966-\u0dff\u200c\u200d]*").findall
 SEEDS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3, 0x589965CC75374CC3], dtype=np.uint64)
-CHUNK = 1 << 20
+CHUNK = 1 << 18
+#: Tasks whose counters are added up in one group before the groups are.
+SHARD = 256
+#: The least and most counters of the sketch, as powers of two; one byte each reaches the driver and every executor.
+LEAST_BITS, MOST_BITS = 18, 28
 PARITY_BITS = 384
 WORD_CACHE = 1_000_000
 
@@ -77,15 +81,25 @@ def _columns(batch: pa.RecordBatch, first: int) -> list[list[str]]:
     return [words_of(*row) for row in zip(*texts, strict=True)]
 
 
+def bits_for(df: DataFrame, texts: list[str]) -> int:
+    """Counters enough for about as many as there are n-grams: one to every eight bytes of text (or fewer, from 2**`MOST_BITS` on)."""
+    size = df.agg(F.sum(sum((F.coalesce(F.octet_length(t), F.lit(0)) for t in texts), F.lit(0)))).first()[0]  # one number
+    return max(LEAST_BITS, min(MOST_BITS, math.ceil(math.log2(max(1, size or 0) / 8 + 1))))
+
+
 def counting_sketch(df: DataFrame, key: str, texts: list[str], n: int, bits: int) -> tuple[np.ndarray, int]:
     """How often n-grams fall into each of 2**bits counters, on a log scale, and their total.
 
-    One uint8 a counter, whatever the corpus: 16 MB at 24 bits. A level of 0 means that
-    the counter was hit at most once, so its n-gram is in one row only.
+    One uint8 a counter: 16 MB at 24 bits. A level of 0 means that the counter was hit at
+    most once, so its n-gram is in one row only. Counters are added up in a tree, `SHARD`
+    tasks at a time.
     """
     width = 1 << bits
 
     def part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
+
+        shard = TaskContext.get().partitionId() // SHARD
         known, counts, total = _WordHash(), np.zeros(width, np.uint32), 0
         for batch in batches:
             _, run = shingle_hashes(_columns(batch, 0), n, known)
@@ -93,18 +107,23 @@ def counting_sketch(df: DataFrame, key: str, texts: list[str], n: int, bits: int
             at, many = np.unique(run & np.uint64(width - 1), return_counts=True)
             counts[at.astype(np.int64)] += many.astype(np.uint32)
         if total:
-            packed = [zlib.compress(counts[i : i + CHUNK].tobytes(), 1) for i in range(0, width, CHUNK)]
-            yield pa.RecordBatch.from_pydict({"chunk": pa.array(range(len(packed)), pa.int32()), "packed": packed, "total": pa.array([total] + [0] * (len(packed) - 1), pa.int64())})
-
-    def add(table: pa.Table) -> pa.Table:
-        sums = np.zeros(min(CHUNK, width), np.uint64)
-        for packed in table.column("packed"):
-            sums += np.frombuffer(zlib.decompress(packed.as_py()), np.uint32)
-        level = np.minimum(255, 8 * np.log2(np.maximum(sums, 1).astype(np.float64))).astype(np.uint8)
-        return pa.table({"chunk": table.column("chunk")[:1], "packed": [zlib.compress(level.tobytes(), 1)], "total": pa.array([sum(table.column("total").to_pylist())], pa.int64())})
-
-    schema = "chunk int, packed binary, total bigint"
-    rows = spread(df.select(key, *texts), key).select(*texts).mapInArrow(part, schema).groupBy("chunk").applyInArrow(add, schema).collect()  # 2**bits bytes at most
+            for i in range(0, width, CHUNK):
+                yield pa.RecordBatch.from_pydict({"chunk": pa.array([i // CHUNK], pa.int32()), "shard": pa.array([shard], pa.int32()), "packed": [zlib.compress(counts[i : i + CHUNK].astype(np.uint64).tobytes(), 1)], "total": pa.array([0 if i else total], pa.int64())})
+
+    def add(last: bool):
+        def run(table: pa.Table) -> pa.Table:
+            sums = np.zeros(min(CHUNK, width), np.uint64)
+            for packed in table.column("packed"):
+                sums += np.frombuffer(zlib.decompress(packed.as_py()), np.uint64)
+            if last:
+                sums = np.minimum(255, 8 * np.log2(np.maximum(sums, 1).astype(np.float64))).astype(np.uint8)
+            return pa.table({"chunk": table.column("chunk")[:1], "shard": table.column("shard")[:1], "packed": [zlib.compress(sums.tobytes(), 1)], "total": pa.array([sum(table.column("total").to_pylist())], pa.int64())})
+
+        return run
+
+    schema = "chunk int, shard int, packed binary, total bigint"
+    parts = spread(df.select(key, *texts), key).select(*texts).mapInArrow(part, schema)
+    rows = parts.groupBy("chunk", "shard").applyInArrow(add(False), schema).groupBy("chunk").applyInArrow(add(True), schema).collect()  # 2**bits bytes at most
     levels = np.zeros(width, np.uint8)
     for r in rows:
         levels[r.chunk * CHUNK : r.chunk * CHUNK + CHUNK] = np.frombuffer(zlib.decompress(r.packed), np.uint8)
@@ -258,7 +277,7 @@ def _classes(df: DataFrame, key: str, texts: list[str], newest: str | None) -> t
     return members, one.join(live, "class")
 
 
-def similar_classes(df: DataFrame, key: str, texts: list[str], *, n: int = 3, threshold: float = 0.6, newest: str | None = "loaded_at", sketch_bits: int = 24, tile: int = 20_000, block_grams: int = 1_500_000) -> tuple[DataFrame, DataFrame, DataFrame]:
+def similar_classes(df: DataFrame, key: str, texts: list[str], *, n: int = 3, threshold: float = 0.6, newest: str | None = "loaded_at", sketch_bits: int | None = None, tile: int = 20_000, block_grams: int = 1_500_000) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(members, classes, links): the classes of equal texts and all pairs of classes at or above the threshold.
 
     members: `_id`, `class`; classes: `class`, `rep` (least id), `copies`; links: `ka`, `kb`
@@ -268,13 +287,14 @@ def similar_classes(df: DataFrame, key: str, texts: list[str], *, n: int = 3, th
     so no partner but their copies.
     """
     spark = df.sparkSession
-    levels, total = counting_sketch(df, key, texts, n, sketch_bits)
+    levels, total = counting_sketch(df, key, texts, n, sketch_bits or bits_for(df, texts))
     members, classes = _classes(df, key, texts, newest)
     own = [f"_t{i}" for i in range(len(texts))]
-    blocks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), math.ceil(total * (1 - threshold) / block_grams))
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), math.ceil(total * (1 - threshold) / block_grams))
+    blocks = 4 * parts  # several a partition, which evens the partitions out
     post = _post("class", n, threshold, blocks, tile, spark.sparkContext.broadcast(levels))
     kept = "block int, ids binary, sizes binary, parity binary, many binary, grams binary, at binary"
-    candidates = classes.select("class", *own).mapInArrow(post, kept).groupBy("block").applyInArrow(_multiply(threshold), "ka bigint, kb bigint").distinct()
+    candidates = classes.select("class", *own).mapInArrow(post, kept).repartition(parts, "block").groupBy("block").applyInArrow(_multiply(threshold), "ka bigint, kb bigint").distinct()
     left = classes.select(F.col("class").alias("ka"), *[F.col(o).alias(f"l{o}") for o in own])
     right = classes.select(F.col("class").alias("kb"), *[F.col(o).alias(f"r{o}") for o in own])
     both = candidates.join(left, "ka").join(right, "kb").select("ka", "kb", *[f"l{o}" for o in own], *[f"r{o}" for o in own])
@@ -320,6 +340,8 @@ def components(edges: DataFrame, rounds: int = 40) -> DataFrame:
         if now == last:
             break
         last = now
+    else:
+        raise RuntimeError(f"the components are not settled after {rounds} rounds")
     top = edges.groupBy("a").agg(F.min("b").alias("group")).select(F.col("a").alias("node"), "group")
     return top.union(edges.select(F.col("b").alias("node"), F.col("b").alias("group")).join(top.select("node"), "node", "left_anti").distinct())
 

@@ -1,3 +1,4 @@
+import pytest
 from itertools import combinations
 
 from hypothesis import given, settings
@@ -60,3 +61,16 @@ def test_components(spark):
     got = {r.node: r.group for r in similar.components(spark.createDataFrame(edges, "a string, b string")).collect()}
     assert set(got) == {f"{i:03}" for i in range(41)} | {"x", "y", "z"}
     assert all(g == ("000" if n[0].isdigit() else "x") for n, g in got.items())
+
+
+def test_the_sketch_grows_with_the_text(spark):
+    small = spark.createDataFrame([("some words here", None)], "q string, a string")
+    large = spark.createDataFrame([("word " * 100_000, "x")] * 20, "q string, a string")
+    assert similar.bits_for(small, ["q", "a"]) == similar.bits_for(small.limit(0), ["q", "a"]) == similar.LEAST_BITS
+    assert similar.bits_for(large, ["q", "a"]) == 21
+
+
+def test_unsettled_components_are_an_error(spark):
+    path = spark.range(200).selectExpr("id AS a", "id + 1 AS b")
+    with pytest.raises(RuntimeError):
+        similar.components(path, rounds=1)
