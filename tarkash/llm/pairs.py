@@ -1,8 +1,8 @@
 """Defects of question and answer pairs.
 
 Rules on the single pair find empty, copied, refusing and foreign-language answers. A
-truncated answer shows only against the corpus: answers are sorted as texts, so that an
-answer that another one continues stands right before it; how often a run of words ends a
+truncated answer shows only against the corpus: answers are sorted as texts, so that those
+that continue an answer stand right after it; how often a run of words ends a
 sentence is counted over all answers; and lengths at which unfinished answers pile up are
 taken as length limits.
 """
@@ -129,8 +129,8 @@ def _judge(newest: str | None):
             for i, when, q, a in zip(ids, at, questions, answers, strict=True):
                 defect = rule_defect(q, a)
                 body = (a or "").strip()
-                loose = defect is None and not ENDED.search(body)
-                cut = loose and bool(CUT_MARK.search(body))
+                cut = defect is None and bool(CUT_MARK.search(body))
+                loose = cut or defect is None and not ENDED.search(body)
                 rest = CUT_MARK.sub("", body)
                 row = (i, when, defect, body if loose else None, len(a or ""), loose, cut, _keys(_shape(rest[-120:])) if loose else None)
                 for c, v in zip(schema.names, row, strict=True):
@@ -170,41 +170,68 @@ def _count_ends(most: int = 400_000):
     return run
 
 
+CLOSERS = ".।॥?!"
+
+
 def _continued():
-    """Of sorted distinct texts those that the next one continues, and the first and last text of the range."""
+    """Of sorted distinct texts those that a later one continues by more than a closing mark.
+
+    What a text can be continued by follows it directly, those first that go on with a mark;
+    `pending` texts wait for one that does not. A range tells of its end which texts still
+    wait, and of its start the first text and at which of its marks another one of the range
+    goes on without.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
         part = TaskContext.get().partitionId()
-        first = last = None
+        first, shared, turns = None, 0, []
+        pending: list[str] = []
+
+        def out(kind: str, texts: list[str], at: list[int]) -> pa.RecordBatch:
+            n = len(texts)
+            return pa.RecordBatch.from_arrays([pa.array([part] * n, pa.int32()), pa.array([kind] * n, pa.string()), pa.array(texts, pa.string()), pa.array([at] * n, pa.list_(pa.int32()))], names=["part", "kind", "text", "turns"])
+
         for batch in batches:
             found = []
             for text in batch.column(0).to_pylist():
-                if last is not None and text.startswith(last) and text[len(last)] not in ".।?!":
-                    found.append(last)
-                first, last = text if first is None else first, text
+                if first is None:
+                    first, shared = text, len(text)
+                elif shared:
+                    same = next((i for i, (x, y) in enumerate(zip(text[:shared], first, strict=False)) if x != y), min(shared, len(text)))
+                    if same < len(first) and first[same] in CLOSERS and text[same : same + 1] not in CLOSERS:
+                        turns.append(same)
+                    shared = same
+                while pending and not text.startswith(pending[-1]):
+                    pending.pop()
+                found += [p for p in pending if text[len(p)] not in CLOSERS]
+                pending = [p for p in pending if text[len(p)] in CLOSERS]
+                pending.append(text)
             if found:
-                yield pa.RecordBatch.from_pydict({"part": pa.array([part] * len(found), pa.int32()), "kind": ["found"] * len(found), "text": found})
-        if last is not None:
-            yield pa.RecordBatch.from_pydict({"part": pa.array([part] * 2, pa.int32()), "kind": ["first", "last"], "text": [first, last]})
+                yield out("found", found, [])
+        if first is not None:
+            yield out("first", [first], turns)
+            yield out("pending", pending, [])
 
     return run
 
 
 def continued_texts(texts: DataFrame, column: str) -> DataFrame:
-    """`text`: the distinct values of a column that the next value in order continues by more than a closing mark.
+    """`text`: the distinct values of a column, without closing marks and blanks at their end, that another value continues by more than closing marks.
 
-    In sorted order the text after x is one that starts with x, if there is any, so one
-    pass over range-partitioned, sorted texts compares neighbours; a range's last text is
-    compared with the first of the next one (one row a range).
+    One pass over range-partitioned, sorted texts compares each with those that follow it;
+    what still waits at the end of a range is held against the start of the next one.
     """
-    ranges = texts.select(F.col(column).alias("text")).where("text <> ''").distinct().repartitionByRange("text").sortWithinPartitions("text")
-    rows = checkpoint(ranges.mapInArrow(_continued(), "part int, kind string, text string"))
-    edges = rows.where("kind <> 'found'").groupBy("part").agg(F.max(F.when(F.col("kind") == "first", F.col("text"))).alias("first"), F.max(F.when(F.col("kind") == "last", F.col("text"))).alias("last"))
-    after = edges.withColumn("next", F.lead("first").over(Window.orderBy("part")))
-    crossing = after.where(F.col("next").startswith(F.col("last")) & ~F.substring(F.expr("substring(next, length(last) + 1)"), 1, 1).isin(".", "।", "?", "!")).select(F.col("last").alias("text"))
-    return rows.where("kind = 'found'").select("text").union(crossing)
+    bare = F.regexp_replace(F.trim(F.col(column)), rf"[{CLOSERS}\s]+$", "")
+    ranges = texts.select(bare.alias("text")).where("text <> ''").distinct().repartitionByRange("text").sortWithinPartitions("text")
+    rows = checkpoint(ranges.mapInArrow(_continued(), "part int, kind string, text string, turns array<int>"))
+    starts = rows.where("kind = 'first'").select("part", F.col("text").alias("next"), "turns")
+    starts = starts.withColumn("part", F.lag("part").over(Window.orderBy("part")))  # one row a range
+    waiting = rows.where("kind = 'pending'").select("part", "text").join(F.broadcast(starts), "part").where(F.col("next").startswith(F.col("text")))
+    goes_on = F.substring(F.expr("substring(next, length(text) + 1)"), 1, 1)
+    crossing = waiting.where(~goes_on.isin(*CLOSERS) | F.array_contains("turns", F.length("text"))).select("text")
+    return rows.where("kind = 'found'").select("text").union(crossing).distinct()
 
 
 def limit_lengths(rows: DataFrame) -> DataFrame:
@@ -237,7 +264,7 @@ def defective_pairs(df: DataFrame, key: str, question: str, answer: str, *, newe
     loose = state.where("open")
     tails = loose.select("id", F.posexplode("keys").alias("level", "key"))
     seen = tails.join(counts, "key").where("total > 3").groupBy("id").agg(F.min_by((F.col("ends") - 1) / (F.col("total") - 1), "level").alias("end"))  # without its own
-    longer = continued_texts(answers.select(F.trim("a").alias("a")), "a").withColumn("longer", F.lit(True))
+    longer = continued_texts(answers, "a").withColumn("longer", F.lit(True))
     limits = limit_lengths(state)
     cut = loose.join(seen, "id", "left").join(longer, "text", "left").join(F.broadcast(limits), "length", "left")  # a limit needs 12 answers: few rows
     end = F.coalesce("end", F.lit(0.0))

@@ -42,11 +42,20 @@ def test_limit(spark):
     assert [r.length for r in pairs.limit_lengths(rows).collect()] == [100]
 
 
-def test_continued(spark):
-    texts = [f"{a}{b}" for a in ("one", "two", "three") for b in ("", " more", " more words", ".")] + ["alone", "", "alone"]
-    df = spark.createDataFrame([(t,) for t in texts], "t string")
-    got = sorted(r.text for r in pairs.continued_texts(df, "t").collect())
-    assert got == sorted([f"{a}{b}" for a in ("one", "two", "three") for b in ("", " more")])
+@pytest.mark.parametrize("parts", [1, 3, 30])
+def test_continued(spark, parts):
+    texts = [f"{a}{b}" for a in ("one", "two", "three") for b in ("", " more", " more words", ".")] + ["alone", "", "alone", "the dam was rep", "the dam was rep.", "the dam was rep. Then", "the dam was rep. Then more.", "the dam was repaired in May", "shut", "shut.", "shut. And more"]
+    bare = {t.rstrip(".") for t in texts if t}
+    true = sorted(t for t in bare if any(x.startswith(t) and x[len(t) : len(t) + 1] not in ("", ".") for x in bare))
+    spark.conf.set("spark.sql.shuffle.partitions", parts)
+    got = sorted(r.text for r in pairs.continued_texts(spark.createDataFrame([(t,) for t in texts], "t string"), "t").collect())
+    spark.conf.set("spark.sql.shuffle.partitions", 8)
+    assert got == true and "the dam was rep" in got and "shut" not in got
+
+
+def test_dots_cut_off(spark):
+    rows = [("a", Q, "The road was repaired by the ..."), ("b", Q, "The road was repaired by the agency…"), ("c", Q, "...")]
+    assert {r.k: r.defect for r in pairs.defective_pairs(spark.createDataFrame(rows, "k string, q string, a string"), "k", "q", "a", newest=None).collect()} == {"a": "truncated", "b": "truncated", "c": "empty"}
 
 
 def test_a_long_refusal_is_a_refusal():
