@@ -40,7 +40,8 @@ NUMBER = re.compile(r"(?<![\w.,/+\-०-९])(?:\+\d{1,3}[ -]?)?(?:\(\d{2,5}\)[ -
 CODE = re.compile(r"(?<![\w/-])(?:[A-Z]{2,3}[ -]?\d{1,2}[ -]\d{7,13}|[A-Za-z]{1,5}-?\d[\dA-Za-z]{3,}(?:[ -]\d{6,13})?)(?![\w/]|-\w)")
 PIN = re.compile(r"(?<![\d/.,+-])\d{3} ?\d{3}(?!\d|[/]|[.,]\d)|(?<=-)\d{6}(?!\d|[/])")
 ADDRESS = re.compile(r"(?<![\w/])(?:(?:H\.? ?No\.?|House(?: No\.?)?|Flat(?: No\.?)?|Plot(?: No\.?)?|Qtr\.?(?: No\.?)?|Quarter(?: No\.?)?|Door(?: No\.?)?|Village|Vill\.?|C/o|c/o) ?#? ?(?=[\w#])|(?:मकान|ग्राम|गाँव|फ्लैट|प्लॉट|द्वारा)\s|#?[A-Z]?-?\d+(?:/\d+)?[A-Z]?, (?=[A-Z]))")
-ADDRESS_REACH = 170
+# An address goes on to here at most: the end of a sentence, or of the second line after its first.
+SENTENCE_STOP, LINES_STOP = re.compile(r"[a-z]{3,}[.।] (?=[A-Z])"), re.compile(r"(?:[^\n]*\n){3}")
 DATE = re.compile(r"\d{1,2}([.-])\d{1,2}\1\d{2,4}$|\d{4}-\d{2}(?:-\d{2})?$")
 TOKEN = r"(?:(?:[A-Z]\.)+|[A-Z][a-z]+|[A-Z]{2,})"
 RUN = re.compile(rf"(?<![\w.]){TOKEN}(?: ?(?<=\.){TOKEN}| {TOKEN}){{0,4}}(?![\w@])")
@@ -119,23 +120,28 @@ def _name_spans(text: str, words: Lexicon) -> Iterator[Span]:
 
 
 def _address_spans(text: str) -> Iterator[Span]:
+    """From a first word to the next postal code; where none follows, after a cue, to the end of the line or sentence."""
     pins = [(m.start(), m.end()) for m in PIN.finditer(text)] if SIX_DIGITS(text) else []
-    for m in ADDRESS.finditer(text) if pins else ():
+    for m in ADDRESS.finditer(text):
         k = bisect_right(pins, (m.start() + 5, 0))
-        if k < len(pins) and pins[k][0] <= m.start() + ADDRESS_REACH:
-            body = text[m.start() : pins[k][0]]
-            if "," in body and body.count("\n") <= 2 and not re.search(r"[a-z]{3,}[.।] [A-Z]", body):
+        stop = min(x.end() if x else len(text) for x in (SENTENCE_STOP.search(text, m.start()), LINES_STOP.match(text, m.start())))
+        if k < len(pins) and pins[k][0] <= stop:
+            if "," in text[m.start() : pins[k][0]]:
                 yield Span(m.start(), pins[k][1], "address")
+        elif ADDRESS_CUE.search(text[max(0, m.start() - 60) : m.start()]):
+            body = re.match(r"[^\n;]*?(?=[.;।]?\s*\n|[.;।]\s+[A-Zऀ-ॿ]|[.;।]?\s*$|\s(?:and|who|has|is|was|said|spoke|sought|stands)\s)", text[m.start() : stop])
+            if body and body[0].count(",") >= 2:
+                yield Span(m.start(), m.start() + len(body[0].rstrip(" ,.")), "address")
 
 
 def candidates(text: str, words: Lexicon = NO_WORDS) -> list[Span]:
     """Spans that could be mentions, by start."""
     out: set[Span] = set()
     if "@" in text or "at)" in text or "at]" in text:
-        for at in AT.finditer(text):  # the pattern is tried around the sign only
-            for m in EMAIL.finditer(text, max(0, text.rfind(" ", 0, max(0, at.start() - 1)) + 1, text.rfind("\n", 0, at.start()) + 1), min(len(text), at.end() + 120)):
-                if m.start() < at.start() < m.end():
-                    out.add(Span(m.start(), m.end(), "email"))
+        for at in AT.finditer(text):  # the pattern is tried from the word around the sign on
+            m = EMAIL.search(text, max(0, text.rfind(" ", 0, max(0, at.start() - 1)) + 1, text.rfind("\n", 0, at.start()) + 1))
+            if m and m.start() < at.start() < m.end():
+                out.add(Span(m.start(), m.end(), "email"))
     for m in NUMBER.finditer(text):
         n = sum(c.isdigit() for c in m.group())
         if 8 <= n <= 15 and not DATE.match(m.group()):
@@ -382,7 +388,7 @@ def learn(texts: list[str], epochs: int = 4, rate: float = 0.3, decay: float = 1
 
 def fit(df: DataFrame, key: str = "doc_id", text: str = "text", sample: int = SAMPLE_DOCUMENTS) -> Field:
     """The field: its lexicon from all documents, its weights from about `sample` of them, chosen by hash."""
-    rows = df.where(F.col(text).isNotNull() & (F.length(text) < 50_000))
+    rows = df.where(F.col(text).isNotNull())
     n = max(1, rows.count())
     picked = rows.where(F.pmod(F.xxhash64(key, F.lit(5)), F.lit(1_000_000)) < int(1_000_000 * min(1.0, sample / n))).orderBy(key).select(text).collect()  # about `sample` rows
     return learn([r[0] for r in picked], words=lexicon(spread(df.select(key, text), key), text))

@@ -70,3 +70,11 @@ def test_name_words_come_from_all_documents(spark):
     field = persons.fit(spark.createDataFrame(rows, "doc_id long, text string"), sample=40)
     assert {f"{w}k" for w in names} <= field.words.given and {f"{w}s" for w in names} <= field.words.family
     assert "late" in field.words.common and persons.lexicon_of({("lower", "kantelu"): 3, ("family", "Kantelu"): 40}).family == {"Kantelu"}
+
+
+def test_long_spans_and_addresses_without_a_code():
+    road = "House No. 12, " + "Very Long Name Of A Road, " * 12 + "Town 123456"
+    mail = "x@" + "a" * 300 + ".org"
+    for text, kind, body in ((f"A resident of {road}, wrote.", "address", road), (f"Write to {mail} today", "email", mail), ("He is a resident of House No. 12, Canal Road, Okhpikot and has applied.", "address", "House No. 12, Canal Road, Okhpikot")):
+        assert (kind, body) in {(s.kind, text[s.start : s.end]) for s in persons.candidates(text)}
+    assert not persons.candidates("House No. 12. The road, the dam, the bridge. Code 123456")
