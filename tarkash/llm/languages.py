@@ -1,13 +1,16 @@
 """Languages of documents, blocks, column names and the segments of mixed blocks.
 
-For each language a suffix automaton over its labelled vocabulary gives the longest match
-from any place of a word; parsing a word greedily into such matches takes few phrases in
-its own language and many in another. The language that needs the fewest phrases a word
-wins, among the languages of the script. Words are parsed once a worker and then looked up.
+For each language a suffix automaton over its labelled text, word by word, gives the longest
+run of words that the text holds from any place of a sentence. Cross-parsing a sentence
+greedily into such runs takes few phrases in its own language and many in another. A word
+that the text of a language lacks is parsed into longest matches of its letters by a second
+automaton, over the language's vocabulary, and counts as the phrases that this takes. The
+language that needs the fewest phrases wins, among the languages of the script.
 
 The labels to learn from are themselves wrong in part. A bounded sample of labelled rows
 (`SAMPLE_ROWS` a label, chosen by hash) is therefore cleaned first: its sentences are
-reassigned among the languages of their script by word rates until they are stable.
+reassigned among the languages of their script by word rates until they are stable, and
+words that are ten times as frequent in another language break a text rather than join it.
 Everything else runs over all rows.
 """
 
@@ -16,7 +19,7 @@ from __future__ import annotations
 import math
 import re
 from collections import Counter, defaultdict
-from collections.abc import Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -27,7 +30,8 @@ from tarkash.llm.similar import WORDS
 from tarkash.sources.tables import checkpoint, newest_per_key, newest_rows, newest_times
 
 SAMPLE_ROWS = 4000
-VOCABULARY_CHARS = 60_000
+#: Of the sample, the words of text and the letters of vocabulary (frequent words first) that a language's automata hold.
+TEXT_WORDS, VOCABULARY_CHARS = 30_000, 60_000
 # Languages by script, and the spellings of their labels.
 SCRIPTS = {"latin": ("en", "hi"), "devanagari": ("hi", "mr", "ne"), "bengali": ("bn",)}
 LABELS = {"en": ("en", "eng", "english"), "hi": ("hi", "hin", "hindi"), "bn": ("bn", "ben", "bengali", "bangla"), "ne": ("ne", "nep", "nepali"), "mr": ("mr", "mar", "marathi"), "mixed": ("mixed", "mul")}
@@ -35,15 +39,15 @@ MISSING = ("", "und", "unknown", "none", "null")
 # Units that may stand in a column name of any language.
 UNITS = frozenset("crore crores lakh lakhs mw mu km kwh mwh gwh ha rs inr percent per cent cumec metre meter tonne tonnes mt no nos".split())
 PIECES = re.compile(r"(?<=[.।॥?!])[\"'”’)\]]*\s+|\s+/\s+|\n\s*\n")
+ASCII_WORDS = re.compile(r"[a-z0-9]\w*", re.ASCII).findall  # of plain letters the same words, sooner
 DEVANAGARI, BENGALI, LATIN = (re.compile(p) for p in ("[ऀ-ॣ०-ॿ]", "[ঀ-৿]", "[A-Za-zÀ-ɏ]"))
-SHIFT = 24
 
 
 class Automaton:
-    """Suffix automaton of a text."""
+    """Suffix automaton of a sequence: the characters of a text, or words."""
 
-    def __init__(self, text: str):
-        self.next: list[dict[str, int]] = [{}]
+    def __init__(self, text: Iterable):
+        self.next: list[dict] = [{}]
         link, length, last = [-1], [0], 0
         for ch in text:
             cur = len(length)
@@ -82,6 +86,22 @@ class Automaton:
             state = to
         return count + (state != 0)
 
+    def cross_parse(self, words: list[str], missing: dict[str, float], most: float = math.inf) -> float:
+        """Phrases of a sentence: longest runs of words, and what `missing` gives for words that are not there; `most` or more once there are that many."""
+        steps, start, state, count = self.next, self.next[0], 0, 0.0
+        for w in words:
+            to = steps[state].get(w)
+            if to is None:
+                if state:
+                    count += 1
+                to = start.get(w, 0)
+                if not to:
+                    count += missing[w]
+                    if count >= most:
+                        return count
+            state = to
+        return count + (state != 0)
+
 
 def script_of(text: str) -> str | None:
     """The script of most letters."""
@@ -92,6 +112,11 @@ def script_of(text: str) -> str | None:
     return best if counts[best] else None
 
 
+def words_of(text: str) -> list[str]:
+    """The lower-case words of a text."""
+    return ASCII_WORDS(text.lower()) if text.isascii() else WORDS(text.lower())
+
+
 def pieces_of(text: str) -> list[str]:
     return [p for p in PIECES.split(text) if p and not p.isspace()]
 
@@ -107,6 +132,7 @@ class Model:
             if script and language in SCRIPTS[script]:
                 by_script[script].append((language, [w for w in WORDS(text.lower()) if not w[0].isdigit()]))
         self.counts: dict[str, dict[str, Counter]] = {}
+        self.texts: dict[str, dict[str, list[list[str]]]] = {}
         for script, languages in SCRIPTS.items():
             rows = by_script[script]
             names = [language for language, _ in rows]
@@ -126,6 +152,14 @@ class Model:
                     break
                 names = now
             self.counts[script] = counts
+            self.texts[script] = {c: [] for c in languages}
+            left = dict.fromkeys(languages, TEXT_WORDS)
+            seen: set[tuple] = set()
+            for language, (_, words) in zip(names, rows, strict=True):
+                if left[language] > 0 and (language, *words) not in seen:
+                    seen.add((language, *words))
+                    left[language] -= len(words)
+                    self.texts[script][language].append(words)
         self._prepare()
 
     def _prepare(self) -> None:
@@ -141,14 +175,30 @@ class Model:
                     text.append(word)
                     size += len(word) + 1
                 self.automata[script][language] = Automaton(" " + " ".join(text) + " ")
-        self.values = {s: _Values(self, s) for s in SCRIPTS}
+        self.missing = {s: [_Missing(self, s, i) for i in range(len(languages))] for s, languages in SCRIPTS.items()}
+        self.runs = {s: [self._text(s, i) for i in range(len(languages))] for s, languages in SCRIPTS.items() if len(languages) > 1}
         self.other = _Other(self, "latin")
 
+    def _text(self, script: str, place: int) -> Automaton:
+        """The automaton of a language's text; sentences, and words of other languages in them, end its runs."""
+        own: dict[str, bool] = {}
+        sequence: list = []
+        for words in self.texts[script][SCRIPTS[script][place]]:
+            for w in words:
+                if w not in own:
+                    own[w] = self.word(script, w)[place] <= 1
+                sequence.append(w if own[w] else None)
+            sequence.append(None)
+        out = Automaton(sequence)
+        for step in out.next:
+            step.pop(None, None)
+        return out
+
     def __getstate__(self) -> dict:
-        return {"counts": self.counts}
+        return {"counts": self.counts, "texts": self.texts}
 
     def __setstate__(self, state: dict) -> None:
-        self.counts = state["counts"]
+        self.counts, self.texts = state["counts"], state["texts"]
         self._prepare()
 
     def word(self, script: str, word: str) -> list[float]:
@@ -163,34 +213,38 @@ class Model:
             return [1 + min(1.0, 0.25 * (p - min(parsed))) for p in parsed]
         return [1.0 if rates[c] >= 0.1 * most or most * totals[c] < 3 else max(2.0, min(4.0, self.automata[script][c].phrases(f" {word} "))) for c in by]
 
-    def judge(self, text: str) -> tuple[str | None, str | None, float, int]:
-        """script, language, confidence and number of words of one sentence."""
+    def judge(self, text: str, words: list[str] | None = None) -> tuple[str | None, str | None, float, int]:
+        """script, language, confidence and number of words of one sentence; a language that needs twice the phrases of another is no rival."""
         script = script_of(text)
         if script is None:
             return None, None, 0.0, 0
-        words = WORDS(text.lower())
+        words = words or words_of(text)
         languages = SCRIPTS[script]
         if len(languages) == 1:
             return script, languages[0], 1.0, len(words)
-        total = sum(map(self.values[script].__getitem__, words))
-        scores = [(total >> (SHIFT * i)) & ((1 << SHIFT) - 1) for i in range(len(languages))]
+        said = [w for w in words if not w[0].isdigit()]
+        scores: list[float] = []
+        most = math.inf
+        for a, m in zip(self.runs[script], self.missing[script], strict=True):
+            scores.append(a.cross_parse(said, m, most))
+            most = min(most, 2 * scores[-1] + 1e-9)
         order = sorted(range(len(scores)), key=scores.__getitem__)  # ties: the first language
         first, second = scores[order[0]], scores[order[1]]
         return script, languages[order[0]], 1 - first / second if second else 0.0, len(words)
 
 
-class _Values(dict):
-    """Phrases of words in quarters, the languages of a script side by side in one integer."""
+class _Missing(dict):
+    """Phrases of words that the text of a language lacks."""
 
-    def __init__(self, model: Model, script: str):
+    def __init__(self, model: Model, script: str, place: int):
         super().__init__()
-        self.model, self.script = model, script
+        self.model, self.script, self.place = model, script, place
 
-    def __missing__(self, word: str) -> int:
+    def __missing__(self, word: str) -> float:
         if len(self) > 500_000:
             self.clear()
-        self[word] = packed = sum(round(4 * p) << (SHIFT * i) for i, p in enumerate(self.model.word(self.script, word)))
-        return packed
+        self[word] = phrases = self.model.word(self.script, word)[self.place]
+        return phrases
 
 
 class _Other(dict):
@@ -204,7 +258,7 @@ class _Other(dict):
         if len(self) > 500_000:
             self.clear()
         phrases = self.model.word(self.script, word)
-        self[word] = out = int(min(phrases[1:]) < phrases[0])
+        self[word] = out = min(phrases[1:]) < phrases[0] and any(n[word] for n in self.model.counts[self.script].values())
         return out
 
 
@@ -214,10 +268,10 @@ def segments_of(model: Model, text: str, least_words: int = 3) -> list[tuple[str
     Sentences of fewer than `least_words` words, or without a clear winner, go with their
     neighbours of the same script, or with those before them.
     """
-    if text.isascii():  # without as many words for another language as a sentence has, it is in the first
-        words = WORDS(text.lower())
-        if len(words) >= least_words and sum(map(model.other.__getitem__, words)) < least_words:
-            _, language, sure, _ = model.judge(text)
+    if text.isascii():  # without a word for another language no sentence is in one
+        words = words_of(text)
+        if len(words) >= least_words and not any(map(model.other.__getitem__, words)):
+            _, language, sure, _ = model.judge(text, words)
             if language == SCRIPTS["latin"][0]:
                 return [(language, len(text), min(1.0, 0.5 + sure))]
     judged = [(p, *model.judge(p)) for p in pieces_of(text)]
@@ -280,7 +334,7 @@ def normal_label(label) -> F.Column:
 def fit(blocks: DataFrame, columns: DataFrame | None = None, sample_rows: int = SAMPLE_ROWS) -> Model:
     """The model from a bounded sample of labelled rows: about `sample_rows` a label of each table, by hash."""
     sentences: list[tuple[str, str]] = []
-    for df, key, text in ((blocks, "block_id", "text"), (columns, "column_id", "name")):
+    for df, key, text in ((columns, "column_id", "name"), (blocks, "block_id", "text")):  # names first: they are few different ones
         if df is None:
             continue
         labels = df.groupBy("language").count().select("language", normal_label(F.col("language")).alias("label"), "count")
@@ -291,7 +345,7 @@ def fit(blocks: DataFrame, columns: DataFrame | None = None, sample_rows: int =
         take = F.lit(False)
         for label, n in sorted(counts.items()):
             take = take | (F.col("language").isin(*[r.language for r in spelled if r.label == label]) & (F.pmod(F.xxhash64(key, F.lit(11)), F.lit(1_000_000)) < int(1_000_000 * min(1.0, sample_rows / n))))
-        picked = df.where(take & (F.length(text) < 20_000)).select(normal_label(F.col("language")).alias("label"), F.col(key).alias("key"), F.col(text).alias("text"))
+        picked = df.where(take & F.col(text).isNotNull()).select(normal_label(F.col("language")).alias("label"), F.col(key).alias("key"), F.col(text).alias("text"))
         sample = picked.orderBy("key", "text").collect()  # at most about five times sample_rows
         for r in sample:
             sentences += [(r.label, piece) for piece in (pieces_of(r.text) if text == "text" else [r.text])]
@@ -314,15 +368,14 @@ def block_languages(blocks: DataFrame, headers: DataFrame, model) -> DataFrame:
     """`block_id`, `doc_key`, `stored`, `language`, `confidence`, `segments` of each block with running text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        judge, seen = model.value, set()  # a block's rows meet in one partition: those that tie are dropped here
+        judge = model.value
         kind = pa.list_(pa.struct([("language", pa.string()), ("chars", pa.int64()), ("confidence", pa.float64())]))
         for batch in batches:
             out: dict[str, list] = {"block_id": [], "doc_key": [], "stored": [], "language": [], "confidence": [], "segments": []}
             for i, doc, stored, text, headed in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                runs = segments_of(judge, running_text(text, bool(headed))) if i not in seen else None
+                runs = segments_of(judge, running_text(text, bool(headed)))
                 if not runs:
                     continue
-                seen.add(i)
                 names = {r[0] for r in runs}
                 out["block_id"].append(i)
                 out["doc_key"].append(doc)
@@ -335,7 +388,7 @@ def block_languages(blocks: DataFrame, headers: DataFrame, model) -> DataFrame:
     kind = blocks.schema["block_id"].dataType.simpleString()
     facts = newest_times(blocks, "block_id").join(headers.select("block_id", F.lit(True).alias("headed")), "block_id", "left")
     rows = newest_rows(blocks, "block_id", ["doc_key", "language", "text"], facts).where("text IS NOT NULL")
-    return rows.select("block_id", "doc_key", normal_label(F.col("language")).alias("stored"), "text", "headed").mapInArrow(run, f"block_id {kind}, doc_key string, stored string, language string, confidence double, segments array<struct<language: string, chars: bigint, confidence: double>>")
+    return rows.select("block_id", "doc_key", normal_label(F.col("language")).alias("stored"), "text", "headed").mapInArrow(run, f"block_id {kind}, doc_key string, stored string, language string, confidence double, segments array<struct<language: string, chars: bigint, confidence: double>>").dropDuplicates(["block_id"])  # rows that tie
 
 
 def column_languages(columns: DataFrame, model) -> DataFrame:

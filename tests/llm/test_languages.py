@@ -1,3 +1,5 @@
+from itertools import product
+
 import pytest
 from hypothesis import given
 from hypothesis import strategies as st
@@ -71,3 +73,20 @@ def test_headers(spark):
     t = spark.createDataFrame([("one", "Welfare spending near Narkera")], "doc_key string, title string")
     got = {r.block_id for r in pages.header_lines(b, t).collect()}
     assert got == {d * 100 + p * 10 for d in range(6) for p in range(1, 5)} | {900}
+
+
+def test_cross_parse_takes_the_longest_runs():
+    text = "a b c d a b e".split()
+    automaton = languages.Automaton(text)
+    runs = {tuple(text[i:j]) for i in range(len(text)) for j in range(i + 1, len(text) + 1)}
+
+    def brute(words):
+        count, at = 0, 0
+        while at < len(words):
+            n = max((n for n in range(1, len(words) - at + 1) if tuple(words[at : at + n]) in runs), default=0)
+            count, at = (count + 1, at + n) if n else (count + 3, at + 1)
+        return count
+
+    for words in product("abcdex", repeat=5):
+        assert automaton.cross_parse(list(words), {"x": 3}) == brute(list(words))
+    assert automaton.cross_parse(["x"] * 9, {"x": 3}, most=6) == 6
