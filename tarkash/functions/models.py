@@ -43,6 +43,13 @@ def embed(rows: DataFrame, key: str, text: str, dimensions: int = DIMENSIONS) ->
     return rows.select(key, text).mapInArrow(run, f"`{key}` {dict(rows.dtypes)[key]}, vector array<float>")
 
 
+def letter_vector(text: Column) -> Column:
+    """How often each of a to z occurs in a text, as a vector, without leaving the JVM; NULL for texts without any."""
+    low = F.lower(text)
+    counts = F.transform(F.lit(list("abcdefghijklmnopqrstuvwxyz")), lambda c: (F.length(low) - F.length(F.replace(low, c, F.lit("")))).cast("double"))
+    return F.when(low.rlike("[a-z]"), counts)
+
+
 def overlap_logit(query: str, text: Column) -> Column:
     """A reranker's logit from the share of the query's words that the text has; NULL for NULL texts."""
     words = sorted(set(_WORD.findall(query.lower())))

@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tarkash.functions.text import sigmoid
+from tarkash.sources.tables import checkpoint
 
 WEIGHTS = {"dense": 1.0, "keyword": 0.7, "entity": 0.5, "dense_answer": 0.7}
 ORDER = ("dense", "entity", "keyword", "dense_answer")
@@ -31,10 +32,14 @@ def ranked(rows: DataFrame, k: int, *order: Column) -> DataFrame:
     return rows.orderBy(*order).limit(k).withColumn("rank", F.row_number().over(Window.orderBy(*order)))
 
 
-def dense_topk(rows: DataFrame, key: str, vector: str, query: list[float], k: int) -> DataFrame:
-    """The k rows of greatest cosine with the query vector; rows without a vector are left out, ties go to the smaller key."""
+def dense_topk(rows: DataFrame, key: str, vector: str, query: list[float], k: int, distinct: bool = False) -> DataFrame:
+    """The k rows of greatest cosine with the query vector; rows without a vector are left out, ties go to the smaller key.
+
+    With `distinct` a repeated key counts once; it is dropped when the vectors are gone.
+    """
     q = F.lit([float(x) for x in query])
     scored = rows.where(F.col(vector).isNotNull()).withColumn("score", F.round(cosine(F.col(vector), q), 6)).drop(vector).where("score IS NOT NULL")
+    scored = scored.dropDuplicates([key]) if distinct else scored
     return ranked(scored, k, F.desc("score"), F.asc(key))
 
 
@@ -47,16 +52,40 @@ def _count(words: Column, term: str) -> Column:
     return F.size(F.filter(words, lambda w: w == term))
 
 
+def postings(rows: DataFrame, key: str, text: str) -> DataFrame:
+    """An inverted index, made once for all queries: `term`, `key`, `tf`, `length` (words of the row), for `search`.
+
+    Rows without words have one posting of the empty term, so that the index also holds how
+    many rows there are. Write it partitioned or sorted by term, and a query reads its terms.
+    """
+    words = rows.where(F.col(text).isNotNull()).select(F.col(key).alias("key"), terms_of(F.col(text)).alias("w"))
+    listed = words.select("key", F.size("w").alias("length"), F.explode(F.concat(F.array(F.lit("")), F.col("w"))).alias("term"))
+    return listed.groupBy("term", "key", "length").agg(F.count("*").cast("int").alias("tf")).select("term", "key", "tf", "length")
+
+
+def search(index: DataFrame, terms: list[str], k: int, k1: float = 1.2, b: float = 0.75) -> DataFrame:
+    """`key`, `score`, `rank`: the k rows of greatest BM25 for the terms, from an index of `postings`; only the terms' postings are read."""
+    corpus = index.where("term = ''").agg(F.count("*").alias("n"), F.avg("length").alias("mean"))
+    hit = index.where(F.col("term").isin(*terms) if terms else F.lit(False))
+    spread = hit.groupBy("term").agg(F.count("*").alias("df"))
+    idf = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
+    weights = spread.crossJoin(F.broadcast(corpus)).select("term", idf.alias("idf"), "mean")  # a row a term
+    part = F.col("idf") * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("length") / F.col("mean")))
+    scored = hit.join(F.broadcast(weights), "term").groupBy("key").agg(F.round(F.sum(part), 6).alias("score"))
+    return ranked(scored, k, F.desc("score"), F.asc("key"))
+
+
 def lexical_topk(rows: DataFrame, key: str, text: str, terms: list[str], k: int, k1: float = 1.2, b: float = 0.75) -> DataFrame:
     """The k rows of greatest BM25 for the query terms; rows with none of them are left out.
 
-    Counts of the query terms are columns of the scan, the corpus statistics one row; there
-    is no shuffle of words.
+    For a single query, without an index: counts of the query terms are columns of the scan,
+    kept for the rows that have any, and the corpus statistics one row; no word is shuffled.
     """
     if not terms:
         return ranked(rows.limit(0).withColumn("score", F.lit(0.0)), k, F.asc(key))
     words = rows.where(F.col(text).isNotNull()).withColumn("_w", terms_of(F.col(text)))
-    counted = words.select(*rows.columns, F.size("_w").alias("_len"), *[_count(F.col("_w"), t).alias(f"_tf{i}") for i, t in enumerate(terms)]).drop(text)
+    counted = words.select(*[c for c in rows.columns if c != text], F.size("_w").alias("_len"), *[_count(F.col("_w"), t).alias(f"_tf{i}") for i, t in enumerate(terms)])
+    counted = checkpoint(counted)  # a few numbers a row; read for the statistics and for the scores
     stats = counted.agg(F.count("*").alias("_n"), F.avg("_len").alias("_avg"), *[F.count_if(F.col(f"_tf{i}") > 0).alias(f"_df{i}") for i in range(len(terms))])
     joined = counted.crossJoin(F.broadcast(stats))  # one row
     parts = []

@@ -6,9 +6,6 @@ swapped (`Snapshots`), so a lost task or a repeated run leaves a whole state beh
 
 from __future__ import annotations
 
-import os
-from pathlib import Path
-
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -67,26 +64,28 @@ def sessions(events: DataFrame, key: str, at: str, kind: str, gap_seconds: int)
 class Snapshots:
     """A table kept as numbered Parquet snapshots with a pointer to the current one.
 
-    The folder must be on storage that all executors share.
+    The folder may be on any file system that Spark reads; the pointer is a file whose name
+    holds the number, so that a snapshot is current once that name is there.
     """
 
     def __init__(self, spark: SparkSession, folder: str):
-        self.spark, self.folder = spark, Path(folder)
+        self.spark, self.folder = spark, folder
+        jvm = spark.sparkContext._jvm
+        self._path = jvm.org.apache.hadoop.fs.Path
+        self._fs = self._path(folder).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
 
     def version(self) -> int | None:
-        pointer = self.folder / "CURRENT"
-        return int(pointer.read_text()) if pointer.exists() else None
+        found = self._fs.globStatus(self._path(f"{self.folder}/CURRENT-*")) or []
+        return max((int(f.getPath().getName().rsplit("-", 1)[1]) for f in found), default=None)
 
     def read(self) -> DataFrame | None:
         """The current state, None before the first write."""
         v = self.version()
-        return None if v is None else self.spark.read.parquet(str(self.folder / f"v{v}"))
+        return None if v is None else self.spark.read.parquet(f"{self.folder}/v{v}")
 
     def write(self, rows: DataFrame) -> int:
-        """Writes the next snapshot, then swaps the pointer in one rename."""
+        """Writes the next snapshot, then makes it current by creating its pointer."""
         v = (self.version() or 0) + 1
-        rows.write.mode("overwrite").parquet(str(self.folder / f"v{v}"))
-        fresh = self.folder / "CURRENT.next"
-        fresh.write_text(str(v))
-        os.replace(fresh, self.folder / "CURRENT")
+        rows.write.mode("overwrite").parquet(f"{self.folder}/v{v}")
+        self._fs.create(self._path(f"{self.folder}/CURRENT-{v}"), False).close()
         return v

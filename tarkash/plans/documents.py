@@ -65,16 +65,16 @@ SQL["document_context"] = "WITH t AS (SELECT doc_key, string_agg(coalesce(role,
 
 
 def votes_latest(spark, sf_dir):
-    """The last vote of each user on each part that was shipped to them; votes on others do not count."""
-    votes = read_table(spark, sf_dir, "events").where("event_type IN ('click', 'view', 'error')").select("event_id", "user_id", (F.col("event_id") % 200 + 1).alias("part"), "event_type", "ts")
-    lines, orders = read_table(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey"), read_table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey")
-    shown = lines.where("l_partkey <= 200").join(orders, F.col("l_orderkey") == F.col("o_orderkey")).select(F.col("l_partkey").alias("part"), (F.col("o_custkey") % 150).alias("user_id")).distinct()
-    valid = votes.join(shown, ["part", "user_id"], "left_semi")
-    last = valid.groupBy("user_id", "part").agg(F.max_by(F.struct("event_id", "event_type"), F.struct("ts", "event_id")).alias("v"))
-    return last.select("user_id", "part", "v.event_id", F.col("v.event_type").alias("verdict"))
+    """The last vote of each user on each customer; votes on customers without an order do not count."""
+    votes = read_table(spark, sf_dir, "events").where("event_type IN ('click', 'view', 'error')").select("event_id", "user_id", (F.col("event_id") % (F.col("user_id") + 7)).alias("customer"), "event_type", "ts")
+    customers, orders = read_table(spark, sf_dir, "customer").select("c_custkey"), read_table(spark, sf_dir, "orders").select("o_custkey").distinct()
+    shown = customers.join(orders, F.col("c_custkey") == F.col("o_custkey"), "left_semi").select(F.col("c_custkey").alias("customer"))
+    valid = votes.join(shown, "customer", "left_semi")
+    last = valid.groupBy("user_id", "customer").agg(F.max_by(F.struct("event_id", "event_type"), F.struct("ts", "event_id")).alias("v"))
+    return last.select("user_id", "customer", "v.event_id", F.col("v.event_type").alias("verdict"))
 
 
-SQL["votes_latest"] = "WITH v AS (SELECT event_id, user_id, event_id % 200 + 1 AS part, event_type, ts FROM events WHERE event_type IN ('click', 'view', 'error')), s AS (SELECT DISTINCT l_partkey AS part, o_custkey % 150 AS user_id FROM lineitem JOIN orders ON l_orderkey = o_orderkey WHERE l_partkey <= 200) SELECT user_id, part, arg_max(event_id, (ts, event_id)) AS event_id, arg_max(event_type, (ts, event_id)) AS verdict FROM v WHERE EXISTS (SELECT 1 FROM s WHERE s.part = v.part AND s.user_id = v.user_id) GROUP BY 1, 2"
+SQL["votes_latest"] = "WITH v AS (SELECT event_id, user_id, event_id % (user_id + 7) AS customer, event_type, ts FROM events WHERE event_type IN ('click', 'view', 'error')) SELECT user_id, customer, arg_max(event_id, (ts, event_id)) AS event_id, arg_max(event_type, (ts, event_id)) AS verdict FROM v WHERE EXISTS (SELECT 1 FROM customer JOIN orders ON o_custkey = c_custkey WHERE c_custkey = v.customer) GROUP BY 1, 2"
 
 
 def resumable_run(spark, sf_dir):

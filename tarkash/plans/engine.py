@@ -64,11 +64,11 @@ def answer(spark: SparkSession, sf_dir: str, question: str = QUESTION, options:
     blank question has no answers.
     """
     docs = read_table(spark, sf_dir, "parsed").dropDuplicates(["doc_key"]).select("doc_key", "session", "house", "subject", "reply_date")
-    subs = read_table(spark, sf_dir, "sub_questions").dropDuplicates(["sub_question_id"]).select("sub_question_id", "doc_key", "question_text", "answer_group_id").join(docs, "doc_key")
-    names = dictionary.build(docs.select("doc_key", F.regexp_extract("subject", r"(?:in|at|below|near|to|of) ([A-Z][a-z]+)", 1).alias("name")), "name", "place", F.col("doc_key"))
+    subs = read_table(spark, sf_dir, "sub_questions").select("sub_question_id", "doc_key", "question_text", "answer_group_id").dropDuplicates(["sub_question_id"]).join(docs, "doc_key")
+    names = dictionary.build(docs.select("doc_key", F.regexp_extract("subject", r"(?:in|at|below|near|to|of) ([A-Z][a-z]+(?:[ -][A-Z][A-Za-z]*)*)", 1).alias("name")), "name", "place", F.col("doc_key"))
     plain, entities = canonical(spark, question, names)
-    vectors = models.embed(subs, "sub_question_id", "question_text")
-    linked = dictionary.match(subs, "sub_question_id", "question_text", names, 1) if entities else subs.select("sub_question_id", F.lit("").alias("entity_id"))
+    vectors = checkpoint(models.embed(subs, "sub_question_id", "question_text"))  # made once, for both tries; a corpus keeps them
+    linked = dictionary.match(subs, "sub_question_id", "question_text", names) if entities else subs.select("sub_question_id", F.lit("").alias("entity_id"))
     fused = checkpoint(retrieval.fuse(_lists(subs, vectors, linked, plain, entities, options)))  # read by the test for widening and after
     if retrieval.fusion_stats(fused).first().widen:
         o = replace(options, dense=options.dense * options.widen, keyword=options.keyword * options.widen, entity=options.entity * options.widen, house=None, session=None)

@@ -121,8 +121,8 @@ SQL["self_join_parent"] = f"WITH d AS (SELECT *, lag(doc_key) OVER (PARTITION BY
 def anti_repoint(spark, sf_dir):
     """Orders that could move to the survivor of their customer's nation and segment unless it has one of that priority."""
     customer, orders = read_table(spark, sf_dir, "customer"), read_table(spark, sf_dir, "orders")
-    best = Window.partitionBy("c_nationkey", "c_mktsegment")
-    kept = customer.select("c_custkey", F.min("c_custkey").over(best).alias("survivor"))
+    first = customer.groupBy("c_nationkey", "c_mktsegment").agg(F.min("c_custkey").alias("survivor"))  # a row a group
+    kept = customer.join(first, ["c_nationkey", "c_mktsegment"]).select("c_custkey", "survivor")
     moves = orders.join(kept, orders.o_custkey == kept.c_custkey).where("c_custkey <> survivor").select("o_orderkey", "survivor", "o_orderpriority")
     owned = orders.select(F.col("o_custkey").alias("survivor"), "o_orderpriority").distinct()
     return moves.join(owned, ["survivor", "o_orderpriority"], "left_anti").select("o_orderkey", "survivor")
@@ -198,9 +198,9 @@ SQL["soft_delete_log"] = f"SELECT session, page_count IS DISTINCT FROM 1 AS acti
 
 def null_backfill(spark, sf_dir):
     """The next known subject in reading order for documents that lack one."""
-    w = Window.partitionBy("session", "house").orderBy("doc_key").rowsBetween(1, Window.unboundedFollowing)
-    docs = _docs(spark, sf_dir)
-    return docs.select("doc_key", F.coalesce("subject", F.first("subject", ignorenulls=True).over(w)).alias("subject"))
+    w = Window.partitionBy("session", "house").orderBy(F.desc("doc_key")).rowsBetween(Window.unboundedPreceding, -1)  # a running frame, worked out once
+    docs = _docs(spark, sf_dir).select("doc_key", "session", "house", "subject")
+    return docs.select("doc_key", F.coalesce("subject", F.last("subject", ignorenulls=True).over(w)).alias("subject"))
 
 
 SQL["null_backfill"] = f"SELECT doc_key, coalesce(subject, first_value(subject IGNORE NULLS) OVER (PARTITION BY session, house ORDER BY doc_key ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING)) AS subject FROM {DOCS}"
@@ -234,19 +234,35 @@ SQL["stitch_rows"] = f"SELECT doc_key, page, island::BIGINT AS island, count(*)
 
 def jaccard_groups(spark, sf_dir):
     """Mean Jaccard similarity of the flags of documents that share a reply date, and whether all are equal."""
-    docs = _docs(spark, sf_dir).where("reply_date IS NOT NULL").select("doc_key", "reply_date", F.array_distinct("extraction_flags").alias("f"))
-    a, b = docs.alias("a"), docs.alias("b")
-    pairs = a.join(b, (F.col("a.reply_date") == F.col("b.reply_date")) & (F.col("a.doc_key") < F.col("b.doc_key")))
+    docs = _docs(spark, sf_dir).where("reply_date IS NOT NULL").select("reply_date", F.array_sort(F.array_distinct("extraction_flags")).alias("f"))
+    sets = docs.groupBy("reply_date", "f").agg(F.count("*").alias("n"))  # equal sets once; pairs of different ones are weighted by their counts
+    a, b = sets.alias("a"), sets.alias("b")
+    different = a.join(b, (F.col("a.reply_date") == F.col("b.reply_date")) & (F.col("a.f") < F.col("b.f")))
     both, either = F.size(F.array_intersect("a.f", "b.f")), F.size(F.array_union("a.f", "b.f"))
-    j = F.when(either == 0, 1.0).otherwise(both / F.greatest(either, F.lit(1)))
-    return pairs.select(F.col("a.reply_date").alias("reply_date"), j.alias("j")).groupBy("reply_date").agg(F.round(F.avg("j"), 6).alias("mean_jaccard"), F.bool_and(F.col("j") == 1).alias("same"))
+    apart = different.select(F.col("a.reply_date").alias("reply_date"), (both / F.greatest(either, F.lit(1))).alias("j"), (F.col("a.n") * F.col("b.n")).alias("w"))
+    equal = sets.where("n > 1").select("reply_date", F.lit(1.0).alias("j"), (F.col("n") * (F.col("n") - 1) / 2).cast("bigint").alias("w"))
+    return apart.unionByName(equal).groupBy("reply_date").agg(F.round(F.sum(F.col("j") * F.col("w")) / F.sum("w"), 6).alias("mean_jaccard"), F.bool_and(F.col("j") == 1).alias("same"))
 
 
 SQL["jaccard_groups"] = "WITH d AS (SELECT DISTINCT doc_key, reply_date, list_sort(list_distinct(extraction_flags)) AS f FROM parsed WHERE reply_date IS NOT NULL), p AS (SELECT a.reply_date, CASE WHEN len(list_distinct(a.f || b.f)) = 0 THEN 1.0 ELSE len(list_intersect(a.f, b.f))::DOUBLE / len(list_distinct(a.f || b.f)) END AS j FROM d a JOIN d b ON a.reply_date = b.reply_date AND a.doc_key < b.doc_key) SELECT reply_date, round(avg(j), 6) AS mean_jaccard, bool_and(j = 1) AS same FROM p GROUP BY 1"
 
 
 def value_percentiles(spark, sf_dir):
-    return read_table(spark, sf_dir, "events").groupBy("event_type").agg(F.count("*").alias("n"), F.round(F.median("value"), 6).alias("p50"), F.round(F.percentile("value", 0.95), 6).alias("p95"))
+    """Exact percentiles of each kind: values are counted, and the two around each percentile found in the running count of slices of the values."""
+    counts = read_table(spark, sf_dir, "events").where("value IS NOT NULL").groupBy("event_type", "value").agg(F.count("*").alias("c"))
+    edges = counts.select("event_type", "value", "c", F.floor(F.col("value") * 4).alias("slice"))
+    slices = edges.groupBy("event_type", "slice").agg(F.sum("c").alias("in_slice"))
+    before = slices.withColumn("before", F.sum("in_slice").over(Window.partitionBy("event_type").orderBy("slice")) - F.col("in_slice")).withColumn("n", F.sum("in_slice").over(Window.partitionBy("event_type")))  # a row a slice
+    upto = F.sum("c").over(Window.partitionBy("event_type", "slice").orderBy("value")) + F.col("before")
+    ranked = edges.join(before.drop("in_slice"), ["event_type", "slice"]).select("event_type", "value", "n", (upto - F.col("c")).alias("lo"), upto.alias("hi"))
+    parts = []
+    for name, p in (("p50", 0.5), ("p95", 0.95)):
+        at = (F.col("n") - 1) * p
+        holds = lambda r: F.max(F.when((F.col("lo") <= r) & (r < F.col("hi")), F.col("value")))
+        low, high = holds(F.floor(at)), holds(F.ceil(at))
+        parts.append(F.round(low + (high - low) * F.max(at - F.floor(at)), 6).alias(name))
+    counted = read_table(spark, sf_dir, "events").groupBy("event_type").agg(F.count("*").alias("n"))
+    return counted.join(ranked.groupBy("event_type").agg(*parts), "event_type", "left").select("event_type", "n", "p50", "p95")
 
 
 SQL["value_percentiles"] = "SELECT event_type, count(*) AS n, round(median(value), 6) AS p50, round(quantile_cont(value, 0.95), 6) AS p95 FROM events GROUP BY 1"

@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from tarkash.functions import models
 from tarkash.operators import retrieval as R
 from tarkash.sources import read_table
+from tarkash.sources.tables import checkpoint
 
 TERMS = ["tunnel", "compensation", "water", "villages"]
 ENTITIES = ["tunnel", "project", "dam", "villages", "district", "reservoir", "station"]
@@ -83,7 +87,7 @@ SQL["lexical_topk"] = "SELECT * FROM " + _bm25("documents", "doc_id", "source",
 
 
 def _links(subs: DataFrame) -> DataFrame:
-    words = F.array_distinct(R.terms_of(F.col("question_text")))
+    words = F.array_intersect(R.terms_of(F.col("question_text")), F.lit(ENTITIES))  # only words of the query leave the scan
     return subs.select(F.col("sub_question_id").alias("item"), "doc_key", F.explode(words).alias("entity"))
 
 
@@ -91,6 +95,38 @@ LINKS = f"(SELECT DISTINCT sub_question_id AS item, doc_key, unnest(regexp_extra
 IN_ENTITIES = "entity IN (" + ", ".join(f"'{e}'" for e in ENTITIES) + ")"
 
 
+def lexical_index(spark, sf_dir):
+    """The same list by way of an inverted index, which a corpus keeps for all its queries."""
+    index = R.postings(read_table(spark, sf_dir, "documents"), "doc_id", "text")
+    return R.search(index, TERMS, 30).select(F.col("key").alias("doc_id"), "score", "rank")
+
+
+SQL["lexical_index"] = "SELECT doc_id, score, rank FROM " + _bm25("documents", "doc_id", "source", 30)
+
+
+def dense_answer_topk(spark, sf_dir):
+    """Answers nearest to the answer of the first sub-question, by the vectors of their letters, with all sub-questions that share them: by distance, then id.
+
+    Answers without letters have no vector. The list is cut to 30 answers before it is expanded.
+    """
+    subs = read_table(spark, sf_dir, "sub_questions").select("sub_question_id", "doc_key", "answer_group_id", "answer_text").dropDuplicates(["sub_question_id"])
+    answers = subs.groupBy("answer_group_id").agg(F.min_by("answer_text", "sub_question_id").alias("answer_text"))
+    vectors = checkpoint(answers.select("answer_group_id", models.letter_vector(F.col("answer_text")).alias("vector")).where("vector IS NOT NULL"))
+    query = vectors.agg(F.min_by("vector", "answer_group_id")).first()[0]  # one vector
+    if query is None:
+        return subs.limit(0).select("sub_question_id", "doc_key", "answer_group_id", F.lit(0.0).alias("score"), F.lit(0).alias("rank"))
+    top = R.dense_topk(vectors, "answer_group_id", "vector", query, 30).select("answer_group_id", "score")
+    shown = subs.join(F.broadcast(top), "answer_group_id").select("sub_question_id", "doc_key", "answer_group_id", "score")
+    return shown.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("score"), "sub_question_id")))  # what 30 answers expand to
+
+
+LETTERS = "list_transform(string_split('abcdefghijklmnopqrstuvwxyz', ''), lambda c: (length(answer_text) - length(replace(lower(answer_text), c, '')))::DOUBLE)"
+SQL["dense_answer_topk"] = f"""WITH a AS (SELECT answer_group_id, arg_min(answer_text, sub_question_id) AS answer_text FROM (SELECT DISTINCT sub_question_id, answer_group_id, answer_text FROM sub_questions) GROUP BY 1),
+v AS (SELECT answer_group_id, {LETTERS} AS v FROM a WHERE regexp_matches(lower(answer_text), '[a-z]')), q AS (SELECT arg_min(v, answer_group_id) AS q FROM v),
+t AS (SELECT answer_group_id, round(list_cosine_similarity(v, q), 6) AS score FROM v, q ORDER BY 2 DESC, 1 LIMIT 30)
+SELECT s.sub_question_id, s.doc_key, s.answer_group_id, score, row_number() OVER (ORDER BY score DESC, s.sub_question_id) AS rank FROM (SELECT DISTINCT sub_question_id, doc_key, answer_group_id FROM sub_questions) s JOIN t USING (answer_group_id)"""
+
+
 def entity_hits(spark, sf_dir):
     return R.entity_topk(_links(_subs(spark, sf_dir)), ENTITIES, 30).select("item", "doc_key", "score", "rank")
 
@@ -102,13 +138,19 @@ KEYWORD_LIST = "(SELECT sub_question_id AS item, doc_key, rank FROM " + _bm25(f"
 
 
 def _lists(spark, sf_dir) -> dict[str, DataFrame]:
-    subs = _subs(spark, sf_dir)
+    """Ranked lists of a query, each bounded and written once, as several steps read them. Reloads are dropped after scoring, when rows are narrow."""
+    rows = read_table(spark, sf_dir, "sub_questions")
     item = F.col("sub_question_id").alias("item")
-    return {
-        "dense": R.dense_topk(subs.select("sub_question_id", "doc_key", "embedding"), "sub_question_id", "embedding", _seed(spark, sf_dir), 50).select(item, "doc_key", "rank"),
+    subs = rows.select("sub_question_id", "doc_key", "question_text").dropDuplicates(["sub_question_id"])
+    vectors = rows.select("sub_question_id", "doc_key", "embedding").where("embedding IS NOT NULL")
+    lists = {
+        "dense": R.dense_topk(vectors, "sub_question_id", "embedding", _seed(spark, sf_dir), 50, distinct=True).select(item, "doc_key", "rank"),
         "entity": R.entity_topk(_links(subs), ENTITIES, 30).select("item", "doc_key", "rank"),
         "keyword": R.lexical_topk(subs.select("sub_question_id", "doc_key", "question_text"), "sub_question_id", "question_text", TERMS, 30).select(item, "doc_key", "rank"),
     }
+    whole = reduce(DataFrame.unionByName, [d.select(F.lit(name).alias("list"), "item", "doc_key", "rank") for name, d in lists.items()])
+    whole = checkpoint(whole)  # at most k rows a list
+    return {name: whole.where(F.col("list") == name).drop("list") for name in lists}
 
 
 HITS = f"""hits AS (SELECT 'dense' AS retriever, 0 AS place, 1.0::DOUBLE / (60 + rank) AS add, * FROM {DENSE_LIST}

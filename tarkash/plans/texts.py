@@ -91,8 +91,8 @@ SQL["reply_dates"] = "SELECT doc_key, CASE WHEN abs(year(d) - left(session, 4)::
 
 def dated_references(spark, sf_dir):
     """The first date that follows a date word in a document, with no session to check it against."""
-    rows = read_table(spark, sf_dir, "documents").where(F.col("text").rlike(r"(?i)\bdated\s"))
-    return rows.select("doc_id", T.anchored_date(F.col("text"), F.lit(None).cast("int")).alias("first_date"))
+    rows = read_table(spark, sf_dir, "documents").where("text IS NOT NULL")
+    return rows.select("doc_id", T.anchored_date(F.col("text"), F.lit(None).cast("int")).alias("first_date")).where("first_date IS NOT NULL")
 
 
 def annexure_mentions(spark, sf_dir):
