@@ -64,3 +64,34 @@ def abbreviations(rows: DataFrame, text: str) -> DataFrame:
     last = parts.select("abbreviation", F.slice("w", F.greatest(F.lit(1), F.size("w") - F.length("abbreviation") + 1), F.length("abbreviation")).alias("w"))
     initials = F.array_join(F.transform("w", lambda w: F.substring(w, 1, 1)), "")
     return last.where(initials == F.col("abbreviation")).select("abbreviation", F.array_join("w", " ").alias("full")).groupBy("abbreviation", "full").agg(F.count("*").alias("n"))
+
+
+def longest_hits(rows: DataFrame, key: str, text: str, names: DataFrame, name: str, most_words: int = 4) -> DataFrame:
+    """`key`, `hit`: the names that a text holds as whole words, without those that another hit of the text contains."""
+    words = rows.where(F.col(text).isNotNull()).select(F.col(key).alias("_k"), words_of(F.col(text)).alias("w")).where(F.size("w") > 0)
+    runs = F.flatten(F.transform(F.sequence(F.lit(1), F.lit(most_words)), lambda n: F.transform(F.filter(F.sequence(F.lit(0), F.size("w") - 1), lambda i: i + n <= F.size("w")), lambda i: F.array_join(F.slice("w", i + 1, n), " "))))
+    found = words.select("_k", F.explode(F.array_distinct(runs)).alias("hit")).join(names.select(F.col(name).alias("hit")).distinct(), "hit")
+    listed = found.groupBy("_k").agg(F.collect_set("hit").alias("h"))  # the names of one text
+    kept = F.filter("h", lambda x: ~F.exists("h", lambda y: (y != x) & y.contains(x)))
+    return listed.select(F.col("_k").alias(key), F.explode(kept).alias("hit"))
+
+
+def canonical(rows: DataFrame, key: str, text: str, dictionary: DataFrame) -> DataFrame:
+    """`key`, `text`: the normalised words of a text with each alias that `match` finds replaced by its entity's id."""
+    found = match(rows, key, text, dictionary).groupBy(F.col(key).alias("_k")).agg(F.collect_list(F.struct("at", F.size(F.split("alias", " ")).alias("n"), "entity_id")).alias("m"))  # spans of one row's text
+    words = rows.where(F.col(text).isNotNull()).select(F.col(key).alias("_k"), words_of(F.col(text)).alias("w")).join(found, "_k", "left")
+    at = lambda i: F.get(F.filter("m", lambda x: (x["at"] <= i) & (i < x["at"] + x["n"])), F.lit(0))
+    word = F.transform("w", lambda w, i: F.when(at(i).isNull(), w).when(at(i)["at"] == i, at(i)["entity_id"]))
+    return words.select(F.col("_k").alias(key), F.array_join(F.filter(word, lambda w: w.isNotNull()), " ").alias("text"))
+
+
+def settle(rows: DataFrame, entity: str, name: str, confidence: str, review: str) -> DataFrame:
+    """One row an entity: the smallest name that claimed it, the best confidence (high, medium, low) ever given, and a review only if every load asks for one."""
+    rank = F.when(F.col(confidence) == "high", 3).when(F.col(confidence) == "medium", 2).when(F.col(confidence) == "low", 1).otherwise(0)
+    best = rows.groupBy(entity).agg(F.min(name).alias(name), F.max(rank).alias("_c"), F.bool_and(review).alias(review))
+    return best.select(entity, name, F.when(F.col("_c") > 0, F.get(F.lit(["low", "medium", "high"]), F.col("_c") - 1)).alias(confidence), review)
+
+
+def seeds(values: DataFrame, column: str, kind: str) -> DataFrame:
+    """`entity_id`, `kind`, `alias` of a list of known names, each once; blank ones are left out."""
+    return build(values.select(column).distinct(), column, kind, F.col(column))

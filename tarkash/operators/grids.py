@@ -70,3 +70,50 @@ def expand_merged(cells: Column, rows: Column, columns: Column) -> Column:
     """A grid from cells (struct r0, r1, c0, c1, text; ends exclusive): each covers its whole area, the first wins."""
     at = lambda r, c: F.get(F.filter(cells, lambda x: (x["r0"] <= r) & (r < x["r1"]) & (x["c0"] <= c) & (c < x["c1"])), F.lit(0))["text"]
     return F.transform(F.sequence(F.lit(0), rows - 1), lambda r: F.transform(F.sequence(F.lit(0), columns - 1), lambda c: F.coalesce(at(r, c), F.lit(""))))
+
+
+def merge_header(grid: Column) -> Column:
+    """A header of two rows as one: where the second row has a blank first cell and no number, its cells are added to those above."""
+
+    def run(g: Column) -> Column:
+        second = F.get(g, F.lit(1))
+        below = (F.get(second, F.lit(0)) == "") & F.exists(second, lambda c: c != "") & ~F.exists(second, lambda c: c.rlike("[0-9]"))
+        both = F.transform(F.get(g, F.lit(0)), lambda c, i: F.trim(F.concat_ws(" ", F.nullif(c, F.lit("")), F.nullif(F.get(second, i), F.lit("")))))
+        return F.when((F.size(g) > 2) & below, F.concat(F.array(both), F.slice(g, 3, F.greatest(F.size(g) - 2, F.lit(0))))).otherwise(g)
+
+    return bind(grid, run)
+
+
+def merge_split_columns(grid: Column) -> Column:
+    """A column without a name, none of whose cells stands beside a filled cell on its left, is the left column's other half."""
+
+    def run(g: Column) -> Column:
+        header = F.get(g, F.lit(0))
+        half = lambda i: (i > 0) & (F.get(header, i) == "") & F.forall(g, lambda r: (F.get(r, i) == "") | (F.get(r, i - 1) == ""))
+        places = F.sequence(F.lit(0), F.greatest(F.size(header) - 1, F.lit(0)))
+        halves = F.transform(places, half)
+        cell = lambda r, i: F.when(F.get(halves, i + 1), F.concat(F.get(r, i), F.get(r, i + 1))).otherwise(F.get(r, i))
+        return bind(F.filter(places, lambda i: ~F.get(halves, i)), lambda kept: F.transform(g, lambda r: F.transform(kept, lambda i: F.coalesce(cell(r, i), F.lit("")))))
+
+    return bind(grid, run)
+
+
+def orientation(grid: Column) -> Column:
+    """`transposed` where a long title fills the header, or the first column numbers attributes or holds text; else `rows`."""
+
+    def run(g: Column) -> Column:
+        header = F.filter(F.get(g, F.lit(0)), lambda c: F.trim(c) != "")
+        same = F.array_max(F.transform(header, lambda c: F.when(F.length(c) > 30, F.size(F.filter(header, lambda x: x == c))).otherwise(0)))
+        first = F.transform(F.slice(g, 2, F.greatest(F.size(g) - 1, F.lit(0))), lambda r: F.trim(F.coalesce(F.get(r, F.lit(0)), F.lit(""))))
+        n = F.size(first)
+        numbered = F.size(F.filter(first, lambda c: c.rlike(r"^[0-9]+[.)]?\s+[A-Za-z]")))
+        wordy = F.size(F.filter(first, lambda c: (c != "") & F.regexp_replace(c, "[,%()]", "").try_cast("double").isNull()))
+        small = (F.size(g) < 3) | (F.size(F.get(g, F.lit(0))) < 3)
+        return F.when(small, "rows").when((F.size(header) >= 3) & (same >= F.greatest(F.lit(3.0), 0.6 * F.size(header))), "transposed").when((numbered >= F.greatest(F.lit(3.0), 0.5 * n)) | (wordy >= F.greatest(F.lit(3.0), 0.7 * n)), "transposed").otherwise("rows")
+
+    return bind(grid, run)
+
+
+def is_answer(roles: Column, rows: Column, cells: Column, prose: Column) -> Column:
+    """Whether a table is the answer: a column of entities, two rows or more, and three tenths as many characters as the prose beside it."""
+    return F.exists(roles, lambda r: r.isin("project_name", "location", "status")) & (rows >= 2) & (cells >= 0.3 * F.greatest(F.lit(1), prose))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 TABLE = "struct<table_id:string,caption:string,table_role:string,answer_is_table:boolean,columns:array<struct<name:string,role:string,language:string>>,rows:array<struct<row_id:string,cells:map<string,string>,row_language:string,nl_rendering:string,entities:array<string>>>,stitched_across_pages:boolean,extraction_confidence:string>"
@@ -51,10 +51,19 @@ def flatten(docs: DataFrame) -> dict[str, DataFrame]:
     }
 
 
-def nest(docs: DataFrame, subs: DataFrame, groups: DataFrame) -> DataFrame:
-    """Documents with their sub-questions and answer groups as arrays, in order of their ids."""
+def from_lines(rows: DataFrame, column: str) -> DataFrame:
+    """Documents from JSON text, one a row, with their `doc_key`; text that is no document is left out."""
+    docs = rows.select(F.from_json(column, SCHEMA).alias("d")).where("d.question_id IS NOT NULL").select("d.*")
+    return docs.withColumn("doc_key", F.concat_ws("/", "session", "house", "question_id"))
+
+
+def nest(docs: DataFrame, subs: DataFrame, groups: DataFrame, more: dict[str, Column] | None = None) -> DataFrame:
+    """Documents with their sub-questions and answer groups (and `more` fields of these) as arrays, in order of their ids.
+
+    For output only: a stored document is one row, however many parts it has.
+    """
     s = subs.groupBy("doc_key").agg(F.array_sort(F.collect_list(F.struct(F.col("sub_question_local").alias("sub_question_id"), "part_label", "question_text", "question_language", F.substring_index("answer_group_id", "#", -1).alias("answer_group_id"), "annexure_refs"))).alias("sub_questions"))
-    g = groups.groupBy("doc_key").agg(F.array_sort(F.collect_list(F.struct(F.col("answer_group_local").alias("answer_group_id"), "answers_parts", "answer_type", "answer_language", "answer_is_table", "confidence"))).alias("answer_groups"))
+    g = groups.groupBy("doc_key").agg(F.array_sort(F.collect_list(F.struct(F.col("answer_group_local").alias("answer_group_id"), "answers_parts", "answer_type", "answer_language", "answer_is_table", "confidence", *[c.alias(n) for n, c in (more or {}).items()]))).alias("answer_groups"))
     return docs.join(s, "doc_key", "left").join(g, "doc_key", "left")
 
 
