@@ -16,7 +16,11 @@ ANSWER_MARK = r"(?i)\b(?:comment|answer|reply)\b\s*[:.-]"
 LETTER_MARK = r"(?i)\bsir\s*,|\bdear\s+sir\b|\byours\s+faithfully\b|\bcovering\s+letter\b|\bkind\s+attention\b"
 BELOW = r"(?i)\b(?:given|shown|tabulated|detailed|as)\s+(?:here)?(?:below|under)\b|\bas\s+follows\b|\bfollowing\s+(?:table|details)\b"
 MAIL_HEADERS = ("from", "to", "cc", "subject", "sent")
-REVIEW_FLAGS = ("scanned_no_text", "no_answer_found", "low_confidence_pairing", "annexure_missing", "multiple_replies", "date_missing")
+REVIEW_FLAGS = (
+    "no_answer_file", "empty_or_unreadable", "schema_validation_failed", "low_confidence_pair", "no_pairs_extracted", "format_converted", "ocr_used", "phase1_flagged", "qa_table_columns_inferred", "table_alignment_uncertain",
+    "ambiguous_latest_reply", "answer_from_all_versions_fallback", "pdfplumber_fallback", "ocr_unavailable", "format_conversion_unavailable", "read_error", "email_wrapper_reply_may_be_attachment", "qa_table_row_stitched", "table_wrapped_rows_stitched",
+    "empty_answer_after_recovery", "answer_in_annexure_not_present", "covering_letter_format", "no_diary_number_found", "annexure_match_ambiguous", "table_group_uncertain", "qa_count_mismatch", "group_link_broken", "llm_crosscheck_disagree", "annexure_ref_unresolved",
+)
 ENTITY_KINDS = ("project", "state", "scheme", "organization")
 NOT_ENTITIES = ("hydro projects", "power station", "under construction", "power project", "hydro project", "hydroelectric project", "projects")
 REPLY_FOLDERS = ("reply", "replies", "answer", "answers", "final reply")

@@ -97,6 +97,13 @@ def reply_parts(spark, sf_dir):
     return made.select("sub_question_id", "n", F.col("part.label").alias("label"), F.col("part.body").alias("body"))
 
 
+MARK = r"\(\s*(?:[a-z]|[ivx]{1,4})\s*\)"
+BLANK = "regexp_replace(body, '[ \\t\\n\\x0B\\f\\r,&]|and|to', '', 'g') = ''"
+SQL["reply_parts"] = f"""WITH p AS (SELECT sub_question_id, regexp_extract_all(answer_text, '\\(\\s*([a-z]|[ivx]{{1,4}})\\s*\\)', 1) AS m, string_split_regex(answer_text, '{MARK}') AS b FROM (SELECT DISTINCT sub_question_id, answer_text FROM sub_questions WHERE answer_text IS NOT NULL)),
+r AS (SELECT sub_question_id, i, CASE WHEN i > 1 THEN m[i - 1] END AS label, trim(regexp_replace(b[i], '[ \\t\\n\\x0B\\f\\r]+', ' ', 'g')) AS body FROM (SELECT *, unnest(range(1, len(b) + 1)) AS i FROM p)), k AS (SELECT * FROM r WHERE label IS NOT NULL OR body <> '')
+SELECT sub_question_id, (row_number() OVER w - 1)::INT AS n, label, coalesce(first_value(CASE WHEN NOT {BLANK} THEN body END IGNORE NULLS) OVER (PARTITION BY sub_question_id ORDER BY i ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING), body) AS body FROM k WINDOW w AS (PARTITION BY sub_question_id ORDER BY i)"""
+
+
 def shared_parts(spark, sf_dir):
     """Parts of a document numbered by the answer whose wording they share."""
     parts = _subs(spark, sf_dir).select("doc_key", F.col("sub_question_id").alias("label"), F.lit(None).cast("int").alias("first"), F.lit(None).cast("int").alias("last"), F.col("answer_text").alias("body"))
@@ -134,6 +141,13 @@ def latest_files(spark, sf_dir):
     return files.latest(rows, ["session", "house"], "name", "modified").select("session", "house", "name", "score", "ties")
 
 
+_LOW = "lower(name)"
+SQL["latest_files"] = f"""WITH f AS (SELECT *, CASE WHEN regexp_matches({_LOW}, '\\b(reply|answer|ans|response)\\b') THEN 3 ELSE 0 END - CASE WHEN regexp_matches({_LOW}, '\\b(covering\\s*letter|forwarding|note|briefing|minutes|agenda|index|email|corrigendum)\\b') THEN 3 ELSE 0 END + CASE WHEN regexp_matches({_LOW}, '\\bapproved\\b') THEN 40 WHEN regexp_matches({_LOW}, '\\bfinal\\b') THEN 30 WHEN regexp_matches({_LOW}, '\\brevised') THEN 20 WHEN regexp_matches({_LOW}, '\\bdraft\\b') THEN -10 ELSE 0 END AS score
+ FROM (SELECT DISTINCT doc_key, session, house, file_metadata.original_filename AS name, file_metadata.last_modified AS m FROM parsed) WHERE NOT regexp_matches(name, '^(\\.|~\\$)|\\.(tmp|lnk|download|db|ini)$')),
+ r AS (SELECT *, row_number() OVER (PARTITION BY session, house ORDER BY score DESC, coalesce(m, TIMESTAMP '1970-01-01') DESC, {_LOW} LIKE '%.pdf' DESC, name DESC) AS k, count(*) OVER (PARTITION BY session, house, score, m) - 1 AS ties FROM f)
+ SELECT session, house, name, score, ties FROM r WHERE k = 1"""
+
+
 def stream_sessions(spark, sf_dir):
     rows = streams.drain(streams.debounce(streams.read_events(spark, sf_dir), "6 hours"), streams.shared_folder(spark, "sessions"))
     return rows.select("user_id", F.col("start").cast("timestamp_ntz").alias("start"), "events", "last_kind")
@@ -151,7 +165,7 @@ SQL["stream_windows"] = "SELECT start, event_type, count(*) AS events, round(sum
 
 
 def queries():
-    return {name: globals()[name] for name in SQL} | {"reply_parts": reply_parts, "latest_files": latest_files}
+    return {name: globals()[name] for name in SQL}
 
 
 def oracle_sql():
