@@ -61,10 +61,20 @@ def opening_lines(blocks: DataFrame) -> DataFrame:
 
     kinds = dict(blocks.dtypes)
     line = F.when(F.col("text").startswith("\n") | F.col("text").startswith("\r"), F.regexp_replace("text", r"^\s+", "")).otherwise(F.ltrim("text"))
-    rows = blocks.where("text IS NOT NULL AND doc_key IS NOT NULL").select("block_id", "doc_key", "page", F.substring_index(line, "\n", 1).alias("text")).where(F.length("text") <= 130)
+    rows = blocks.where("text IS NOT NULL AND doc_key IS NOT NULL").select("block_id", "doc_key", "page", F.substring_index(line, "\n", 1).alias("text")).where((F.length("text") <= 130) & ~F.col("text").rlike(r"(?:[।?!,;:]|[^\s]\.)\s*$"))  # what `opening_line` would refuse
     return rows.mapInArrow(run, f"block_id {kinds['block_id']}, doc_key string, page {kinds['page']}, key string")
 
 
+def _folded(titles: DataFrame) -> DataFrame:
+    """`doc_key`, `title`: the titles by class of confusion."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(map(folded, batch.column(1).to_pylist()), pa.string())], names=["doc_key", "title"])
+
+    return titles.mapInArrow(run, "doc_key string, title string")
+
+
 def _shaped(lines: DataFrame, common: frozenset) -> DataFrame:
     """`lines` with `shape`, the key with runs of other than common words as _."""
 
@@ -94,8 +104,7 @@ def header_lines(blocks: DataFrame, titles: DataFrame, *, least_pages: int = 2,
     pages = blocks.where("doc_key IS NOT NULL").groupBy("doc_key").agg(F.countDistinct("page").alias("pages"))
     often = lines.groupBy("doc_key", "key").agg(F.countDistinct("page").alias("n")).where(F.col("n") >= least_pages)
     strong = often.join(pages, "doc_key").where(F.col("n") >= least_share * F.col("pages")).groupBy("doc_key").agg(F.collect_set("key").alias("marks"))  # at most 1 / least_share keys a page
-    fold = F.udf(folded, "string")
-    known = titles.where("doc_key IS NOT NULL AND title IS NOT NULL").select("doc_key", "title").distinct().groupBy("doc_key").agg(F.collect_set(fold("title")).alias("titles"))
+    known = _folded(titles.where("doc_key IS NOT NULL AND title IS NOT NULL").select("doc_key", "title").distinct()).groupBy("doc_key").agg(F.collect_set("title").alias("titles"))
     documents = pages.join(strong, "doc_key", "left").join(known, "doc_key", "left")
     none = F.array().cast("array<string>")
     documents = documents.select("doc_key", "pages", F.array_except(F.coalesce("marks", none), F.coalesce("titles", none)).alias("marks"), F.coalesce("titles", none).alias("titles"))

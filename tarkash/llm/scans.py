@@ -24,7 +24,7 @@ from typing import NamedTuple
 
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tarkash.llm.pages import BESIDE, NUMBER_LINE
@@ -92,7 +92,7 @@ def confused(true: str, seen: str, most: int = 2) -> tuple[str, ...] | None:
 
 
 def pair_key(before: str, word: str) -> int:
-    """64 bits that stand for two words in a row."""
+    """64 bits that stand for two words in a row, or for one word (`before` empty)."""
     h = xxhash.xxh3_64_intdigest(f"{before} {word}")
     return h - (1 << 64) if h >> 63 else h
 
@@ -100,18 +100,22 @@ def pair_key(before: str, word: str) -> int:
 class Known(NamedTuple):
     """What a block has to know of the corpus."""
 
-    counts: dict  # words, and pairs of neighbours by their key
+    counts: dict  # of words, and of words and pairs of neighbours by their key
     total: float
     options: dict  # doubtful words: their candidates with the log chance of each to be seen as the word
     odd: frozenset  # words with characters that words do not have
 
     def single(self, word: str) -> float:
         """Log likelihood of a word on its own."""
-        return math.log((self.counts.get(word, 0) + 0.02) / (self.total + 1))
+        return math.log((self.count(word) + 0.02) / (self.total + 1))
+
+    def count(self, word: str) -> int:
+        n = self.counts.get(word)
+        return self.counts.get(pair_key("", word), 0) if n is None else n
 
     def after(self, before: str, word: str) -> float:
         """Log likelihood of a word after another; what a doubtful word stands beside is no evidence for it."""
-        n = 0 if before in self.options or word in self.options else self.counts.get(before, 0)
+        n = 0 if before in self.options or word in self.options else self.count(before)
         pair = self.counts.get(pair_key(before, word), 0) / n if n else 0.0
         return math.log(0.5 * pair + 0.5 * math.exp(self.single(word)))
 
@@ -133,16 +137,15 @@ class Known(NamedTuple):
                 best = {c: max((s + p + self.after(b, c), [*path, c]) for b, (s, path) in best.items()) for c, p in o}
         return max(best.values())[1]
 
-    def around(self, tokens: list[str]) -> tuple[set[str], set[int]]:
-        """The words and the keys of pairs whose counts `line` asks for."""
-        out: set[str] = set()
+    def around(self, tokens: list[str]) -> set[int]:
+        """The keys of words and pairs whose counts `line` asks for."""
         keys: set[int] = set()
         for a, b in zip(["", *tokens], tokens, strict=False):
             if a in self.options or b in self.options:
                 left, right = ([c for c, _ in self.options.get(x, ((x, 0.0),))] for x in (a, b))
-                out.update(left, right)
+                keys.update(pair_key("", x) for x in (*left, *right) if x and x not in self.counts)
                 keys.update(pair_key(x, y) for x in left if x for y in right)
-        return out - {""}, keys
+        return keys
 
 
 def ends_split(line: str) -> bool:
@@ -251,7 +254,7 @@ def repair(text: str, page: int | None, headed: bool, known: Known) -> tuple[str
 
 
 def term_counts(texts: DataFrame, pairs: bool, most: int = 800_000) -> DataFrame:
-    """`term`, `pair`, `n`: how often each word (lower case, without marks at its edges) and, if `pairs`, each pair of neighbours (by its key) occurs in column `text`; the empty term has the number of all words."""
+    """`term`, `pair` (a key), `n`: how often each word (lower case, without marks at its edges) and, if `pairs`, each pair of neighbours (term NULL) occurs in column `text`; the empty term has the number of all words."""
 
     def out(words: Counter, twos: Counter) -> pa.RecordBatch:
         bare = {w: w.strip(EDGES) for w in words}
@@ -260,7 +263,7 @@ def term_counts(texts: DataFrame, pairs: bool, most: int = 800_000) -> DataFrame
             terms[bare[w]] += n
         terms[""] = sum(words.values())
         keys = [pair_key(bare[a], bare[b]) for a, b in twos]
-        return pa.RecordBatch.from_arrays([pa.array([*terms, *[None] * len(keys)], pa.string()), pa.array([*[None] * len(terms), *keys], pa.int64()), pa.array([*terms.values(), *twos.values()], pa.int64())], names=["term", "pair", "n"])
+        return pa.RecordBatch.from_arrays([pa.array([*terms, *[None] * len(keys)], pa.string()), pa.array([*(pair_key("", t) for t in terms), *keys], pa.int64()), pa.array([*terms.values(), *twos.values()], pa.int64())], names=["term", "pair", "n"])
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words: Counter = Counter()
@@ -303,21 +306,24 @@ def _aligned(pairs: DataFrame) -> DataFrame:
     return pairs.mapInArrow(run, ", ".join(f"{c} {t}" for c, t in pairs.dtypes) + ", ops array<string>")
 
 
+def is_odd(word, clean) -> Column:
+    """Whether a word holds characters that words and numbers do not have."""
+    strange = word.rlike(r"[†¦]|[a-z]\||\|[a-z]|^(?:\d+[bolisg]\d+$|\d{2,}[bolis]$|[bolis]\d{2,}$)") | ((clean < CLEAN) & word.rlike(r"[a-z][|†¦0-9!][a-z]"))
+    return strange & ~word.contains("/") & ~word.contains("@")
+
+
 def doubtful_words(words: DataFrame) -> DataFrame:
-    """`word`, `n`, `odd`, `options` (other, m, ops) of the words that may be misread, from `word`, `n`, `clean` and `scanned` counts.
+    """`word`, `options` (other, m, ops) of the words that may be misread, from `word`, `n`, `clean` and `scanned` counts.
 
     Candidates are `RATIO` times as frequent and one or two confusions away; where one
     confusion explains the word, those of two are left out.
     """
-    plain = F.col("word").rlike(r"[†¦]|[a-z]\||\|[a-z]|^(?:\d+[bolisg]\d+$|\d{2,}[bolis]$|[bolis]\d{2,}$)") | ((F.col("clean") < CLEAN) & F.col("word").rlike(r"[a-z][|†¦0-9!][a-z]"))
-    odd = words.where((F.col("scanned") > 0) & plain & ~F.col("word").contains("/") & ~F.col("word").contains("@")).select("word", "n", F.lit(True).alias("odd"))
     word = F.col("word")
     asks = words.where((F.col("scanned") > 0) & (F.col("clean") < CLEAN) & ((F.length(word) > 2) | ((F.length(word) == 2) & ~word.rlike(r"^\p{L}+$"))) & word.rlike(r"\p{L}")).select("word", "n")
     gives = words.where(F.col("n") > RATIO).select(F.col("word").alias("other"), F.col("n").alias("m"))  # no word is rarer than once
     met = _keyed(asks, "word").join(_keyed(gives, "other"), "key").where((F.col("m") > RATIO * F.col("n")) & (F.col("word") != F.col("other"))).select("word", "n", "other", "m").distinct()
-    found = _aligned(met).groupBy("word", "n").agg(F.collect_list(F.struct("other", "m", "ops")).alias("o"), F.min(F.size("ops")).alias("least"))
-    options = found.select("word", "n", F.filter("o", lambda x: F.size(x["ops"]) == F.col("least")).alias("options"))
-    return odd.join(options, ["word", "n"], "full").select("word", "n", F.coalesce("odd", F.lit(False)).alias("odd"), F.coalesce("options", F.array().cast("array<struct<other:string,m:bigint,ops:array<string>>>")).alias("options"))
+    found = _aligned(met).groupBy("word").agg(F.collect_list(F.struct("other", "m", "ops")).alias("o"), F.min(F.size("ops")).alias("least"))
+    return found.select("word", F.filter("o", lambda x: F.size(x["ops"]) == F.col("least")).alias("options"))
 
 
 def channel(doubtful: DataFrame, words: DataFrame) -> dict[str, float]:
@@ -370,33 +376,28 @@ def _known(facts: list | None, around: list | None, total: float, chances: dict[
         if f["options"]:
             counts |= {o["other"]: o["m"] for o in f["options"]}
             options[f["term"]] = tuple(sorted((o["other"], sum(map(chances.__getitem__, o["ops"]))) for o in f["options"]))
-    counts |= {x["pair"] if x["term"] is None else x["term"]: x["n"] for x in around or ()}
+    counts |= {x["pair"]: x["n"] for x in around or ()}
     return Known(counts, total, options, frozenset(odd))
 
 
 def _around(rows: DataFrame, model) -> DataFrame:
-    """`n`, `term`, `pair`: the counts that blocks with doubtful words ask for."""
+    """`n`, `pair`: the counts, by key, that blocks with doubtful words ask for."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids, terms, keys = [], [], []
+            ids, keys = [], []
             for i, text, page, headed, facts in zip(*(batch.column(c).to_pylist() for c in ("n", "text", "page", "headed", "facts")), strict=True):
                 known = _known(facts, None, *model.value)
-                wanted: set[str] = set()
-                pairs: set[int] = set()
+                wanted: set[int] = set()
                 for line in split_words(body_of(text, page, headed)[0], known.counts)[0]:
                     tokens = [w.strip(EDGES) for w in line.lower().split()]
                     if not known.options.keys().isdisjoint(tokens):
-                        more = known.around(tokens)
-                        wanted |= more[0]
-                        pairs |= more[1]
-                wanted -= known.counts.keys()
-                ids += [i] * (len(wanted) + len(pairs))
-                terms += [*wanted, *[None] * len(pairs)]
-                keys += [*[None] * len(wanted), *pairs]
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(terms, pa.string()), pa.array(keys, pa.int64())], names=["n", "term", "pair"])
+                        wanted |= known.around(tokens)
+                ids += [i] * len(wanted)
+                keys += wanted
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(keys, pa.int64())], names=["n", "pair"])
 
-    return rows.select("n", "text", "page", "headed", "facts").mapInArrow(run, "n bigint, term string, pair bigint")
+    return rows.select("n", "text", "page", "headed", "facts").mapInArrow(run, "n bigint, pair bigint")
 
 
 def _repaired(rows: DataFrame, model, texts: bool) -> DataFrame:
@@ -426,30 +427,29 @@ def _rows(blocks: DataFrame, routes: DataFrame, headers: DataFrame) -> DataFrame
 
 
 def _read(blocks: DataFrame, routes: DataFrame, headers: DataFrame, texts: bool = True) -> tuple[DataFrame, DataFrame]:
-    """The blocks on scanned pages (newest rows, numbered n) and what is read in them: `n`, `repaired` (if `texts`), `defects`; without texts only of blocks that have any."""
+    """The blocks on scanned pages (`n` stands for their id) and what is read in them: `n`, `repaired` (if `texts`), `defects`; without texts only of blocks that have any."""
     spark = blocks.sparkSession
-    rows = stored(_rows(blocks, routes, headers).withColumn("n", F.monotonically_increasing_id()))
+    whole_numbers = blocks.schema["block_id"].dataType.simpleString() in ("bigint", "int", "smallint")
+    rows = stored(_rows(blocks, routes, headers).withColumn("n", F.col("block_id").cast("bigint") if whole_numbers else F.xxhash64("block_id")))
     whole = term_counts(spread(blocks.where("text IS NOT NULL").select("block_id", "text"), "block_id"), pairs=True)
     dim = term_counts(rows, pairs=False).where("term <> ''").select("term", F.col("n").alias("dim"))
-    counts = stored(whole.where("pair IS NULL OR n > 1"))  # a pair seen once is no evidence
+    counts = stored(whole.where("term IS NOT NULL OR n > 1"))  # a pair seen once is no evidence
     total = float(counts.where("term = ''").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0])  # one number
     words = counts.where("term <> ''").join(dim, "term", "left").select(F.col("term").alias("word"), "n", F.coalesce("dim", F.lit(0)).alias("scanned"), (F.col("n") - F.coalesce("dim", F.lit(0))).alias("clean"))
     words = checkpoint(words)
     doubtful = checkpoint(doubtful_words(words))
     model = spark.sparkContext.broadcast((total, channel(doubtful, words)))
-    usual = words.where(F.col("n") >= USUAL * total).select("word").join(doubtful.select("word"), "word", "left_anti").collect()  # at most 1 / USUAL words
+    told = words.join(doubtful, "word", "left").select(F.col("word").alias("term"), "n", ((F.col("scanned") > 0) & is_odd(F.col("word"), F.col("clean"))).alias("odd"), "options")
+    usual = told.where((F.col("n") >= USUAL * total) & ~F.col("odd") & F.col("options").isNull()).select("term").collect()  # at most 1 / USUAL words
     scanned = rows.where("scanned AND newest").select("n", "text", "page", "headed")
-    asks = stored(_postings(scanned, spark.sparkContext.broadcast(frozenset(r.word for r in usual))))
-    told = words.select(F.col("word").alias("term"), "n").join(doubtful.select(F.col("word").alias("term"), "odd", "options"), "term", "left")
-    met = asks.where("use <> 'defect'").join(told, "term").where("use = 'half' OR odd OR size(options) > 0")
+    asks = stored(_postings(scanned, spark.sparkContext.broadcast(frozenset(r.term for r in usual))))
+    met = asks.where("use <> 'defect'").join(told, "term").where("use = 'half' OR odd OR options IS NOT NULL")
     word = F.col("use") == "word"
     facts = met.select(F.explode("blocks").alias("n_"), F.struct("term", "n", F.when(word, F.col("odd")).alias("odd"), F.when(word, F.col("options")).alias("options")).alias("f"))
     facts = checkpoint(facts.groupBy(F.col("n_").alias("n")).agg(F.collect_list("f").alias("facts")))  # a block's words
     asking = scanned.join(facts, "n", "left" if texts else "inner")
-    wanted = checkpoint(_around(asking.where("exists(facts, f -> size(f.options) > 0)"), model))
-    one = wanted.where("pair IS NULL").join(words.select(F.col("word").alias("term"), F.col("n").alias("m")), "term").select("n", "term", F.lit(None).cast("bigint").alias("pair"), "m")
-    two = wanted.where("pair IS NOT NULL").drop("term").join(counts.where("pair IS NOT NULL").select("pair", F.col("n").alias("m")), "pair").select("n", F.lit(None).cast("string").alias("term"), "pair", "m")
-    around = one.unionByName(two).groupBy("n").agg(F.collect_list(F.struct("term", "pair", F.col("m").alias("n"))).alias("around"))
+    wanted = _around(asking.where("exists(facts, f -> size(f.options) > 0)"), model)
+    around = wanted.join(counts.select("pair", F.col("n").alias("m")), "pair").groupBy("n").agg(F.collect_list(F.struct("pair", F.col("m").alias("n"))).alias("around"))
     read = _repaired(asking.join(around, "n", "left"), model, texts)
     if texts:
         return rows, read
@@ -465,7 +465,10 @@ def scan_defects(blocks: DataFrame, routes: DataFrame, headers: DataFrame) -> Da
     """
     rows, read = _read(blocks, routes, headers, texts=False)
     found = read.where(F.size("defects") > 0).select("n", F.explode("defects").alias("defect"))
-    return rows.select("n", "block_id").join(found, "n").select("block_id", "defect").distinct()
+    kind = blocks.schema["block_id"].dataType.simpleString()
+    if kind in ("bigint", "int", "smallint"):
+        return found.select(F.col("n").cast(kind).alias("block_id"), "defect").distinct()
+    return rows.select("n", "block_id").distinct().join(found, "n").select("block_id", "defect").distinct()
 
 
 _CLOSED, _GOES_ON = re.compile(r"[.।?!:]\W*$"), re.compile(r"[a-zß-öø-ÿ]|[ऀ-৿]")
