@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 
 from tarkash.llm.pages import BESIDE, NUMBER_LINE
 from tarkash.llm.similar import WORDS
-from tarkash.sources.tables import checkpoint, newest_per_key, newest_rows, newest_times
+from tarkash.sources.tables import checkpoint, newest_per_key, newest_rows
 
 SAMPLE_ROWS = 4000
 #: Of the sample, the words of text and the letters of vocabulary (frequent words first) that a language's automata hold.
@@ -40,7 +40,7 @@ MISSING = ("", "und", "unknown", "none", "null")
 UNITS = frozenset("crore crores lakh lakhs mw mu km kwh mwh gwh ha rs inr percent per cent cumec metre meter tonne tonnes mt no nos".split())
 PIECES = re.compile(r"(?<=[.।॥?!])[\"'”’)\]]*\s+|\s+/\s+|\n\s*\n")
 ASCII_WORDS = re.compile(r"[a-z0-9]\w*", re.ASCII).findall  # of plain letters the same words, sooner
-DEVANAGARI, BENGALI, LATIN = (re.compile(p) for p in ("[ऀ-ॣ०-ॿ]", "[ঀ-৿]", "[A-Za-zÀ-ɏ]"))
+DEVANAGARI, BENGALI, LATIN = (re.compile(p) for p in ("[ऀ-ॣ०-ॿ]+", "[ঀ-৿]+", "[A-Za-zÀ-ɏ]+"))
 
 
 class Automaton:
@@ -107,7 +107,7 @@ def script_of(text: str) -> str | None:
     """The script of most letters."""
     if text.isascii():
         return "latin" if LATIN.search(text) else None
-    counts = {"devanagari": len(DEVANAGARI.findall(text)), "bengali": len(BENGALI.findall(text)), "latin": len(LATIN.findall(text))}
+    counts = {s: sum(map(len, p.findall(text))) for s, p in (("devanagari", DEVANAGARI), ("bengali", BENGALI), ("latin", LATIN))}
     best = max(counts, key=counts.get)
     return best if counts[best] else None
 
@@ -365,30 +365,33 @@ def running_text(text: str, headed: bool) -> str:
 
 
 def block_languages(blocks: DataFrame, headers: DataFrame, model) -> DataFrame:
-    """`block_id`, `doc_key`, `stored`, `language`, `confidence`, `segments` of each block with running text."""
+    """`block_id`, `doc_key`, `stored`, `language`, `confidence`, `segments`, `again` of each block with running text; where `again`, rows of the block may tie."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         judge = model.value
         kind = pa.list_(pa.struct([("language", pa.string()), ("chars", pa.int64()), ("confidence", pa.float64())]))
         for batch in batches:
-            out: dict[str, list] = {"block_id": [], "doc_key": [], "stored": [], "language": [], "confidence": [], "segments": []}
-            for i, doc, stored, text, headed in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            out: dict[str, list] = {"block_id": [], "doc_key": [], "stored": [], "language": [], "confidence": [], "segments": [], "again": []}
+            for i, doc, stored, text, headed, again in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 runs = segments_of(judge, running_text(text, bool(headed)))
                 if not runs:
                     continue
                 names = {r[0] for r in runs}
                 out["block_id"].append(i)
+                out["again"].append(again)
                 out["doc_key"].append(doc)
                 out["stored"].append(stored)
                 out["language"].append("mixed" if len(names) > 1 else runs[0][0])
                 out["confidence"].append(min(r[2] for r in runs))
                 out["segments"].append([{"language": r[0], "chars": r[1], "confidence": r[2]} for r in runs])
-            yield pa.RecordBatch.from_arrays([pa.array(out["block_id"], batch.schema.field(0).type), pa.array(out["doc_key"], pa.string()), pa.array(out["stored"], pa.string()), pa.array(out["language"], pa.string()), pa.array(out["confidence"], pa.float64()), pa.array(out["segments"], kind)], names=list(out))
+            yield pa.RecordBatch.from_arrays([pa.array(out["block_id"], batch.schema.field(0).type), pa.array(out["doc_key"], pa.string()), pa.array(out["stored"], pa.string()), pa.array(out["language"], pa.string()), pa.array(out["confidence"], pa.float64()), pa.array(out["segments"], kind), pa.array(out["again"], pa.bool_())], names=list(out))
 
     kind = blocks.schema["block_id"].dataType.simpleString()
-    facts = newest_times(blocks, "block_id").join(headers.select("block_id", F.lit(True).alias("headed")), "block_id", "left")
+    at = F.coalesce(F.col("loaded_at").cast("timestamp"), F.timestamp_seconds(F.lit(0)))
+    times = blocks.where("block_id IS NOT NULL").groupBy("block_id").agg(F.max(at).alias("_at"), (F.count("*") > 1).alias("again"))
+    facts = times.join(headers.select("block_id", F.lit(True).alias("headed")), "block_id", "left")
     rows = newest_rows(blocks, "block_id", ["doc_key", "language", "text"], facts).where("text IS NOT NULL")
-    return rows.select("block_id", "doc_key", normal_label(F.col("language")).alias("stored"), "text", "headed").mapInArrow(run, f"block_id {kind}, doc_key string, stored string, language string, confidence double, segments array<struct<language: string, chars: bigint, confidence: double>>").dropDuplicates(["block_id"])  # rows that tie
+    return rows.select("block_id", "doc_key", normal_label(F.col("language")).alias("stored"), "text", "headed", "again").mapInArrow(run, f"block_id {kind}, doc_key string, stored string, language string, confidence double, segments array<struct<language: string, chars: bigint, confidence: double>>, again boolean")
 
 
 def column_languages(columns: DataFrame, model) -> DataFrame:
@@ -416,7 +419,8 @@ def label_languages(blocks: DataFrame, columns: DataFrame, documents: DataFrame,
     confidence is that share.
     """
     model = blocks.sparkSession.sparkContext.broadcast(fit(blocks, columns))
-    found = checkpoint(block_languages(blocks, headers, model))
+    read = checkpoint(block_languages(blocks, headers, model))
+    found = read.where("NOT again").unionByName(read.where("again").dropDuplicates(["block_id"]))
     cast = F.col("block_id").cast("string")
     by_block = found.select(F.lit("block").alias("record_level"), cast.alias("record_id"), "stored", "language", "confidence")
     by_column = column_languages(columns, model).select(F.lit("column").alias("record_level"), F.col("column_id").alias("record_id"), "stored", "language", "confidence")
