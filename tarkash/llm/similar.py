@@ -146,12 +146,20 @@ def _parity(doc: np.ndarray, run: np.ndarray, docs: int) -> np.ndarray:
     return np.packbits(odd.astype(np.uint8), axis=1).view(np.uint64)
 
 
-def _post(key: str, n: int, threshold: float, blocks: int, tile: int, levels):
+def even_keys(spark, parts: int) -> np.ndarray:
+    """For each of `parts` hash partitions an int that falls into it, so that keys taken from them fill the partitions evenly."""
+    place = F.pmod(F.hash(F.col("id").cast("int")), F.lit(parts))
+    found = spark.range(max(1000, 40 * parts)).groupBy(place.alias("p")).agg(F.min("id").alias("k")).collect()  # one row a partition
+    keys = {r.p: r.k for r in found}
+    return np.array([keys.get(p, p) for p in range(parts)], np.int32)
+
+
+def _post(key: str, n: int, threshold: float, keys: np.ndarray, tile: int, levels):
     """Packed postings of each batch: per block the records, their sizes, and their n-grams with positions."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, level_of = _WordHash(), levels.value
-        mask = np.uint64(len(level_of) - 1)
+        mask, blocks = np.uint64(len(level_of) - 1), len(keys)
         for batch in batches:
             ids = batch.column(0).to_numpy(zero_copy_only=False).astype(np.int64)
             doc, run_ = shingle_hashes(_columns(batch, 1), n, known)
@@ -184,7 +192,7 @@ def _post(key: str, n: int, threshold: float, blocks: int, tile: int, levels):
             for b in np.flatnonzero(np.diff(cuts)):
                 lo, hi = cuts[b], cuts[b + 1]
                 own, many = np.unique(doc[lo:hi], return_counts=True)
-                out["block"].append(int(b))
+                out["block"].append(int(keys[b]))
                 out["ids"].append(ids[own].tobytes())
                 out["sizes"].append(sizes[own].astype(np.uint32).tobytes())
                 out["parity"].append(parity[own].tobytes())
@@ -291,8 +299,7 @@ def similar_classes(df: DataFrame, key: str, texts: list[str], *, n: int = 3, th
     members, classes = _classes(df, key, texts, newest)
     own = [f"_t{i}" for i in range(len(texts))]
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), math.ceil(total * (1 - threshold) / block_grams))
-    blocks = 4 * parts  # several a partition, which evens the partitions out
-    post = _post("class", n, threshold, blocks, tile, spark.sparkContext.broadcast(levels))
+    post = _post("class", n, threshold, even_keys(spark, parts), tile, spark.sparkContext.broadcast(levels))
     kept = "block int, ids binary, sizes binary, parity binary, many binary, grams binary, at binary"
     candidates = classes.select("class", *own).mapInArrow(post, kept).repartition(parts, "block").groupBy("block").applyInArrow(_multiply(threshold), "ka bigint, kb bigint").distinct()
     left = classes.select(F.col("class").alias("ka"), *[F.col(o).alias(f"l{o}") for o in own])
