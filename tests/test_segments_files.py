@@ -33,3 +33,21 @@ def test_question_ids(spark):
 def test_latest(spark):
     df = spark.createDataFrame([(1, "draft reply.docx", "2020-01-01"), (1, "final reply.docx", "2020-01-01"), (1, "final reply.pdf", "2020-01-01"), (1, "~$final reply.pdf", "2021-01-01"), (2, "note.docx", None)], "q int, name string, at string").withColumn("at", F.to_timestamp("at"))
     assert {(r.q, r.name, r.ties) for r in files.latest(df, ["q"], "name", "at").collect()} == {(1, "final reply.pdf", 1), (2, "note.docx", 0)}
+
+
+def test_answers_of_replies(spark):
+    texts = [
+        ("Intro (a) when? (b) why? Comment: soon (A) near Answer - rain (c) who? Reply: all",),
+        ("(c) not a start Comment: x (d) y",), ("(b) one Comment:  Reply: two (c) three",), ("no mark",), ("",), (None,),
+    ]
+    got = [r.a for r in spark.createDataFrame(texts, "t string").select(segments.answers_of(F.col("t")).alias("a")).collect()]
+    assert got == [["soon (A) near", "rain", "all"], ["x (d) y"], ["two"], [], [], None]
+
+
+def test_recovered_answers(spark):
+    rows = [
+        ("(a) When  will it end?", "x (a) when will\nit END? Comment: in May (b) why", "in May"), ("When?", "Where? Reply: here", None), ("When?", "when? no mark", None),
+        ("", "Reply: x", None), (None, "Reply: x", None), ("When?", None, None), ("When?", "when? Reply: (b) then", "(b) then"),
+    ]
+    df = spark.createDataFrame(rows, "q string, s string, want string")
+    assert [r.a for r in df.select(segments.recovered(F.col("q"), F.col("s")).alias("a")).collect()] == [r[2] for r in rows]
