@@ -12,8 +12,10 @@ follows from the number of rows (`trees_for`). Rows meet the rows of their level
 a matrix product over vectors of one byte a number; ranges meet over their borders. What
 passes is compared exactly.
 
-The forest finds near neighbours (cosine `NEAR` or more). Rows with fewer than k of these are
-queried a second time, if far neighbours are wanted too: all rows are sorted into the cells of
+The forest finds near neighbours (cosine `NEAR` or more). Rows in a crowd, whose level more than
+`REACH` rows a tree share or which have twice as many near neighbours as wanted, are queried a
+second time, as bytes do not tell these apart; so are rows with fewer than k near neighbours, if
+far ones are wanted too: all rows are sorted into the cells of
 a k-means on a bounded sample, and such a row is compared exactly with all rows of the cells
 nearest to it. How many cells that takes is measured on each input: so many that they hold
 `WANTED` of the true neighbours of a sample of rows, found by comparing it with all rows.
@@ -33,9 +35,11 @@ from pyspark.sql import functions as F
 from tarkash.sources.tables import checkpoint, stored
 
 HASH_BITS = 64
-#: Rows a tree that a row meets at its level, and levels looked at around the usual one.
-ROWS, LEVELS = 1024, 14
-#: Of a prefix that more rows share, a row meets this many on either side in sorted order.
+#: Rows a tree that a row meets at its level.
+ROWS = 1024
+#: Levels looked at, from five above the usual one on: all bits at first, then ever fewer, down to whole strings.
+STEPS = (0, 1, 2, 3, 4, 5, 6, 7, 8, 9, 12, 16, 22, 30, 42, HASH_BITS)
+#: Of a prefix that more rows share, a row meets this many on either side in sorted order, and is queried a second time.
 REACH = 8192
 #: The share of neighbours at `NEAR` that the forest is laid out to find.
 RECALL = 0.98
@@ -110,19 +114,19 @@ def _bits(table: pa.Table) -> np.ndarray:
     return table.column("string").to_numpy().astype(np.int64).view(np.uint64) ^ np.uint64(1 << 63)
 
 
-def _crowds(first: int):
-    """How many rows of a tree share the first `first`, `first` + 1, ... bits with each row."""
+def _crowds(levels: list[int]):
+    """How many rows of a tree share the first bits with each row, for each number of bits in `levels`."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, table in _ranges(batches):
             bits = _bits(table)
             apart = bits[1:] ^ bits[:-1]
             out = [table.column("n").combine_chunks()]
-            for level in range(first, first + LEVELS):
+            for level in levels:
                 new = apart >> np.uint64(HASH_BITS - level) != 0 if level else np.zeros(len(apart), bool)
                 group = np.concatenate(([0], np.cumsum(new)))
                 out.append(pa.array(np.bincount(group)[group].astype(np.int32)))
-            yield pa.RecordBatch.from_arrays(out, names=["n", *(f"s{i}" for i in range(LEVELS))])
+            yield pa.RecordBatch.from_arrays(out, names=["n", *(f"s{i}" for i in range(len(levels)))])
 
     return run
 
@@ -187,20 +191,32 @@ def _over_borders(k: int, floor: float):
     return run
 
 
-def _forest(rows: DataFrame, total: int, k: int, floor: float, trees: int | None, seed: int) -> DataFrame:
-    """`a`, `b` (a < b): candidate pairs of rows (n, v) of one length."""
+ORDER = ("tree", "string", "n")
+
+
+def _ranged(lines: DataFrame, total: int, trees: int) -> DataFrame:
+    """The sorted arrays of all trees, in ranges."""
+    parts = max(int(lines.sparkSession.conf.get("spark.sql.shuffle.partitions")), math.ceil(total * trees / RANGE_ROWS))
+    return lines.repartitionByRange(parts, *ORDER).sortWithinPartitions(*ORDER)
+
+
+def _levels(rows: DataFrame, total: int, trees: int | None, seed: int) -> DataFrame:
+    """`n`, `level`, and whether more than `REACH` rows a tree share that level (`crowded`)."""
+    trees = trees or trees_for(total)
+    levels = sorted({min(HASH_BITS, max(0, int(math.log2(max(1, total / ROWS))) - 5) + step) for step in STEPS})
+    lines = _ranged(rows.mapInArrow(_plant(trees, seed, False), "tree int, string bigint, n bigint"), total, trees)
+    sizes = lines.mapInArrow(_crowds(levels), "n bigint, " + ", ".join(f"s{i} int" for i in range(len(levels))))
+    sums = sizes.groupBy("n").agg(*[F.sum(f"s{i}").alias(f"s{i}") for i in range(len(levels))])
+    chosen = lambda value: reduce(lambda c, i: c.when(F.col(f"s{i}") >= ROWS * trees, value(i)), range(len(levels) - 1, 0, -1), F.when(F.lit(False), value(0))).otherwise(value(0))
+    return checkpoint(sums.select("n", chosen(lambda i: F.lit(levels[i])).alias("level"), (chosen(lambda i: F.col(f"s{i}")) > REACH * trees).alias("crowded")))
+
+
+def _forest(rows: DataFrame, total: int, k: int, floor: float, trees: int | None, seed: int, placed: DataFrame | None = None) -> DataFrame:
+    """`a`, `b` (a < b): candidate pairs of rows (n, v) of one length, whose levels are `placed`."""
     trees = trees or trees_for(total)
-    shuffles = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    parts = max(shuffles, math.ceil(total * trees / RANGE_ROWS))
-    usual = int(math.log2(max(1, total / ROWS)))
-    first = max(0, min(HASH_BITS - LEVELS, usual - 5))
-    order = ("tree", "string", "n")
-    lines = rows.mapInArrow(_plant(trees, seed, False), "tree int, string bigint, n bigint").repartitionByRange(parts, *order).sortWithinPartitions(*order)
-    sizes = lines.mapInArrow(_crowds(first), "n bigint, " + ", ".join(f"s{i} int" for i in range(LEVELS)))
-    sums = sizes.groupBy("n").agg(*[F.sum(f"s{i}").alias(f"s{i}") for i in range(LEVELS)])
-    level = reduce(lambda c, i: c.when(F.col(f"s{i}") >= ROWS * trees, first + i), range(LEVELS - 1, 0, -1), F.when(F.lit(False), 0)).otherwise(first)
-    planted = rows.join(sums.select("n", level.cast("int").alias("level")), "n").select("n", "v", "level")
-    arrays = planted.mapInArrow(_plant(trees, seed, True), "tree int, string bigint, n bigint, level int, packed binary").repartitionByRange(parts, *order).sortWithinPartitions(*order)
+    placed = _levels(rows, total, trees, seed) if placed is None else placed
+    planted = rows.join(placed, "n").select("n", "v", "level")
+    arrays = _ranged(planted.mapInArrow(_plant(trees, seed, True), "tree int, string bigint, n bigint, level int, packed binary"), total, trees)
     met = checkpoint(arrays.mapInArrow(_meet(k, floor, ROWS), "a bigint, b bigint, border bigint, right boolean, packed binary"))
     across = met.where("border IS NOT NULL").groupBy("border").applyInArrow(_over_borders(k, floor), "a bigint, b bigint")  # at most 2 * ROWS rows a border
     both = met.where("border IS NULL").select("a", "b").unionByName(across)
@@ -380,9 +396,9 @@ def _far(rows: DataFrame, asked: DataFrame, k: int, floor: float, seed: int) ->
     return dealt.mapInArrow(_compare(k, centres.shape[1], floor), "a bigint, b bigint, similarity double")
 
 
-def _near(rows: DataFrame, total: int, k: int, floor: float, trees: int | None, seed: int) -> DataFrame:
+def _near(rows: DataFrame, total: int, k: int, floor: float, trees: int | None, seed: int, placed: DataFrame) -> DataFrame:
     """`n`, `other`, `similarity`, both ways: what rows (n, v) of one length find in the forest."""
-    met = _forest(rows, total, k, floor - SLACK, trees, seed)
+    met = _forest(rows, total, k, floor - SLACK, trees, seed, placed)
     both = met.join(rows.select(F.col("n").alias("a"), F.col("v").alias("va")), "a").join(rows.select(F.col("n").alias("b"), F.col("v").alias("vb")), "b")
     links = both.select("a", "b", "va", "vb").mapInArrow(_exact(floor), "a bigint, b bigint, similarity double")
     ways = F.array(F.struct(F.col("a").alias("n"), F.col("b").alias("other"), "similarity"), F.struct(F.col("b").alias("n"), F.col("a").alias("other"), "similarity"))
@@ -393,8 +409,9 @@ def nearest(df: DataFrame, key: str, vector: str, *, k: int = 10, min_similarity
     """`id`, `neighbour`, `similarity`, `rank`: of each key the k other keys of greatest cosine, at or above `min_similarity`.
 
     Where `min_similarity` is below `NEAR`, keys with fewer than k neighbours at `NEAR` are
-    queried a second time among the cells nearest to them (`_far`), about `WANTED` of whose
-    true neighbours these cells hold.
+    queried a second time among the cells nearest to them (`_far`), which hold about `WANTED`
+    of their true neighbours; so are, whatever `min_similarity`, keys in a crowd too dense for the
+    forest: more than `REACH` rows a tree at their level, or 2k neighbours at `NEAR` or more.
     Ties go to the smaller key. Of a repeated key the row loaded last counts; rows whose
     key or vector is NULL, or whose vector is empty, all zero or not finite, take no part.
     Vectors of different lengths are never compared; each length is searched on its own.
@@ -416,15 +433,20 @@ def nearest(df: DataFrame, key: str, vector: str, *, k: int = 10, min_similarity
     found = None
     for d, total in sizes:
         shown = rows.where((F.col("copy") <= k + 1) & (F.size("v") == d)).select("n", "v")
-        ways = _near(shown, total, k, max(min_similarity, NEAR), trees, seed)
-        if min_similarity < NEAR:
-            best = Window.partitionBy("n").orderBy(F.desc("similarity"))
-            ways = checkpoint(ways.withColumn("r", F.rank().over(best)).where(F.col("r") <= k).drop("r"))  # ties stay until the names are known
-            enough = ways.groupBy("n").count().where(F.col("count") >= k).select("n", F.lit(False).alias("wanted"))
+        placed = _levels(shown, total, trees, seed)
+        ways = _near(shown, total, k, max(min_similarity, NEAR), trees, seed, placed)
+        best = Window.partitionBy("n").orderBy(F.desc("similarity"))
+        ways = ways.withColumn("m", F.count("*").over(Window.partitionBy("n"))).withColumn("r", F.rank().over(best)).where(F.col("r") <= k)
+        ways = checkpoint(ways.select("n", "other", "similarity", "m"))  # ties stay until the names are known
+        dense = placed.where("crowded").select("n").unionByName(ways.where(F.col("m") >= 2 * k).select("n")).distinct()
+        if min_similarity < NEAR or not dense.isEmpty():
+            enough = ways.where(F.col("m") >= k).select("n").distinct() if min_similarity < NEAR else shown.select("n")
+            enough = enough.join(dense, "n", "left_anti").withColumn("wanted", F.lit(False))
             asked = shown.join(enough, "n", "left").select("n", "v", F.coalesce("wanted", F.lit(True)).alias("wanted"))
             far = _far(shown, asked, k, min_similarity, seed).withColumnsRenamed({"a": "n", "b": "other"})
             far = far.withColumn("r", F.rank().over(best)).where(F.col("r") <= k).drop("r")
-            ways = ways.unionByName(far).groupBy("n", "other").agg(F.max("similarity").alias("similarity"))
+            ways = ways.drop("m").unionByName(far).groupBy("n", "other").agg(F.max("similarity").alias("similarity"))
+        ways = ways.select("n", "other", "similarity")
         found = ways if found is None else found.unionByName(ways)
     named = found.join(names, "n").join(names.select(F.col("n").alias("other"), F.col("id").alias("neighbour")), "other")
     order = Window.partitionBy("id").orderBy(F.desc("similarity"), "neighbour")

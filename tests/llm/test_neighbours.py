@@ -1,4 +1,5 @@
 import numpy as np
+import pandas as pd
 
 from tarkash.llm import neighbours
 from tarkash.sources import read_table
@@ -87,3 +88,19 @@ def test_rows_meet_over_the_borders_of_ranges(spark, monkeypatch):
     many = {tuple(r) for r in neighbours._forest(rows, len(vectors), 5, 0.9, 3, 7).collect()}
     spark.conf.set("spark.sql.shuffle.partitions", 8)
     assert len(many & one) >= 0.99 * len(one) > 1000
+
+
+def test_dense_crowd(spark):
+    """More vectors about one direction than the forest compares with each other."""
+    rng = np.random.default_rng(3)
+    centre = rng.standard_normal(16)
+    v = (centre / np.linalg.norm(centre) + rng.standard_normal((22_000, 16)) * 0.0025).astype(np.float32)
+    df = spark.createDataFrame(pd.DataFrame({"id": np.arange(len(v)), "v": list(map(np.ndarray.tolist, v))}), "id bigint, v array<float>")
+    found = neighbours.nearest(df, "id", "v", min_similarity=0.9, newest=None).where("id % 200 = 0").toPandas().groupby("id")["neighbour"].agg(set)
+    unit = v.astype(np.float64) / np.linalg.norm(v.astype(np.float64), axis=1, keepdims=True)
+    hits = 0
+    for i in range(0, len(v), 200):
+        score = unit @ unit[i]
+        score[i] = -2
+        hits += len(found[i] & set(np.argpartition(-score, 10)[:10].tolist()))
+    assert hits >= 0.9 * 10 * len(range(0, len(v), 200))
