@@ -3,7 +3,10 @@
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
+from functools import reduce
+from operator import or_
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -22,17 +25,19 @@ BESIDE = rf"(?:(?<=[^\s/])\s{{3,}}\d{{1,5}}\s*$|\s{{2,}}{NUMBER}\s*$|^\s*(?:{NUM
 
 
 _FOLD = str.maketrans(CONFUSED)
-_NUMBERED = re.compile(r"\S*\d[\d/.,-]*\d\S*|\b[sS]?-?\d+\b")
+_NUMBERED = re.compile(r"(?<!\S)\S*\d[\d/.,-]*\d\S*|\b[sS]?-?\d+\b")  # words with two digits or more, as a whole
 _OTHER, _NUMBERS = re.compile(r"[^\w#\u0900-\u0dff]+|_+"), re.compile(r"(?:\s*#)+")
 _NUMBER_LINE, _BESIDE, _DOT = re.compile(NUMBER_LINE), re.compile(BESIDE), re.compile(r"\s+\.$")
+_DIGIT, _GAP = re.compile(r"\d").search, re.compile(r"\s\s").search
 
 
 def folded(line: str) -> str:
     """Letters of a line by class of confusion; runs of digits are #."""
-    s = _NUMBERED.sub("#", line).lower().translate(_FOLD)
+    s = (_NUMBERED.sub("#", line) if _DIGIT(line) else line).lower().translate(_FOLD)
     for a, b in CONFUSED_RUNS:
         s = s.replace(a, b)
-    return _NUMBERS.sub(" #", _OTHER.sub(" ", s)).strip()
+    s = _OTHER.sub(" ", s)
+    return (_NUMBERS.sub(" #", s) if "#" in s else s).strip()
 
 
 def opening_line(text: str) -> str | None:
@@ -44,7 +49,8 @@ def opening_line(text: str) -> str | None:
     if len(line) > 130 or line[-1:] in "।?!,;:" or (line[-1:] == "." and line[-2:-1] != " "):
         return None
     if not _NUMBER_LINE.match(line):
-        line = _DOT.sub("", _BESIDE.sub("", line).strip())
+        line = _BESIDE.sub("", line).strip() if _GAP(line) else line  # a number beside stands after or before a gap
+        line = _DOT.sub("", line) if line[-1:] == "." else line
         if len(line) <= 110 and sum(map(str.isalpha, line)) >= 3:
             return line
     return None
@@ -61,7 +67,10 @@ def opening_lines(blocks: DataFrame) -> DataFrame:
 
     kinds = dict(blocks.dtypes)
     line = F.when(F.col("text").startswith("\n") | F.col("text").startswith("\r"), F.regexp_replace("text", r"^\s+", "")).otherwise(F.ltrim("text"))
-    rows = blocks.where("text IS NOT NULL AND doc_key IS NOT NULL").select("block_id", "doc_key", "page", F.substring_index(line, "\n", 1).alias("text")).where((F.length("text") <= 130) & ~F.col("text").rlike(r"(?:[।?!,;:]|[^\s]\.)\s*$"))  # what `opening_line` would refuse
+    rows = blocks.where("text IS NOT NULL AND doc_key IS NOT NULL").select("block_id", "doc_key", "page", F.explode(F.array(F.rtrim(F.substring_index(line, "\n", 1)))).alias("text"))  # as rows of one element, lines are cut once
+    text = F.col("text")
+    closed = reduce(or_, map(text.endswith, "।?!,;:"), text.endswith(".") & ~text.endswith(" ."))
+    rows = rows.where((F.length("text") <= 130) & ~closed)  # what `opening_line` would refuse
     return rows.mapInArrow(run, f"block_id {kinds['block_id']}, doc_key string, page {kinds['page']}, key string")
 
 
@@ -75,6 +84,25 @@ def _folded(titles: DataFrame) -> DataFrame:
     return titles.mapInArrow(run, "doc_key string, title string")
 
 
+def _words(keys: DataFrame, most: int = 400_000) -> DataFrame:
+    """`w`, `n`: in how many keys a word is, in parts."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: Counter = Counter()
+        for batch in batches:
+            for key in batch.column(0).to_pylist():
+                held.update(set(key.split(" ")))
+            if len(held) > most:
+                yield out(held)
+                held = Counter()
+        yield out(held)
+
+    def out(held: Counter) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(list(held), pa.string()), pa.array(list(held.values()), pa.int64())], names=["w", "n"])
+
+    return keys.mapInArrow(run, "w string, n bigint")
+
+
 def _shaped(lines: DataFrame, common: frozenset) -> DataFrame:
     """`lines` with `shape`, the key with runs of other than common words as _."""
 
@@ -109,10 +137,10 @@ def header_lines(blocks: DataFrame, titles: DataFrame, *, least_pages: int = 2,
     none = F.array().cast("array<string>")
     documents = documents.select("doc_key", "pages", F.array_except(F.coalesce("marks", none), F.coalesce("titles", none)).alias("marks"), F.coalesce("titles", none).alias("titles"))
     key = F.col("key")
-    close = F.exists("marks", lambda m: (m == key) | ((F.abs(F.length(m) - F.length(key)) <= 0.25 * F.length(m)) & F.levenshtein(m, key, 27).between(0, 0.25 * F.length(m))) | ((F.length(key) >= 14) & m.startswith(key)))
+    close = F.array_contains("marks", key) | F.exists("marks", lambda m: ((F.length(key) >= 14) & m.startswith(key)) | ((F.abs(F.length(m) - F.length(key)) <= 0.25 * F.length(m)) & (F.call_function("levenshtein", m, key, F.least(F.lit(27), F.floor(F.length(m) / 4)).cast("int")) >= 0)))
     lines = lines.join(documents, "doc_key").where(~F.array_contains("titles", key)).select("block_id", "doc_key", "key", close.alias("own"), (F.col("pages") >= 3).alias("long"))
     n = counted.count()
-    words = counted.select(F.explode(F.array_distinct(F.split("key", " "))).alias("w")).groupBy("w").count()
+    words = _words(counted.select("key")).groupBy("w").agg(F.sum("n").alias("count"))
     kept = frozenset(r.w for r in words.where(F.col("count") >= max(8, common * n)).select("w").collect())  # at most (words a line) / common
     lines = checkpoint(_shaped(lines, kept).drop("key"))
     long = lines.where("long").groupBy("shape").agg(F.countDistinct("doc_key").alias("docs"), F.countDistinct(F.when(F.col("own"), F.col("doc_key"))).alias("with"))

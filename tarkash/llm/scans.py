@@ -22,7 +22,9 @@ from collections import Counter
 from collections.abc import Iterator
 from typing import NamedTuple
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -46,7 +48,6 @@ CONFUSIONS = (
 CONFUSE = math.log(0.03)
 KEEP = math.log(0.95)
 HYPHENS = "-‐‑¬\xad–"
-SPLIT_END = re.compile(rf"(\S*?)([{HYPHENS}])[ \t\r]*$")
 ROMAN = re.compile(r"[ivxIVX]+\W*$")
 EDGES = ".,;:()[]{}\"'“”‘’।॥?/*"
 _HYPHENS = frozenset(HYPHENS)
@@ -91,9 +92,12 @@ def confused(true: str, seen: str, most: int = 2) -> tuple[str, ...] | None:
     return None
 
 
+_ODD, _BITS = 0x9E3779B97F4A7C15, (1 << 64) - 1
+
+
 def pair_key(before: str, word: str) -> int:
     """64 bits that stand for two words in a row, or for one word (`before` empty)."""
-    h = xxhash.xxh3_64_intdigest(f"{before} {word}")
+    h = (xxhash.xxh3_64_intdigest(before) * _ODD + xxhash.xxh3_64_intdigest(word)) & _BITS
     return h - (1 << 64) if h >> 63 else h
 
 
@@ -148,8 +152,13 @@ class Known(NamedTuple):
         return keys
 
 
-def ends_split(line: str) -> bool:
-    return line.rstrip(" \t\r")[-1:] in _HYPHENS
+def split_end(line: str) -> tuple[str, str, int] | None:
+    """What stands before a hyphen that ends a line, the hyphen, and where the word starts; None if there is none."""
+    line = line.rstrip(" \t\r")
+    if line[-1:] not in _HYPHENS:
+        return None
+    last = line.rsplit(None, 1)[-1]
+    return last[:-1], last[-1], len(line) - len(last)
 
 
 def split_words(lines: list[str], words: dict) -> tuple[list[str], bool]:
@@ -161,18 +170,18 @@ def split_words(lines: list[str], words: dict) -> tuple[list[str], bool]:
     out: list[str] = []
     broken = False
     for line in lines:
-        last = SPLIT_END.search(out[-1]) if out and ends_split(out[-1]) else None
-        first = line.lstrip().split(" ", 1)
-        if last and last[1] and first[0][:1].isalpha() and last[1][-1].isalpha():
-            left, right = last[1], first[0]
+        last = split_end(out[-1]) if out else None
+        first = line.lstrip().split(" ", 1) if last else [""]
+        if last and last[0] and first[0][:1].isalpha() and last[0][-1].isalpha():
+            left, right = last[0], first[0]
             a = left.strip(EDGES).lower()
             b = right.rstrip(EDGES).lower()
             whole, compound = words.get(a + b, 0), max(words.get(f"{a}-{b}", 0), words.get(f"{a}-{b.split('-')[0]}", 0))
-            soft = last[2] in "\xad¬"
+            soft = last[1] in "\xad¬"
             stays = not soft and (compound > whole or (not whole and (ROMAN.match(right) or (right[0].isupper() and words.get(b, 0)) or (words.get(a, 0) and words.get(b, 0) and "-" in a))))
             if not stays:
                 broken = True
-            out[-1] = out[-1][: last.start()] + left + ("-" if stays else "") + right
+            out[-1] = out[-1][: last[2]] + left + ("-" if stays else "") + right
             if len(first) > 1:
                 out.append(first[1])
         else:
@@ -205,28 +214,25 @@ def body_of(text: str, page: int | None, headed: bool) -> tuple[list[str], set[s
 
 def asked(body: list[str], plain: frozenset) -> tuple[set[str], set[str]]:
     """The words of the lines other than `plain` ones, and what tells whether words split over them are one."""
-    words: set[str] = set()
-    for x in body:
-        words.update(x.lower().split())
-    words = {w.strip(EDGES) for w in words - plain}
+    words = {w.strip(EDGES) for w in set("\n".join(body).lower().split()) - plain}
     halves: set[str] = set()
     for i, (line, after) in enumerate(zip(body, body[1:], strict=False)):
-        last = SPLIT_END.search(line) if ends_split(line) else None
-        first = after.lower().split(None, 1)
-        if last and last[1] and first:
-            a, b = last[1].strip(EDGES).lower(), first[0].strip(EDGES)
+        last = split_end(line)
+        first = after.lower().split(None, 1) if last else None
+        if last and last[0] and first:
+            a, b = last[0].strip(EDGES).lower(), first[0].strip(EDGES)
             c = b.rstrip(HYPHENS)
             halves |= {a, b, a + b, f"{a}-{b}", f"{a}-{b.split('-')[0]}", a + c, c}
             words |= {a + b, f"{a}-{b}", a + c}
-            if len(first) == 1 and ends_split(after) and i + 2 < len(body) and body[i + 2].strip():  # a word over three lines
+            if len(first) == 1 and split_end(after) and i + 2 < len(body) and body[i + 2].strip():  # a word over three lines
                 d = body[i + 2].lower().split(None, 1)[0].strip(EDGES)
                 halves |= {a + c + d, f"{a + c}-{d}", d}
                 words.add(a + c + d)
     return words - plain - {""}, halves - {""}
 
 
-def repair(text: str, page: int | None, headed: bool, known: Known) -> tuple[str, set[str]]:
-    """The readable text of a block and its defects."""
+def repair(text: str, page: int | None, headed: bool, known: Known, texts: bool = True) -> tuple[str, set[str]]:
+    """The readable text of a block (if `texts`) and its defects."""
     body, defects = body_of(text, page, headed)
     joined, broken = split_words(body, known.counts)
     if broken:
@@ -234,8 +240,9 @@ def repair(text: str, page: int | None, headed: bool, known: Known) -> tuple[str
     doubtful = known.options.keys() | known.odd
     out = []
     for line in joined:
-        words = line.split()
-        if doubtful:
+        held = doubtful and line.lower()
+        if held and any(w in held for w in doubtful):
+            words = line.split()
             bare = [w.strip(EDGES) for w in words]
             low = [w.lower() for w in bare]
             if not doubtful.isdisjoint(low):
@@ -249,35 +256,66 @@ def repair(text: str, page: int | None, headed: bool, known: Known) -> tuple[str
                         words[i] = words[i].replace(bare[i], now)
                     elif was in known.odd:
                         defects.add("misread_chars")
-        out.append(" ".join(words))
+            out.append(" ".join(words))
+        elif texts:
+            out.append(" ".join(line.split()))
     return " ".join(x for x in out if x), defects
 
 
-def term_counts(texts: DataFrame, pairs: bool, most: int = 800_000) -> DataFrame:
+class Tally:
+    """Counts of words (lower case, without marks at their edges) and of pairs of neighbours; words stand by number."""
+
+    def __init__(self, pairs: bool):
+        self.pairs = pairs
+        self.numbers: dict[str, int] = {"": 0}  # of words
+        self.seen: dict[str, int] = {}  # the numbers of words as they are written
+        self.words = np.zeros(1, np.int64)
+        self.twos: list[np.ndarray] = []  # both numbers of a pair in 64 bits
+        self.held = 0
+
+    def add(self, texts: pa.Array) -> None:
+        """Arrow and Python agree on blanks; a word in lower case is the same with and without its text."""
+        texts = pc.utf8_trim_whitespace(texts)
+        parts = pc.utf8_split_whitespace(texts.filter(pc.greater(pc.binary_length(texts), 0)))
+        coded = parts.flatten().dictionary_encode()
+        if not len(coded):
+            return
+        seen, numbers = self.seen, self.numbers
+        written = coded.dictionary.to_pylist()
+        for w in written:
+            if w not in seen:
+                seen[w] = numbers.setdefault(w.lower().strip(EDGES), len(numbers))
+        at = np.fromiter(map(seen.__getitem__, written), np.int64, len(written))[coded.indices.to_numpy()]
+        words = np.bincount(at, minlength=len(numbers))
+        words[: len(self.words)] += self.words
+        words[0] += len(at) - np.count_nonzero(at == 0)  # the empty word has the number of all words
+        self.words = words
+        if self.pairs:
+            inside = np.ones(len(at) - 1, bool)
+            inside[np.cumsum(pc.list_value_length(parts).to_numpy())[:-1] - 1] = False
+            inside &= at[:-1] != 0  # a mark on its own is no word before another
+            self.twos.append((at[:-1] << 32 | at[1:])[inside])
+            self.held += len(at)
+
+    def out(self) -> pa.RecordBatch:
+        h = np.fromiter(map(xxhash.xxh3_64_intdigest, self.numbers), np.uint64, len(self.numbers))
+        twos, n = np.unique(np.concatenate(self.twos) if self.twos else np.zeros(0, np.int64), return_counts=True)
+        keys = np.concatenate([h[:1] * np.uint64(_ODD) + h, h[twos >> 32] * np.uint64(_ODD) + h[twos & 0xFFFFFFFF]]).view(np.int64)
+        terms = pa.concat_arrays([pa.array(self.numbers, pa.string()), pa.nulls(len(twos), pa.string())])
+        return pa.RecordBatch.from_arrays([terms, pa.array(keys), pa.array(np.concatenate([self.words, n]))], names=["term", "pair", "n"])
+
+
+def term_counts(texts: DataFrame, pairs: bool, most: int = 4_000_000) -> DataFrame:
     """`term`, `pair` (a key), `n`: how often each word (lower case, without marks at its edges) and, if `pairs`, each pair of neighbours (term NULL) occurs in column `text`; the empty term has the number of all words."""
 
-    def out(words: Counter, twos: Counter) -> pa.RecordBatch:
-        bare = {w: w.strip(EDGES) for w in words}
-        terms: Counter = Counter()
-        for w, n in words.items():
-            terms[bare[w]] += n
-        terms[""] = sum(words.values())
-        keys = [pair_key(bare[a], bare[b]) for a, b in twos]
-        return pa.RecordBatch.from_arrays([pa.array([*terms, *[None] * len(keys)], pa.string()), pa.array([*(pair_key("", t) for t in terms), *keys], pa.int64()), pa.array([*terms.values(), *twos.values()], pa.int64())], names=["term", "pair", "n"])
-
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words: Counter = Counter()
-        twos: Counter = Counter()
+        tally = Tally(pairs)
         for batch in batches:
-            for text in batch.column(0).to_pylist():
-                low = text.lower().split()
-                words.update(low)
-                if pairs:
-                    twos.update(zip(low, low[1:], strict=False))
-            if len(words) + len(twos) > most:
-                yield out(words, twos)
-                words, twos = Counter(), Counter()
-        yield out(words, twos)
+            tally.add(batch.column(0))
+            if tally.held > most or len(tally.seen) > most // 8:
+                yield tally.out()
+                tally = Tally(pairs)
+        yield tally.out()
 
     return texts.select("text").mapInArrow(count, "term string, pair bigint, n bigint").groupBy("term", "pair").agg(F.sum("n").alias("n"))
 
@@ -331,11 +369,19 @@ def channel(doubtful: DataFrame, words: DataFrame) -> dict[str, float]:
 
     A confusion of mean frequency has the chance 0.03; none is more than five times rarer or more frequent.
     """
-    spots = {t: F.sum(F.col("scanned") * (F.length("word") - F.length(F.replace("word", F.lit(t)))) / len(t)).alias(f"s{i}") for i, t in enumerate(dict.fromkeys(t for t, _ in CONFUSIONS))}
-    there = words.where("scanned > 0").agg(*spots.values()).first()
-    held = {t: there[f"s{i}"] or 0.0 for i, t in enumerate(spots)}
+    trues = list(dict.fromkeys(t for t, _ in CONFUSIONS))
+
+    def spots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums = np.zeros(len(trues), np.int64)
+        for batch in batches:
+            n = batch.column(1).to_numpy(zero_copy_only=False)
+            sums += [int(pc.count_substring(batch.column(0), t).to_numpy() @ n) for t in trues]
+        yield pa.RecordBatch.from_arrays([pa.array(trues), pa.array(sums)], names=["true", "n"])
+
+    there = words.where("scanned > 0").select("word", "scanned").mapInArrow(spots, "true string, n bigint")
+    held = {r.true: float(r.n or 0) for r in there.groupBy("true").agg(F.sum("n").alias("n")).collect()}
     one = doubtful.where(F.size("options") == 1).select(F.explode(F.col("options")[0]["ops"]).alias("op")).groupBy("op").count().collect()
-    rates = {r.op: r["count"] / max(1.0, held[r.op.split(">")[0]]) for r in one}
+    rates = {r.op: r["count"] / max(1.0, held.get(r.op.split(">")[0], 0.0)) for r in one}
     mean = sum(rates.values()) / len(rates) if rates else 1.0
     return {f"{t}>{a}": CONFUSE + max(-math.log(5), min(math.log(5), math.log(rates.get(f"{t}>{a}", 0) / mean + 1e-9))) for t, a in CONFUSIONS}
 
@@ -366,18 +412,37 @@ def _postings(rows: DataFrame, usual, most: int = 1_000_000) -> DataFrame:
     return rows.select("n", "text", "page", "headed").mapInArrow(run, "term string, use string, blocks array<bigint>")
 
 
-def _known(facts: list | None, around: list | None, total: float, chances: dict[str, float]) -> Known:
-    counts, options, odd = {}, {}, set()
-    for f in facts or ():
-        if f["n"] is not None:
-            counts[f["term"]] = f["n"]
-        if f["odd"]:
-            odd.add(f["term"])
-        if f["options"]:
-            counts |= {o["other"]: o["m"] for o in f["options"]}
-            options[f["term"]] = tuple(sorted((o["other"], sum(map(chances.__getitem__, o["ops"]))) for o in f["options"]))
-    counts |= {x["pair"]: x["n"] for x in around or ()}
-    return Known(counts, total, options, frozenset(odd))
+def _parts(column: pa.Array) -> tuple[list[range], list[pa.Array]]:
+    """Where the structs of each list of a column are, and their fields, all lists in a row."""
+    ends = np.cumsum(pc.fill_null(pc.list_value_length(column), 0).to_numpy(zero_copy_only=False)).tolist()
+    return [range(i, j) for i, j in zip([0, *ends], ends, strict=False)], column.flatten().flatten()
+
+
+def _knowns(facts: pa.Array, around: pa.Array | None, total: float, chances: dict[str, float]) -> Iterator[Known | None]:
+    """What each block knows; None for one without facts."""
+    blocks, (terms, ns, odds, choices) = _parts(facts)
+    spans, (others, ms, ops) = _parts(choices)
+    lengths, ops = pc.list_value_length(ops).to_pylist(), iter(ops.flatten().to_pylist())
+    others = list(zip(others.to_pylist(), ms.to_pylist(), [sum(chances[next(ops)] for _ in range(n)) for n in lengths], strict=True))
+    terms, ns, odds = terms.to_pylist(), ns.to_pylist(), odds.to_pylist()
+    beside, (pairs, twos) = _parts(around) if around is not None else ([range(0)] * len(blocks), (pa.array([]), pa.array([])))
+    pairs, twos = pairs.to_pylist(), twos.to_pylist()
+    for block, near in zip(blocks, beside, strict=True):
+        if not block:
+            yield None
+            continue
+        counts, options, odd = {}, {}, set()
+        for i in block:
+            if ns[i] is not None:
+                counts[terms[i]] = ns[i]
+            if odds[i]:
+                odd.add(terms[i])
+            if spans[i]:
+                found = others[spans[i].start : spans[i].stop]
+                counts |= {o: m for o, m, _ in found}
+                options[terms[i]] = tuple(sorted((o, p) for o, _, p in found))
+        counts.update(zip(pairs[near.start : near.stop], twos[near.start : near.stop], strict=True))
+        yield Known(counts, total, options, frozenset(odd))
 
 
 def _around(rows: DataFrame, model) -> DataFrame:
@@ -386,11 +451,13 @@ def _around(rows: DataFrame, model) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids, keys = [], []
-            for i, text, page, headed, facts in zip(*(batch.column(c).to_pylist() for c in ("n", "text", "page", "headed", "facts")), strict=True):
-                known = _known(facts, None, *model.value)
+            for i, text, page, headed, known in zip(*(batch.column(c).to_pylist() for c in ("n", "text", "page", "headed")), _knowns(batch.column("facts"), None, *model.value), strict=True):
                 wanted: set[int] = set()
                 for line in split_words(body_of(text, page, headed)[0], known.counts)[0]:
-                    tokens = [w.strip(EDGES) for w in line.lower().split()]
+                    low = line.lower()
+                    if not any(w in low for w in known.options):
+                        continue
+                    tokens = [w.strip(EDGES) for w in low.split()]
                     if not known.options.keys().isdisjoint(tokens):
                         wanted |= known.around(tokens)
                 ids += [i] * len(wanted)
@@ -404,7 +471,8 @@ def _repaired(rows: DataFrame, model, texts: bool) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         plain = Known({}, model.value[0], {}, frozenset())
         for batch in batches:
-            done = [repair(t, p, h, _known(f, a, *model.value) if f else plain) for t, p, h, f, a in zip(*(batch.column(c).to_pylist() for c in ("text", "page", "headed", "facts", "around")), strict=True)]
+            known = _knowns(batch.column("facts"), batch.column("around"), *model.value)
+            done = [repair(t, p, h, k or plain, texts) for t, p, h, k in zip(*(batch.column(c).to_pylist() for c in ("text", "page", "headed")), known, strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column("n"), pa.array([d[0] if texts else None for d in done], pa.string()), pa.array([sorted(d[1]) for d in done], pa.list_(pa.string()))], names=["n", "repaired", "defects"])
 
     return rows.select("n", "text", "page", "headed", "facts", "around").mapInArrow(run, "n bigint, repaired string, defects array<string>")

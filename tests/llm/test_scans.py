@@ -1,7 +1,12 @@
-import pytest
+import re
+import time
+from collections import Counter
 from itertools import product
 
-from tarkash.llm import scans
+import pyarrow as pa
+import pytest
+
+from tarkash.llm import pages, scans
 
 WORDS = {"the": 900, "power": 120, "house": 60, "station": 200, "panel": 300, "access": 150, "road": 200, "was": 700, "closed": 90, "long-term": 40, "long": 50, "term": 45, "stage-ii": 30, "run-of-river": 20, "under": 100, "clear": 40, "dear": 30, "कार्य": 300, "and": 500}
 SEEN = ["p0wer", "pane!", "closecl", "acccss", "povver", "कास्य", "elear", "aeeess", "roacl", "wäs", "c1osed"]
@@ -106,3 +111,34 @@ def test_cases(spark):
     text = {(x.doc_key, x.seq): x.text for x in scans.paragraphs(b, r, none).collect()}
     assert text["d", 1] == "The power station was closed and the road was closed." and ("d", 2) not in text and ("d", 5) not in text and text["d", 6] == "The p0wer station"
     assert scans.scan_defects(b.limit(0), r.limit(0), none).count() == 0
+
+
+def test_counts_of_words_and_pairs(spark):
+    texts = ["The Power, the power.", "— power ( the )", "", " \n\x1c ", None, "İLK ΟΔΟΣ\u2003ΟΔΟΣ. a\x85b", "x " * 3000, "the"]
+    got = scans.term_counts(spark.createDataFrame([(t,) for t in texts], "text string").repartition(3), pairs=True).collect()
+    words, twos = Counter(), Counter()
+    for t in texts:
+        low = [w.strip(scans.EDGES) for w in (t or "").lower().split()]
+        words.update(low)
+        words[""] += len(low) - low.count("")
+        twos.update(scans.pair_key(a, b) for a, b in zip(low, low[1:], strict=False) if a)
+    assert {r.term: r.n for r in got if r.term is not None} == words
+    assert {r.pair: r.n for r in got if r.term is None} == twos  # a mark before a word does not count as the word on its own
+    assert all(r.pair == scans.pair_key("", r.term) for r in got if r.term is not None)
+    tally = scans.Tally(True)
+    for _ in range(2):
+        tally.add(pa.array(["a b", None, "", "b a"]))
+    assert dict(zip(tally.numbers, tally.words.tolist(), strict=True)) == {"": 8, "a": 4, "b": 4} and tally.out().num_rows == 5
+
+
+def test_time_is_linear_in_the_length_of_words():
+    began = time.process_time()
+    assert scans.split_words(["a" * 60_000 + " pow-", "er"], {}) == (["a" * 60_000 + " power"], True)
+    assert pages.folded("v" * 30_000 + " 1-2") == "w" * 15_000 + " #"
+    assert time.process_time() - began < 1
+
+
+def test_numbers_in_lines_as_by_trying_every_start():
+    every = re.compile(r"\S*\d[\d/.,-]*\d\S*|\b[sS]?-?\d+\b")
+    for line in map("".join, product("a1 s-१/", repeat=6)):
+        assert pages._NUMBERED.sub("#", line) == every.sub("#", line)
