@@ -20,6 +20,7 @@ import re
 from bisect import bisect_right
 from collections import Counter, defaultdict
 from collections.abc import Iterator
+from functools import lru_cache
 from typing import NamedTuple
 
 import pyarrow as pa
@@ -31,24 +32,34 @@ from tarkash.sources.tables import spread
 SAMPLE_DOCUMENTS = 6000
 KINDS = ("email", "phone", "id_number", "address", "name")
 
-# Titles, cue words, first words of addresses.
+# Titles, cue words, first words of addresses. Patterns start with a set of characters where they
+# can, as the engine skips all others; what has to stand before is then looked up behind that first character.
 TITLES = r"(?:Mr|Mrs|Ms|Miss|Smt|Shri|Sri|Sh|Dr|Er|Prof|Km|Kum|Kumari|Adv|Late)\.?"
 EMAIL = re.compile(r"[A-Za-z0-9][\w.+%-]*(?:\s?@\s?|\s?[(\[]\s?at\s?[)\]]\s?)[A-Za-z0-9-]+(?:(?:\.|\s?[(\[]\s?dot\s?[)\]]\s?)[A-Za-z0-9-]+)*")
-AT = re.compile(r"@|[(\[]\s?at\s?[)\]]")
-SIX_DIGITS = re.compile(r"\d{6}|\d{3} \d{3}").search
+AT = re.compile(r"[@(\[](?:(?<=@)|(?<!@)\s?at\s?[)\]])")
 NUMBER = re.compile(r"(?<![\w.,/+\-०-९])(?:\+\d{1,3}[ -]?)?(?:\(\d{2,5}\)[ -]?)?[\d०-९](?:[\d०-९]|[ .-](?=[\d०-९])){5,20}(?![\w/]|[.,]\d)")
 CODE = re.compile(r"(?<![\w/-])(?:[A-Z]{2,3}[ -]?\d{1,2}[ -]\d{7,13}|[A-Za-z]{1,5}-?\d[\dA-Za-z]{3,}(?:[ -]\d{6,13})?)(?![\w/]|-\w)")
-PIN = re.compile(r"(?<![\d/.,+-])\d{3} ?\d{3}(?!\d|[/]|[.,]\d)|(?<=-)\d{6}(?!\d|[/])")
+# Where numbers (of eight digits), codes and addresses can be.
+DIGITS = re.compile(r"[\d+(][\d +().-]{7,}")
+CODE_DIGIT = re.compile(r"\d(?:(?<=[A-Za-z]\d)|(?<=[A-Za-z]-\d)|(?<=[A-Z] \d))")
+PIN = re.compile(r"\d(?:(?<![\d/.,+-][\s\S])\d{2} ?\d{3}(?!\d|[/]|[.,]\d)|(?<=-\d)\d{5}(?!\d|[/]))")
+HOUSE = re.compile(r"(?:H\.? ?No|House|Flat|Plot|Qtr|Quarter|Door|Vill|C/o|c/o|मकान|ग्राम|गाँव|फ्लैट|प्लॉट|द्वारा)")
+HOUSE_NUMBER = re.compile(r"\d[A-Z]?, (?=[A-Z])")
 ADDRESS = re.compile(r"(?<![\w/])(?:(?:H\.? ?No\.?|House(?: No\.?)?|Flat(?: No\.?)?|Plot(?: No\.?)?|Qtr\.?(?: No\.?)?|Quarter(?: No\.?)?|Door(?: No\.?)?|Village|Vill\.?|C/o|c/o) ?#? ?(?=[\w#])|(?:मकान|ग्राम|गाँव|फ्लैट|प्लॉट|द्वारा)\s|#?[A-Z]?-?\d+(?:/\d+)?[A-Z]?, (?=[A-Z]))")
 # An address goes on to here at most: the end of a sentence, or of the second line after its first.
 SENTENCE_STOP, LINES_STOP = re.compile(r"[a-z]{3,}[.।] (?=[A-Z])"), re.compile(r"(?:[^\n]*\n){3}")
 DATE = re.compile(r"\d{1,2}([.-])\d{1,2}\1\d{2,4}$|\d{4}-\d{2}(?:-\d{2})?$")
 TOKEN = r"(?:(?:[A-Z]\.)+|[A-Z][a-z]+|[A-Z]{2,})"
-RUN = re.compile(rf"(?<![\w.]){TOKEN}(?: ?(?<=\.){TOKEN}| {TOKEN}){{0,4}}(?![\w@])")
+RUN = re.compile(rf"[A-Z](?<![\w.][\s\S])(?:\.(?:[A-Z]\.)*|[a-z]+|[A-Z]+)(?: ?(?<=\.){TOKEN}| {TOKEN}){{0,4}}(?![\w@])")
 HINDI_NAME = re.compile("(?:श्रीमती|श्री|कुमारी|डॉ\\.?|प्रार्थी|आवेदक|सुश्री)\\s+(?!(?:का|के|की|ने|को) )([ऀ-ॣ]+(?: (?!(?:का|के|की|ने|को|से|हेतु)[ ,।])[ऀ-ॣ]+)?)")
 HINDI_OWNER = re.compile("(?:^|[।.?!\\n]\\s*)(?:(?:श्रीमती|श्री|कुमारी|सुश्री)\\s+)?([ऀ-ॣ]+ [ऀ-ॣ]+)(?= (?:का|की) पहचान)")
 NAME_CUE = re.compile(rf"(?<!\w)(?:{TITLES}|nominee is|told by|Submitted by|Copy to:|engineer,|officer:|officer,|workman|workwoman|Account of|S/o|D/o|W/o|and|Name:|faithfully,|sincerely,|truly,|Regards,|Sd/-|signed by|applicant|representative|Contact:|\()\s*\(?(?=[A-Z])")
+# Beginnings of the cues of names, in upper and in lower case.
+CUE_CAPITAL = re.compile(r"(?:M[rsi]|S[mhrud/]|D[r/]|W/|Er|Pr|K[mu]|A[dc]|La|Co|Na|Re|\()")
+CUE_WORDS = ("nominee is", "told by", "engineer,", "officer", "workman", "workwoman", "and", "faithfully", "sincerely", "truly", "signed by", "applicant", "representative")
 CAPITALISED = re.compile(r"[A-Z][A-Za-z]+").findall
+LOWER_CASE = re.compile(r"[a-z](?<![\w.][\s\S])[a-z]{2,}(?!\w)").findall
+TOKENS = re.compile(TOKEN).finditer
 NOT_NAMES = frozenset("Stage Upper Lower Road Street Colony Lane Marg Chowk Gali Path Nagar Committee Council Officer Engineer Secretary Director Manager Minister Member Government Company Station Project Department Ministry Office Room Ward Sector Tehsil District Block January February March April May June July August September October November December Annexure Schedule Chief Deputy Under Joint The".split())
 TITLE_WORDS = frozenset("Mr Mrs Ms Miss Smt Shri Sri Sh Dr Er Prof Km Kum Kumari Adv Late Sir Madam".split())
 PHONE_CUE = re.compile(r"(?:mobile|call|tel|telephone|phone|ph|whatsapp|contacts? (?:are|is|on)|number is|contacted on|fax|reach\w* (?:at|on)|दूरभाष|मोबाइल|फोन|फ़ोन)[\s.:,-]*(?:[+\d()\s.-]{8,20}\s+(?:and|or|,|/)\s*)?$", re.I)
@@ -87,21 +98,49 @@ class Lexicon(NamedTuple):
 NO_WORDS = Lexicon(frozenset(), frozenset(), frozenset())
 
 
+def _tried(pattern: re.Pattern, text: str, places: list[int]) -> Iterator[re.Match]:
+    """What `pattern.finditer` finds if it can match at these places only, which is far cheaper than at each character."""
+    last = 0
+    for at in sorted(places):
+        m = pattern.match(text, at) if at >= last else None
+        if m:
+            last = m.end()
+            yield m
+
+
+def _cue_places(text: str) -> list[int]:
+    """Where `NAME_CUE` and `FRAMES` can match."""
+    places = [m.start() for m in CUE_CAPITAL.finditer(text)]
+    for w in CUE_WORDS:
+        at = text.find(w)
+        while at >= 0:
+            places.append(at)
+            at = text.find(w, at + 1)
+    return places
+
+
+@lru_cache(maxsize=4)
+def _known(words: Lexicon) -> frozenset:
+    return words.given | words.family if words.given else frozenset()
+
+
 def _name_spans(text: str, words: Lexicon) -> Iterator[Span]:
     """Capitalised words after a cue or known from names; `and` is a cue only beside others."""
-    cues = list(NAME_CUE.finditer(text))
+    cues = list(_tried(NAME_CUE, text, _cue_places(text)))
     starts = {m.end() for m in cues}
     alone = {m.end() for m in cues if not m.group().startswith(("and", "("))}  # where one word can be a name
-    known = words.given | words.family if words.given else frozenset()
-    if all(m.group().startswith("and") for m in cues) and known.isdisjoint(w.capitalize() for w in CAPITALISED(text)):
+    known = _known(words)
+    if all(m.group().startswith("and") for m in cues) and known.isdisjoint(map(str.capitalize, set(CAPITALISED(text)))):
         return
     places = sorted(starts)
     for run in RUN.finditer(text):
-        k = bisect_right(places, run.start() - 1)
-        if (k == len(places) or places[k] >= run.end()) and known.isdisjoint(w.capitalize() for w in run.group().split(" ")):
-            if run.group().split(" ", 1)[0] not in TITLE_WORDS and "." not in run.group():
+        whole, at = run.group(), run.start()
+        parts = whole.split(" ")
+        if known.isdisjoint(map(str.capitalize, parts)) and parts[0] not in TITLE_WORDS and "." not in whole:
+            k = bisect_right(places, at - 1)
+            if k == len(places) or places[k] >= run.end():
                 continue
-        tokens = [(m.start() + run.start(), m.end() + run.start(), m.group()) for m in re.finditer(TOKEN, run.group())]
+        tokens = [(m.start() + at, m.end() + at, m.group()) for m in TOKENS(whole)]
         while tokens and tokens[0][2] in TITLE_WORDS:
             tokens.pop(0)
             if tokens:
@@ -119,10 +158,23 @@ def _name_spans(text: str, words: Lexicon) -> Iterator[Span]:
                 yield Span(part[0][0], part[-1][1], "name")
 
 
+def _addresses(text: str) -> Iterator[re.Match]:
+    """What `ADDRESS.finditer` finds, tried only at words and numbers that can open an address."""
+    places = [m.start() for m in HOUSE.finditer(text)]
+    for m in HOUSE_NUMBER.finditer(text):
+        at = m.start()
+        while at > 0 and (text[at - 1] in "#-/" or "A" <= text[at - 1] <= "Z" or text[at - 1].isdecimal()):
+            at -= 1
+        places += range(at, m.start() + 1)
+    return _tried(ADDRESS, text, places)
+
+
 def _address_spans(text: str) -> Iterator[Span]:
     """From a first word to the next postal code; where none follows, after a cue, to the end of the line or sentence."""
-    pins = [(m.start(), m.end()) for m in PIN.finditer(text)] if SIX_DIGITS(text) else []
-    for m in ADDRESS.finditer(text):
+    pins = None
+    for m in _addresses(text):
+        if pins is None:
+            pins = [(x.start(), x.end()) for x in PIN.finditer(text)]
         k = bisect_right(pins, (m.start() + 5, 0))
         stop = min(x.end() if x else len(text) for x in (SENTENCE_STOP.search(text, m.start()), LINES_STOP.match(text, m.start())))
         if k < len(pins) and pins[k][0] <= stop:
@@ -134,6 +186,46 @@ def _address_spans(text: str) -> Iterator[Span]:
                 yield Span(m.start(), m.start() + len(body[0].rstrip(" ,.")), "address")
 
 
+def _numbers(text: str) -> Iterator[re.Match]:
+    """Of what `NUMBER.finditer` finds, all of eight digits or more: each stands within one chain of digits and the marks between them."""
+    for chain in DIGITS.finditer(text):
+        for m in NUMBER.finditer(text, chain.start(), chain.end() + 2):
+            if m.start() >= chain.end():
+                break
+            yield m
+
+
+def _codes(text: str) -> Iterator[re.Match]:
+    """What `CODE.finditer` finds, tried only at letters before a digit."""
+    places = []
+    for digit in CODE_DIGIT.finditer(text):
+        end = digit.start() - (text[digit.start() - 1] in " -")
+        at = end
+        while at > 0 and end - at < 6 and text[at - 1].isascii() and text[at - 1].isalpha():
+            at -= 1
+        places.append(at)
+    return _tried(CODE, text, places)
+
+
+def without_emails(text: str) -> str:
+    """`EMAIL.sub(" ", text)`, tried only before signs."""
+    if "@" not in text and "at" not in text:
+        return text
+    out, last = [], 0
+    for sign in AT.finditer(text):
+        end = sign.start() - (sign.start() > last and text[sign.start() - 1].isspace())
+        at = end
+        while at > last and (text[at - 1].isalnum() or text[at - 1] in "_.+%-"):
+            at -= 1
+        while at < end and not (text[at].isascii() and text[at].isalnum()):
+            at += 1
+        m = EMAIL.match(text, at) if at < end else None
+        if m:
+            out += [text[last:at], " "]
+            last = m.end()
+    return "".join([*out, text[last:]])
+
+
 def candidates(text: str, words: Lexicon = NO_WORDS) -> list[Span]:
     """Spans that could be mentions, by start."""
     out: set[Span] = set()
@@ -142,8 +234,8 @@ def candidates(text: str, words: Lexicon = NO_WORDS) -> list[Span]:
             m = EMAIL.search(text, max(0, text.rfind(" ", 0, max(0, at.start() - 1)) + 1, text.rfind("\n", 0, at.start()) + 1))
             if m and m.start() < at.start() < m.end():
                 out.add(Span(m.start(), m.end(), "email"))
-    for m in NUMBER.finditer(text):
-        n = sum(c.isdigit() for c in m.group())
+    for m in _numbers(text):
+        n = sum(map(str.isdigit, m.group()))
         if 8 <= n <= 15 and not DATE.match(m.group()):
             start = m.start()
             if text[start - 1 : start] == "(" and ")" in m.group()[:7]:
@@ -151,8 +243,8 @@ def candidates(text: str, words: Lexicon = NO_WORDS) -> list[Span]:
             out.add(Span(start, m.end(), "phone"))
             if n >= 9:
                 out.add(Span(start, m.end(), "id_number"))
-    for m in CODE.finditer(text):
-        if sum(c.isdigit() for c in m.group()) >= 4 and len(m.group()) >= 7:
+    for m in _codes(text):
+        if sum(map(str.isdigit, m.group())) >= 4 and len(m.group()) >= 7:
             out.add(Span(m.start(), m.end(), "id_number"))
     out |= set(_address_spans(text))
     out |= set(_name_spans(text, words))
@@ -162,6 +254,13 @@ def candidates(text: str, words: Lexicon = NO_WORDS) -> list[Span]:
     return sorted(out)
 
 
+@lru_cache(maxsize=64)
+def _number_cues(before: str) -> list[str]:
+    """The cues that end before a number; asked for each kind that it can be."""
+    identity = bool(ID_CUE.search(before))
+    return ["cue phone"] * bool(PHONE_CUE.search(before)) + ["cue id"] * identity + ["cue other"] * bool(not identity and OTHER_CUE.search(before[-30:]))
+
+
 def features(text: str, span: Span, words: Lexicon) -> list[str]:
     """Features of a whole span."""
     start, end, kind = span
@@ -171,8 +270,8 @@ def features(text: str, span: Span, words: Lexicon) -> list[str]:
     out = [kind]
     if kind in ("phone", "id_number"):
         out += [f"shape {_shape(body)}", f"digits {sum(c.isdigit() for c in body)}", f"before {last}", f"before2 {' '.join(before).lower()}", f"after {after}"]
-        out += ["cue phone"] * bool(PHONE_CUE.search(text[max(0, start - 60) : start])) + ["cue id"] * bool(ID_CUE.search(text[max(0, start - 60) : start]))
-        out += ["cue other"] * bool(OTHER_CUE.search(text[max(0, start - 30) : start]) and "cue id" not in out) + ["unit after"] * bool(UNIT_AFTER.match(text, end))
+        out += _number_cues(text[max(0, start - 60) : start])
+        out += ["unit after"] * bool(UNIT_AFTER.match(text, end))
     elif kind == "email":
         out += [f"dot {'.' in body or 'dot' in body}", f"digit {body[0].isdigit()}", f"before {last}"]
     elif kind == "address":
@@ -308,12 +407,15 @@ def cue_labels(text: str, spans: list[Span]) -> tuple[set[Span], set[Span]]:
     return set(kept), open_
 
 
-def word_counts(text: str) -> Iterator[tuple[str, str]]:
-    """(role, word) of a text: each lower-case word once, and the first and last words of framed names."""
-    for w in set(re.findall(r"(?<![\w.])[a-z]{3,}(?!\w)", EMAIL.sub(" ", text) if AT.search(text) else text)):  # mailboxes are named for persons
-        yield "lower", w
-    for f in (FRAMES, AND_FRAME):
-        for m in f.finditer(text):
+def lower_words(text: str) -> set[str]:
+    """Each lower-case word of a text once; mailboxes are named for persons."""
+    return set(LOWER_CASE(without_emails(text)))
+
+
+def framed_words(text: str) -> Iterator[tuple[str, str]]:
+    """(role, word) of the first and last words of framed names."""
+    for found in (_tried(FRAMES, text, _cue_places(text)), AND_FRAME.finditer(text)):
+        for m in found:
             tokens = [t.capitalize() for t in re.findall(TOKEN, m[1]) if not t.endswith(".")]
             if len(tokens) > 1:
                 yield "given", tokens[0]
@@ -321,6 +423,13 @@ def word_counts(text: str) -> Iterator[tuple[str, str]]:
                 yield "family", tokens[-1]
 
 
+def word_counts(text: str) -> Iterator[tuple[str, str]]:
+    """(role, word) of a text: each lower-case word once, and the first and last words of framed names."""
+    for w in lower_words(text):
+        yield "lower", w
+    yield from framed_words(text)
+
+
 def lexicon_of(counts: dict[tuple[str, str], int]) -> Lexicon:
     """Framed name words that are not common.
 
@@ -340,17 +449,18 @@ def lexicon(df: DataFrame, text: str = "text") -> Lexicon:
     """The lexicon of all documents, of any length. Words come to the driver that are framed as names, or that are lower case in two documents or more."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts: Counter = Counter()
+        lower, framed = Counter(), Counter()
         for batch in batches:
             for t in batch.column(0).to_pylist():
-                counts.update(word_counts(t))
-            if len(counts) > 400_000:
-                yield out(counts)
-                counts = Counter()
-        yield out(counts)
-
-    def out(counts: Counter) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array([r for r, _ in counts], pa.string()), pa.array([w for _, w in counts], pa.string()), pa.array(list(counts.values()), pa.int64())], names=["role", "word", "n"])
+                lower.update(lower_words(t))
+                framed.update(framed_words(t))
+            if len(lower) + len(framed) > 400_000:
+                yield out(lower, framed)
+                lower, framed = Counter(), Counter()
+        yield out(lower, framed)
+
+    def out(lower: Counter, framed: Counter) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([*["lower"] * len(lower), *(r for r, _ in framed)], pa.string()), pa.array([*lower, *(w for _, w in framed)], pa.string()), pa.array([*lower.values(), *framed.values()], pa.int64())], names=["role", "word", "n"])
 
     rows = df.where(F.col(text).isNotNull()).select(text).mapInArrow(run, "role string, word string, n bigint")
     kept = rows.groupBy("role", "word").agg(F.sum("n").alias("n")).where("role <> 'lower' OR n >= 2").collect()

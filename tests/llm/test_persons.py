@@ -1,4 +1,6 @@
 import math
+import random
+import time
 from itertools import combinations
 
 import pytest
@@ -78,3 +80,24 @@ def test_long_spans_and_addresses_without_a_code():
     for text, kind, body in ((f"A resident of {road}, wrote.", "address", road), (f"Write to {mail} today", "email", mail), ("He is a resident of House No. 12, Canal Road, Okhpikot and has applied.", "address", "House No. 12, Canal Road, Okhpikot")):
         assert (kind, body) in {(s.kind, text[s.start : s.end]) for s in persons.candidates(text)}
     assert not persons.candidates("House No. 12. The road, the dam, the bridge. Code 123456")
+
+
+PIECES = ["House No. ", "H. No. ", "Plot No. #", "Vill. ", "C/o ", "12/3, ", "#A-12B, ", "1/2/3, ", "-7, ", "A", "Kumar", "McDonald", "a", "b.", "@", " @ ", "(at)", "[ at ]", " (dot) ", "x.y", "+91 ", "(01996) ", "98450 12345", "123 456", "-123456", "४६६५८ ४११४५", "AB-12 1234567", "ABC1234567", "P.K. ", "Mrs. ", "Shri ", "Adv ", "and ", "told by ", "nominee is ", "officer: ", "Regards,\n", "Sd/-\n(", "S/o ", "Name: ", "applicant ", " was ", "(", ")", ".", ",", " ", "\n", "\t", "/", "-", "é", "मकान ", "²", "0", "1", "_", "%"]
+
+
+def test_places_tried_hold_all_matches():
+    rng = random.Random(1)
+    for _ in range(4000):
+        text = "".join(rng.choices(PIECES, k=rng.randint(1, 14)))
+        cues = persons._cue_places(text)
+        for pattern, found in ((persons.ADDRESS, persons._addresses(text)), (persons.CODE, persons._codes(text)), *((p, persons._tried(p, text, cues)) for p in (persons.NAME_CUE, persons.FRAMES))):
+            assert [m.span() for m in found] == [m.span() for m in pattern.finditer(text)], text
+        long = [m.span() for m in persons.NUMBER.finditer(text) if sum(map(str.isdigit, m.group())) >= 8]
+        assert [m.span() for m in persons._numbers(text) if sum(map(str.isdigit, m.group())) >= 8] == long, text
+        assert persons.without_emails(text) == persons.EMAIL.sub(" ", text), text
+
+
+def test_time_is_linear_in_the_length_of_words():
+    began = time.process_time()
+    assert set(persons.word_counts("a" * 60_000 + " call b@c.de")) == {("lower", "a" * 60_000), ("lower", "call")}
+    assert time.process_time() - began < 1
